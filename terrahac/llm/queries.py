@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrahac.llm import warc
+from terrahac.llm import topk, warc
 from terrahac.llm.sp_codec import encode_decode
 
 #: Folder of the public vocabulary files; None asks the installed package.
@@ -46,6 +46,25 @@ FROM m
 """
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.scaled(read(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
+
+
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def op9_encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage 4 of the pipeline and the whole of op9."""
     with open(vocabulary("piece_bpe_32k.model"), "rb") as f:
@@ -59,6 +78,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op4_warc": op4_warc,
+        "op7_topk": op7_topk,
         "op9_sentencepiece": op9_sentencepiece,
     }
 
@@ -66,4 +86,5 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_warc": OP4_SQL,
+        "op7_topk": OP7_SQL,
     }
