@@ -47,26 +47,43 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def hashed_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts, one after the other, and the words of each text.
+#: Bytes hashed at a time.
+SEGMENT = 1 << 19
+
+
+def _hash_segment(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of folded bytes, and where each begins.
 
     Prefix sums of a polynomial over the bytes give each word's hash, so the work is a few
     passes over the bytes whatever the number of words.
     """
-    joined = b" ".join([x or b"" for x in texts]).translate(FOLD) + b" "
-    data = np.frombuffer(joined, dtype=np.uint8)
-    inside = data != 32
-    edge = np.diff(inside.view(np.int8), prepend=np.int8(0))
+    data = np.frombuffer(data + b" ", dtype=np.uint8)
+    edge = np.diff((data != 32).view(np.int8), prepend=np.int8(0))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     power, inverse = _powers(len(data) + 1)
     with np.errstate(over="ignore"):
         sums = np.empty(len(data) + 1, dtype=_U)
         sums[0] = 0
         np.cumsum((data.astype(_U) + _U(1)) * power[: len(data)], out=sums[1:])
-        hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(_U) * _MIX1)
+        return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(_U) * _MIX1), starts
+
+
+def hashed_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, one after the other, and the words of each text."""
+    joined = b" ".join([x or b"" for x in texts]).translate(FOLD)
+    hashes, starts, at = [], [], 0
+    while at < len(joined):
+        end = joined.find(b" ", at + SEGMENT)
+        end = len(joined) if end < 0 else end
+        h, s = _hash_segment(joined[at:end])
+        hashes.append(h)
+        starts.append(s + at)
+        at = end
     lengths = np.array([len(x) + 1 if x else 1 for x in texts], dtype=np.int64)
-    bounds = np.searchsorted(starts, np.cumsum(lengths))
-    return hashes, np.diff(bounds, prepend=0)
+    if not hashes:
+        return np.zeros(0, dtype=_U), np.zeros(len(texts), dtype=np.int64)
+    bounds = np.searchsorted(np.concatenate(starts), np.cumsum(lengths))
+    return np.concatenate(hashes), np.diff(bounds, prepend=0)
 
 
 def shingle_sets(texts: list[bytes | None], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
