@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from terrahac.llm import topk, warc
+from terrahac.llm import ppm_langid, topk, warc
+from terrahac.llm.common import held_out
 from terrahac.llm.decontaminate import decontaminate
 from terrahac.llm.sp_codec import encode_decode
 
@@ -100,6 +102,22 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+def language_model(docs: DataFrame) -> ppm_langid.Model | None:
+    return ppm_langid.train(docs.filter(~held_out("doc_id", 4) & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    out = ppm_langid.identify(docs, language_model(docs))
+    return out.select("doc_id", held_out("doc_id", 4).alias("held_out"), "lang_pred", "score")
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 1 of the pipeline: documents without a recognisable language go."""
+    out = ppm_langid.identify(docs, language_model(docs), keep=tuple(docs.columns))
+    return out.filter("lang_pred <> 'und'").select(*docs.columns)
+
+
 def op9_encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage 4 of the pipeline and the whole of op9."""
     with open(vocabulary("piece_bpe_32k.model"), "rb") as f:
@@ -115,6 +133,7 @@ def queries() -> dict[str, Query]:
         "op1_decontaminate": op1_decontaminate,
         "op4_warc": op4_warc,
         "op7_topk": op7_topk,
+        "op8_language_id": op8_language_id,
         "op9_sentencepiece": op9_sentencepiece,
     }
 
