@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from terrahac.llm.common import table
-from terrahac.llm.queries import op9_encoded
+from terrahac.llm.queries import identified, op9_encoded, uncontaminated, without_copies
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = [("sentencepiece", op9_encoded)]
+STAGES: list[tuple[str, Stage]] = [
+    ("language", identified),
+    ("copies", without_copies),
+    ("benchmark", uncontaminated),
+    ("sentencepiece", op9_encoded),
+]
 
-#: Stages 1, 2 and 4 have no form in SQL; tests hold them against brute force.
+#: Stages 1 and 4 have no form in SQL; tests hold the whole against brute force.
 ORACLE_SQL = None
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrahac.llm import ppm_langid, topk, warc
+from terrahac.llm.chosen_path import similar_documents
 from terrahac.llm.common import held_out
 from terrahac.llm.decontaminate import decontaminate
 from terrahac.llm.sp_codec import encode_decode
@@ -83,6 +84,41 @@ FROM m
 """
 
 
+def op5_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(read(spark, sf_dir, "documents"))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 2 of the pipeline: of each group of near-duplicates the smallest id stays; so do null ids."""
+    gone = similar_documents(docs).filter("doc_id <> class_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+OP5_SQL = r"""
+WITH RECURSIVE dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + least(len(w), 5) - 1), ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM dw WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), link AS (
+  SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * c >= 4 * (x.n + y.n - c)
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT r.doc_id, link.b FROM reach r JOIN link ON link.a = r.other
+), class AS (
+  SELECT doc_id, min(other) AS class_id FROM reach GROUP BY doc_id
+), links AS (
+  SELECT a AS doc_id, count(*) AS n_links FROM link GROUP BY a
+)
+SELECT doc_id, class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links FROM class LEFT JOIN links USING (doc_id)
+"""
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.scaled(read(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
@@ -132,6 +168,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_decontaminate": op1_decontaminate,
         "op4_warc": op4_warc,
+        "op5_similar": op5_similar,
         "op7_topk": op7_topk,
         "op8_language_id": op8_language_id,
         "op9_sentencepiece": op9_sentencepiece,
@@ -142,5 +179,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontaminate": OP1_SQL,
         "op4_warc": OP4_SQL,
+        "op5_similar": OP5_SQL,
         "op7_topk": OP7_SQL,
     }
