@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrahac.llm import ppm_langid, topk, warc
+from terrahac.llm import ppm_langid, site_tree, topk, warc
 from terrahac.llm.chosen_path import similar_documents
 from terrahac.llm.common import held_out
 from terrahac.llm.decontaminate import decontaminate
@@ -164,6 +164,10 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_encoded(spark, read(spark, sf_dir, "documents"), sf_dir)
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_tree.extract(read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -172,6 +176,7 @@ def queries() -> dict[str, Query]:
         "op7_topk": op7_topk,
         "op8_language_id": op8_language_id,
         "op9_sentencepiece": op9_sentencepiece,
+        "op10_main_text": op10_main_text,
     }
 
 
