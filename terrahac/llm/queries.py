@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrahac.llm import ppm_langid, site_tree, topk, warc
+from terrahac.llm import license_scan, ppm_langid, site_tree, token_count, topk, warc
 from terrahac.llm.chosen_path import similar_documents
 from terrahac.llm.common import held_out
 from terrahac.llm.decontaminate import decontaminate
@@ -65,6 +65,14 @@ FROM dw LEFT JOIN n_hit USING (doc_id) LEFT JOIN n_items USING (doc_id)
 """
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.token_counts(read(spark, sf_dir, "documents"), *token_count.pieces_of(vocabulary("piece_bpe_32k.model")))
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licences(read(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages"))
 
@@ -171,6 +179,8 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_decontaminate": op1_decontaminate,
+        "op2_token_counts": op2_token_counts,
+        "op3_licenses": op3_licenses,
         "op4_warc": op4_warc,
         "op5_similar": op5_similar,
         "op7_topk": op7_topk,
@@ -183,6 +193,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontaminate": OP1_SQL,
+        "op3_licenses": license_scan.oracle_sql(),
         "op4_warc": OP4_SQL,
         "op5_similar": OP5_SQL,
         "op7_topk": OP7_SQL,
