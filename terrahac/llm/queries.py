@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrahac.llm import license_scan, ppm_langid, site_tree, token_count, topk, warc
+from terrahac.llm import lbl_lm, license_scan, ppm_langid, site_tree, token_count, topk, warc
 from terrahac.llm.chosen_path import similar_documents
 from terrahac.llm.common import held_out
 from terrahac.llm.decontaminate import decontaminate
@@ -127,6 +127,10 @@ SELECT doc_id, class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links FROM cl
 """
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lbl_lm.scores(read(spark, sf_dir, "documents"))
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.scaled(read(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
@@ -183,6 +187,7 @@ def queries() -> dict[str, Query]:
         "op3_licenses": op3_licenses,
         "op4_warc": op4_warc,
         "op5_similar": op5_similar,
+        "op6_lm_scores": op6_lm_scores,
         "op7_topk": op7_topk,
         "op8_language_id": op8_language_id,
         "op9_sentencepiece": op9_sentencepiece,
