@@ -51,6 +51,8 @@ DENSE = 0.75
 MARGIN = 0.2
 #: Classes and shingles of a block; a tile is two blocks.
 BLOCK, BLOCK_SHINGLES = 256, 400_000
+#: Size, as a power of two, of the table of bits that documents are screened by.
+BITS = 24
 
 _A = mix(np.arange(1, COORDS + 1, dtype=_U) * _U(0xD1342543DE82EF95)) | _U(1)
 _B = mix(np.arange(1, COORDS + 1, dtype=_U) * _U(0xAF251AF3B0F025B5))
@@ -156,18 +158,26 @@ class Sets:
         self.up[max(i, j)] = min(i, j)
         return i != j
 
+    def stars(self, names: list[int]) -> list[tuple[int, int]]:
+        """Each member with the smallest name it is joined to, if that is another's."""
+        low: dict[int, int] = {}
+        for i, x in enumerate(names):
+            low[self.find(i)] = min(low.get(self.find(i), x), x)
+        return [(x, low[self.find(i)]) for i, x in enumerate(names) if x != low[self.find(i)]]
+
 
 def _leaf_edges(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Edges that span what is alike in each leaf."""
+    """Stars that span what is alike in each leaf."""
     a, b = [], []
     for _, rows in sorted_groups(batches, ["path"], ["node", "sketch"]):
         node, sk = rows["node"], _matrix(rows["sketch"])
         sets = Sets(len(node))
         for i in range(len(node) - 1):
             for j in np.flatnonzero((sk[i + 1 :] == sk[i]).sum(axis=1) >= least):
-                if sets.join(i, i + 1 + int(j)):
-                    a.append(node[i])
-                    b.append(node[i + 1 + int(j)])
+                sets.join(i, i + 1 + int(j))
+        for x, y in sets.stars(node):
+            a.append(x)
+            b.append(y)
         if len(a) > 10_000:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
             a, b = [], []
@@ -180,34 +190,53 @@ def candidate_edges(classes: DataFrame, threshold: float, recall: float, leaf: i
     sketch = classes.select("node", "sketch")
     members = sketch.mapInArrow(lambda x: _split_roots(x, runs), "path long, node long").withColumn("parent", F.lit(None).cast("long"))
     least = max(1, math.floor((threshold - MARGIN) * COORDS))
-    edges = None
+    small = stars = None
     for depth in range(DEPTH):
         # A node's classes are counted before they meet; those alone in theirs go no further.
         sizes = members.groupBy("path").agg(F.count("*").alias("size"), F.min("node").alias("hub"), F.max("parent").alias("whole")).filter("size > 1")
         sized = table(members.select("path", "node").join(sizes, "path"), "nodes")
-        small = sized.filter(F.col("size") <= leaf).select("path", "node").join(sketch, "node")
-        found = small.repartition("path").sortWithinPartitions("path").mapInArrow(lambda x: _leaf_edges(x, least), "a long, b long")
+        leaves = sized.filter(F.col("size") <= leaf).select("path", "node")
         big = sized.filter(F.col("size") > leaf)
-        dense = (F.col("size") >= DENSE * F.col("whole")) if depth < DEPTH - 1 else F.lit(True)
-        dense = F.coalesce(dense, F.lit(False))
-        stars = big.filter(dense & (F.col("node") != F.col("hub"))).select(F.col("node").alias("a"), F.col("hub").alias("b"))
-        found = found.unionByName(stars)
-        edges = found if edges is None else edges.unionByName(found)
+        dense = F.coalesce(F.col("size") >= DENSE * F.col("whole"), F.lit(False)) if depth < DEPTH - 1 else F.lit(True)
+        alike = big.filter(dense & (F.col("node") != F.col("hub"))).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+        small, stars = (leaves, alike) if small is None else (small.unionByName(leaves), stars.unionByName(alike))
         deeper = big.filter(~dense)
         if deeper.isEmpty():
             break
-        members = deeper.select("path", "node", "size").join(sketch, "node").mapInArrow(_split_nodes, "path long, node long, parent long")
-    return edges
+        members = table(deeper.select("path", "node", "size").join(sketch, "node").mapInArrow(_split_nodes, "path long, node long, parent long"), "members")
+    found = small.join(sketch, "node").repartition("path").sortWithinPartitions("path").mapInArrow(lambda x: _leaf_edges(x, least), "a long, b long")
+    return found.unionByName(stars)
+
+
+def _bits_of(ids: DataFrame) -> np.ndarray:
+    """A table of 2**BITS bits with those of all ids set: of one size, whatever the number of ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << BITS, dtype=bool)
+        for batch in batches:
+            bits[_bit(batch.column(0).to_numpy())] = True
+        if bits.any():
+            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+
+    out = np.zeros(1 << BITS, dtype=bool)
+    for row in ids.coalesce(8).mapInArrow(run, "bits binary").collect():  # 8 rows at most
+        out |= np.unpackbits(np.frombuffer(row.bits, dtype=np.uint8)).astype(bool)
+    return out
+
+
+def _bit(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(_U)) >> _U(64 - BITS)).astype(np.int64)
 
 
-def _shingled(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+def _shingled(batches: Iterator[pa.RecordBatch], shingle: int, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Names and shingles of the documents whose ids have their bits set."""
     for batch in small_batches(batches, "__text", 600_000):
+        batch = batch.filter(batch.column("rep").is_valid())
+        batch = batch.filter(pa.array(bits[_bit(batch.column("rep").to_numpy())]))
         sets, starts, _ = shingle_sets(column_bytes(batch.column("__text")), shingle)
         lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(sets.view(np.int64)))
         k1, k2 = _names(sets, starts)
-        same = (k1 == batch.column("k1").to_numpy()) & (k2 == batch.column("k2").to_numpy())
-        made = pa.RecordBatch.from_arrays([batch.column("cluster"), batch.column("node"), batch.column("copies"), lists], names=["cluster", "node", "copies", "shingles"])
-        yield made.filter(pa.array(same))
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(k1), pa.array(k2), lists], names=["rep", "k1", "k2", "shingles"])
 
 
 def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -255,8 +284,8 @@ def _tiles(batches: Iterator[pa.RecordBatch], threshold: Fraction) -> Iterator[p
             out += [(node[i], None, int(s)) for i, s in zip(right, sums) if s]
         joined = Sets(len(sets))
         for x, y in zip(*np.nonzero(linked)):
-            if joined.join(left[x], right[y]):
-                out.append((node[left[x]], node[right[y]], None))
+            joined.join(left[x], right[y])
+        out += [(*edge, None) for edge in joined.stars(node)]
         if len(out) > 10_000:
             yield _tile_batch(out)
             out = []
@@ -279,11 +308,12 @@ def similar_documents(docs: DataFrame, text: str = "text", shingle: int = 5, thr
     clusters = components(candidate_edges(classes, threshold, recall, leaf))
     members = table(clusters.join(classes.select("node", "rep", "k1", "k2", "copies"), "node").select("node", F.col("label").alias("cluster"), "rep", "k1", "k2", "copies"), "members")
 
-    # The sets of clustered classes, made again from the text of one document of each.
+    # The sets of clustered classes, made again from the text of one document of each; a
+    # table of bits keeps nearly all other documents out of the join.
+    bits = docs.sparkSession.sparkContext.broadcast(_bits_of(members.select("rep")))
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col(text).alias("__text"))
-    texts = texts.join(members, "rep")
-    sets = texts.select("cluster", "node", "copies", "k1", "k2", "__text").mapInArrow(lambda x: _shingled(x, shingle), "cluster long, node long, copies long, shingles array<long>")
-    sets = table(sets.filter(F.size("shingles") > 0), "sets")
+    sets = texts.mapInArrow(lambda x: _shingled(x, shingle, bits.value), "rep long, k1 long, k2 long, shingles array<long>")
+    sets = table(sets.filter(F.size("shingles") > 0).join(members, ["rep", "k1", "k2"]).select("cluster", "node", "copies", "shingles"), "sets")
     shape = sets.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.size("shingles")).alias("total"))
     shape = shape.select("cluster", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     dealt = sets.join(shape, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))

@@ -8,34 +8,31 @@ from pyspark.sql import functions as F
 from terrahac.llm.common import drop_table, table
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether each a has one b, and no b is an a."""
+    seen = edges.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up")))
+    seen = seen.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
+    return seen.filter("ups > 1 or (ups = 1 and least = 0)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): each node that has an edge, with the smallest node it is connected to.
 
-    edges: a, b (longs, a <> b). Each round joins every node with its smallest neighbour; the
+    edges: a, b (longs). Each round joins every node with its smallest neighbour; the
     minimum is taken before rows meet, and a node with very many edges is the many-rows side
     of the join, which Spark splits. Each round is written to the shared folder.
     """
     now = table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    mark = _mark(now)
-    while True:
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
         # Large star: the larger neighbours of u go to the smallest of all.
-        large = both.filter("b > a").join(low, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = both.filter("b > a").join(low, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         # Small star: u and its smaller neighbours go to the smallest.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least.withColumnRenamed("a", "u"), F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = small.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
-        new = table(small, "edges")
-        new_mark = _mark(new)
+        new = table(small.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), "edges")
         drop_table(now)
         now = new
-        if new_mark == mark:
-            break
-        mark = new_mark
     hubs = now.select(F.col("b").alias("node")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(hubs.select("node", F.col("node").alias("label")))
