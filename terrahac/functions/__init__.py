@@ -1 +1 @@
-
+"""Column builders: distances, kernels and screens."""

@@ -1 +1 @@
-
+"""Joins and aggregations: pairs, meats, serial terms, the covariance itself."""

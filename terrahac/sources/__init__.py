@@ -1 +1 @@
-
+"""How inputs become the canonical observation frame."""

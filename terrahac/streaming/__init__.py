@@ -1 +1 @@
-
+"""Estimates over arriving data."""
