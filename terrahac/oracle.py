@@ -16,6 +16,11 @@ def r6(x: str) -> str:
     return f"round({x}, 6) + 0.0e0"
 
 
+def r7(x: str) -> str:
+    """For halves of scores, which have seven decimals themselves."""
+    return f"round({x}, 7) + 0.0e0"
+
+
 def distance(fn: str, i: str = "i", j: str = "j") -> str:
     la, lb, oa, ob = f"radians({i}.lat)", f"radians({j}.lat)", f"radians({i}.lon)", f"radians({j}.lon)"
     if fn == "haversine":
@@ -117,7 +122,7 @@ def queries() -> dict[str, str]:
         "scores": f"SELECT row, {r6('y')} AS s0, {r6('y * z')} AS s1 FROM ({xs})",
         "neighbor_counts": f"SELECT i, count(*) AS n FROM ({pairs(unb, 'haversine', 'uniform')}) GROUP BY i",
         "row_ptr": f"SELECT row, CAST(coalesce(sum(n) OVER (ORDER BY lat, lon, row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ptr FROM (SELECT row, lat, lon, coalesce(n, 0) AS n FROM ({xs}) p LEFT JOIN (SELECT i, count(*) AS n FROM ({pairs(xs, 'haversine', 'uniform', 100.0)}) GROUP BY i) c ON c.i = p.row)",
-        "score_accum": f"SELECT p.row AS row, {r6('p.y / 2 + coalesce(c0, 0.0e0)')} AS c0, {r6('p.y * p.z / 2 + coalesce(c1, 0.0e0)')} AS c1 FROM ({unb}) p LEFT JOIN (SELECT i, sum(w * ej) AS c0, sum(w * ej * zj) AS c1 FROM ({pairs(unb, 'haversine', 'bartlett')}) GROUP BY i) c ON c.i = p.row",
+        "score_accum": f"SELECT p.row AS row, {r7('p.y / 2 + coalesce(c0, 0.0e0)')} AS c0, {r7('p.y * p.z / 2 + coalesce(c1, 0.0e0)')} AS c1 FROM ({unb}) p LEFT JOIN (SELECT i, sum(w * ej) AS c0, sum(w * ej * zj) AS c1 FROM ({pairs(unb, 'haversine', 'bartlett')}) GROUP BY i) c ON c.i = p.row",
         "gram": plain(f"SELECT CAST(count(*) AS DOUBLE) AS s00, sum(z) AS s01, sum(z * z) AS s11 FROM ({xs})"),
         "bread_inverse": f"SELECT a, b, {r6('1.0e3 * value')} AS value FROM (SELECT a, b, CASE WHEN a = 0 AND b = 0 THEN szz WHEN a = 1 AND b = 1 THEN n ELSE -sz END / (n * szz - sz * sz) AS value FROM (SELECT CAST(count(*) AS DOUBLE) AS n, sum(z) AS sz, sum(z * z) AS szz FROM ({xs})), (SELECT CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b FROM range(2) t(a), range(2) u(b)))",
         "edges_balanced": f"SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, {r6('dist')} AS dist FROM ({pairs('SELECT DISTINCT CAST(unit AS BIGINT) AS row, 1.0e0 AS time, lat, lon, 1.0e0 AS y, 1.0e0 AS z FROM (' + bal + ')', 'haversine', 'bartlett', 500.0)})",

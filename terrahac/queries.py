@@ -70,7 +70,7 @@ def _total(spark: SparkSession, sf: str) -> DataFrame:
 def _accumulated(spark: SparkSession, sf: str) -> DataFrame:
     s = M.scores(_obs(spark, sf, "unb3"))
     out = M.accumulated(pairs(s, "haversine", CUTOFF, "bartlett", ["time"], ["s"]), s, 2)
-    return out.select("row", *[r6(F.col("c")[a]).alias(f"c{a}") for a in range(2)])
+    return out.select("row", *[F.round(F.col("c")[a], 7).alias(f"c{a}") for a in range(2)])
 
 
 def vcov(spark: SparkSession, sf: str, name: str, panel: bool = False, **options: object) -> DataFrame:

@@ -1 +1 @@
-"""Estimates over arriving data."""
+"""Empty: every estimate needs all pairs of a period, so none is kept up as a stream."""
