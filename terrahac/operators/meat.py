@@ -62,6 +62,33 @@ def gram(obs: DataFrame, k: int, column: str = "x") -> DataFrame:
     return _sum_blocks(obs.select(column).mapInArrow(run, "m array<double>, k int"))
 
 
+def both_grams(obs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of x x' and of s s', s being e * x, as matrices, in one pass."""
+    if k <= 8:
+        x = [F.col("x")[a] for a in range(k)]
+        square = F.col("e") * F.col("e")
+        upper = [(a, b) for a in range(k) for b in range(a, k)]
+        row = obs.agg(*[F.sum(x[a] * x[b]).alias(f"x_{a}_{b}") for a, b in upper], *[F.sum(square * x[a] * x[b]).alias(f"s_{a}_{b}") for a, b in upper]).first()
+        found = tuple(np.array([[row[f"{n}_{min(a, b)}_{max(a, b)}"] or 0.0 for b in range(k)] for a in range(k)]) for n in "xs")
+        return found[0], found[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = np.zeros((2, k, k))
+        for batch in batches:
+            x, e = _rows(batch.column(0), k), batch.column(1).to_numpy()
+            m[0] += x.T @ x
+            x = x * e[:, None]
+            m[1] += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([m.ravel().tolist()], pa.list_(pa.float64()))], names=["m"])
+
+    rows = obs.select("x", "e").mapInArrow(run, "m array<double>").select(F.posexplode("m").alias("p", "value")).groupBy("p").agg(F.sum("value").alias("value"))
+    flat = np.zeros(2 * k * k)
+    for r in rows.collect():
+        flat[r.p] = r.value
+    m = flat.reshape(2, k, k)
+    return m[0], m[1]
+
+
 def cross(weighted: DataFrame, k: int) -> DataFrame:
     """Both outer products of weighted pairs (w, i_s, j_s), summed."""
     i, j = [F.col("i_s")[a] for a in range(k)], [F.col("j_s")[a] for a in range(k)]
@@ -80,34 +107,54 @@ def added(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).groupBy("a", "b").agg(F.sum("value").alias("value"))
 
 
-def _distance(dist_fn: str, a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> np.ndarray:
-    """Distances of all of a to all of b, under the names of degrees and radians."""
-    la, lb = np.radians(a["lat"])[:, None], np.radians(b["lat"])[None, :]
-    oa, ob = np.radians(a["lon"])[:, None], np.radians(b["lon"])[None, :]
+def _half_sines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """sin((b - a) / 2) squared for all pairs of angles, from products of sines and cosines of single ones."""
+    d = np.outer(np.cos(a / 2), np.sin(b / 2)) - np.outer(np.sin(a / 2), np.cos(b / 2))
+    return d * d
+
+
+def _near(dist_fn: str, a: dict[str, np.ndarray], b: dict[str, np.ndarray], cutoff: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (flat, in an a x b matrix) of the pairs within the cutoff, and their distances.
+
+    A bound on the sine or cosine of the angle comes first, so that only pairs within it, up to
+    rounding, need an inverse function.
+    """
+    la, lb, oa, ob = np.radians(a["lat"]), np.radians(b["lat"]), np.radians(a["lon"]), np.radians(b["lon"])
     if dist_fn == "haversine":
-        h = np.sin((lb - la) / 2) ** 2 + np.cos(la) * np.cos(lb) * np.sin((ob - oa) / 2) ** 2
-        h = np.clip(h, 0, 1)
-        return 2 * RADIUS * np.arctan2(np.sqrt(h), np.sqrt(1 - h))
-    if dist_fn == "spherical":
-        return RADIUS * np.arccos(np.clip(np.sin(la) * np.sin(lb) + np.cos(la) * np.cos(lb) * np.cos(oa - ob), -1, 1))
-    if dist_fn == "chord":
-        p, q = ([np.cos(x) * np.cos(y), np.cos(x) * np.sin(y), np.sin(x) + 0 * y] for x, y in ((la, oa), (lb, ob)))
-        return RADIUS * np.sqrt(sum((u - v) ** 2 for u, v in zip(p, q)))
-    south = np.where(a["lat"][:, None] <= b["lat"][None, :], np.cos(la), np.cos(lb))
-    return np.sqrt((DEGREE_KM * (b["lat"][None, :] - a["lat"][:, None])) ** 2 + (DEGREE_KM * south * (b["lon"][None, :] - a["lon"][:, None])) ** 2)
+        h = _half_sines(la, lb) + np.outer(np.cos(la), np.cos(lb)) * _half_sines(oa, ob)
+        most = np.sin(min(cutoff / RADIUS, np.pi) / 2) ** 2
+        at = np.flatnonzero(h <= most * (1 + 1e-9) + 1e-15)
+        h = np.clip(h.ravel()[at], 0, 1)
+        d = 2 * RADIUS * np.arctan2(np.sqrt(h), np.sqrt(1 - h))
+    elif dist_fn == "spherical":
+        c = np.outer(np.sin(la), np.sin(lb)) + np.outer(np.cos(la), np.cos(lb)) * (np.outer(np.cos(oa), np.cos(ob)) + np.outer(np.sin(oa), np.sin(ob)))
+        at = np.flatnonzero(c >= np.cos(min(cutoff / RADIUS, np.pi)) - 1e-9)
+        d = RADIUS * np.arccos(np.clip(c.ravel()[at], -1, 1))
+    elif dist_fn == "chord":
+        p, q = ([np.cos(x) * np.cos(y), np.cos(x) * np.sin(y), np.sin(x)] for x, y in ((la, oa), (lb, ob)))
+        d = RADIUS * np.sqrt(sum((u[:, None] - v[None, :]) ** 2 for u, v in zip(p, q))).ravel()
+        at = np.arange(len(d))
+    else:
+        south = np.where(a["lat"][:, None] <= b["lat"][None, :], np.cos(la)[:, None], np.cos(lb)[None, :])
+        d = np.sqrt((DEGREE_KM * (b["lat"][None, :] - a["lat"][:, None])) ** 2 + (DEGREE_KM * south * (b["lon"][None, :] - a["lon"][:, None])) ** 2).ravel()
+        at = np.arange(len(d))
+    near = d <= cutoff
+    return at[near], d[near]
 
 
 def _tile(first: dict[str, np.ndarray], second: dict[str, np.ndarray], dist_fn: str, cutoff: float, kernel: str) -> np.ndarray:
     """Weighted sums of second's scores for each of first, over pairs in their order."""
-    d = _distance(dist_fn, first, second)
-    w = np.where(d <= cutoff, 1 - d / cutoff if kernel == "bartlett" and cutoff > 0 else 1.0, 0.0)
-    for c in ("lat", "lon", "row"):
-        x, y = first[c][:, None], second[c][None, :]
-        if c == "lat":
-            ok, same = x < y, x == y
-        else:
-            ok, same = ok | (same & (x < y)), same & (x == y)
-    return np.where(ok, w, 0.0) @ second["s"]
+    n, m = len(first["row"]), len(second["row"])
+    at, d = _near(dist_fn, first, second, cutoff)
+    i, j = at // m, at % m
+    x, y = first["lat"][i], second["lat"][j]
+    ok = x < y
+    for tie in np.flatnonzero(x == y):
+        p, q = i[tie], j[tie]
+        ok[tie] = (first["lon"][p], first["row"][p]) < (second["lon"][q], second["row"][q])
+    w = np.zeros(n * m)
+    w[at[ok]] = 1 - d[ok] / cutoff if kernel == "bartlett" and cutoff > 0 else 1.0
+    return w.reshape(n, m) @ second["s"]
 
 
 def tiled_cross(s: DataFrame, k: int, dist_fn: str, cutoff: float, kernel: str) -> DataFrame:
@@ -170,14 +217,17 @@ def spatial_meat(obs: DataFrame, k: int, dist_fn: str, cutoff: float, kernel: st
 
     method: 'sums' or 'tiles'; by default the number of regressors decides.
     """
+    own = gram(scores(obs), k, "s")
+    return own if cutoff < 0 else added([own, cross_meat(obs, k, dist_fn, cutoff, kernel, balanced, method)])
+
+
+def cross_meat(obs: DataFrame, k: int, dist_fn: str, cutoff: float, kernel: str, balanced: bool = False, method: str | None = None) -> DataFrame:
+    """The part of the spatial meat that comes from pairs."""
     s = scores(obs)
-    own = gram(s, k, "s")
-    if cutoff < 0:
-        return own
     if (method or ("sums" if k <= FEW else "tiles")) == "tiles":
-        return added([own, tiled_cross(s, k, dist_fn, cutoff, kernel)])
+        return tiled_cross(s, k, dist_fn, cutoff, kernel)
     if balanced:
         weighted = reuse(unit_edges(s, dist_fn, cutoff, kernel), s, ["s"])
     else:
         weighted = pairs(s, dist_fn, cutoff, kernel, ["time"], ["s"])
-    return added([own, cross(weighted, k)])
+    return cross(weighted, k)

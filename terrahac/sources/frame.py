@@ -58,12 +58,12 @@ def _finite(c: Column) -> Column:
 
 
 def finite_check(obs: DataFrame) -> DataFrame:
-    """One row: n, bad_coords (not finite), bad_rows (null e or regressor), n_time, far_lat."""
+    """One row: n, bad_coords (not finite), bad_rows (null e or regressor), panel (more times than one), far_lat."""
     return obs.agg(
         F.count("*").alias("n"),
         F.sum(F.when(_finite(F.col("lat")) & _finite(F.col("lon")), 0).otherwise(1)).alias("bad_coords"),
         F.sum(F.when(F.col("e").isNull() | F.exists("x", lambda v: v.isNull()), 1).otherwise(0)).alias("bad_rows"),
-        F.count_distinct("time").alias("n_time"),
+        F.coalesce(F.min("time") != F.max("time"), F.lit(False)).alias("panel"),
         F.sum(F.when(F.abs(F.col("lat")) > 90, 1).otherwise(0)).alias("far_lat"),
     )
 
@@ -79,8 +79,8 @@ def moving_units(obs: DataFrame) -> DataFrame:
     return ends.filter("min_lat <> max_lat or min_lon <> max_lon").select("unit")
 
 
-def check(obs: DataFrame, spec: SpatialHacSpec) -> tuple[int, bool]:
-    """Raise what the inputs don't allow; the number of distinct times, and whether one neighbour graph serves all."""
+def check(obs: DataFrame, spec: SpatialHacSpec) -> tuple[bool, bool]:
+    """Raise what the inputs don't allow; whether there are several times, and whether one neighbour graph serves all."""
     r = finite_check(obs).first()
     if r.bad_coords:
         raise ValueError("lat/lon contain non-finite values.")
@@ -88,7 +88,7 @@ def check(obs: DataFrame, spec: SpatialHacSpec) -> tuple[int, bool]:
         raise ValueError("residuals or regressors contain nulls.")
     if r.far_lat:
         log.warning("latitudes beyond 90 degrees")
-    if spec.balanced_pnl and r.n_time > 1:
+    if spec.balanced_pnl and r.panel:
         if not obs.filter("unit is null").isEmpty():
             raise ValueError("balanced_pnl = TRUE requires a unit in every row.")
         if not moving_units(obs).isEmpty():
@@ -96,5 +96,5 @@ def check(obs: DataFrame, spec: SpatialHacSpec) -> tuple[int, bool]:
         b = block_sizes(obs).agg(F.min("n").alias("lo"), F.max("n").alias("hi")).first()
         if b.lo != b.hi:
             log.warning("balanced_pnl = TRUE, but periods differ in size; the general path is taken")
-            return r.n_time, False
-    return r.n_time, spec.balanced_pnl and r.n_time > 1
+            return r.panel, False
+    return r.panel, spec.balanced_pnl and r.panel
