@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from terrahac.functions.geo import DEGREE_KM, RADIUS, Screen
 from terrahac.operators.pairs import gridded, pairs, reuse, unit_edges
+from terrahac.runtime import ship
 
 #: Regressors up to which sums are expressions.
 FEW = 4
@@ -52,6 +53,8 @@ def gram(obs: DataFrame, k: int, column: str = "x") -> DataFrame:
         sums = obs.agg(*[F.sum(x[min(a, b)] * x[max(a, b)]).alias(f"m_{a}_{b}") for a in range(k) for b in range(k)])
         return _long(sums, k)
 
+    ship(obs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = np.zeros((k, k))
         for batch in batches:
@@ -72,6 +75,8 @@ def both_grams(obs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
         found = tuple(np.array([[row[f"{n}_{min(a, b)}_{max(a, b)}"] or 0.0 for b in range(k)] for a in range(k)]) for n in "xs")
         return found[0], found[1]
 
+    ship(obs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = np.zeros((2, k, k))
         for batch in batches:
@@ -159,6 +164,7 @@ def _tile(first: dict[str, np.ndarray], second: dict[str, np.ndarray], dist_fn:
 
 def tiled_cross(s: DataFrame, k: int, dist_fn: str, cutoff: float, kernel: str) -> DataFrame:
     """cross() over the pairs of s (row, time, lat, lon, s) without a row for each pair."""
+    ship(s.sparkSession)
     screen = Screen(dist_fn, cutoff)
     first, second, grid = gridded(s.filter("time is not null"), screen)
     keys = ["time", *grid]

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrahac.operators.meat import FEW, _long, _rows, _sum_blocks, scores
+from terrahac.runtime import ship
 
 #: Lags of time that one task reads of a unit at least.
 STRETCH = 64
@@ -52,6 +53,7 @@ def serial_join(obs: DataFrame, k: int, lag: float, by_unit: bool = True) -> Dat
 
 def serial_arrays(obs: DataFrame, k: int, lag: float) -> DataFrame:
     """The same for any number of regressors: each task sends one k x k matrix."""
+    ship(obs.sparkSession)
     s = scores(obs).filter("unit is not null and time is not null").select("unit", "time", "s")
     span = STRETCH * lag
     own = F.floor(F.col("time") / span)
