@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import io
-import os
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,41 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give executors this package, once per application.
-
-    Executors import the functions that run there by name, so they need the source
-    even where they share no folder with the driver.
-    """
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    data = io.BytesIO()
-    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, names in os.walk(top):
-            for name in names:
-                if name.endswith(".py"):
-                    path = os.path.join(folder, name)
-                    z.write(path, os.path.relpath(path, os.path.dirname(top)))
-    target = os.path.join(tempfile.mkdtemp(prefix="ship-"), "terrahac.zip")
-    with open(target, "wb") as f:
-        f.write(data.getvalue())
-    sc.addPyFile(target)
-    _SHIPPED.add(sc.applicationId)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset, as in tests, one of its own."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        base = "file:" + tempfile.mkdtemp(prefix="terrahac-")
-        sc.setCheckpointDir(base)
-    return base.rstrip("/")
+from terrahac.runtime import shared_dir, ship
+
+__all__ = ["column_bytes", "drop_path", "drop_table", "held_out", "new_path", "shared_dir", "ship", "small_batches", "sorted_groups", "table"]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
