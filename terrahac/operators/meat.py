@@ -1,8 +1,10 @@
 """Score outer products: the Gram matrix and the spatial meat, in long form (a, b, value).
 
-Positions a, b count from 0. With few regressors the sums are expressions that Spark
-compiles, with a partial sum in every task. With many, rows meet in tiles of bounded size, a
-tile is two matrix products, and each task sends one k x k matrix.
+Positions a, b count from 0. Pairs are summed in one of two ways. Tiles: rows meet in tiles of
+bounded size, a tile is two matrix products, and each task sends one k x k matrix. Sums: a
+row for each pair, and expressions that Spark compiles, with a partial sum in every task; a
+balanced panel with few regressors takes this way, as its distances are then worked out once
+for all periods.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from terrahac.functions.geo import DEGREE_KM, RADIUS, Screen
 from terrahac.operators.pairs import gridded, pairs, reuse, unit_edges
 from terrahac.runtime import ship
 
-#: Regressors up to which sums are expressions.
+#: Regressors up to which sums of a balanced panel or of windows are expressions.
 FEW = 4
 #: Rows of a side of a tile.
 TILE = 2048
@@ -221,7 +223,7 @@ def tiled_cross(s: DataFrame, k: int, dist_fn: str, cutoff: float, kernel: str)
 def spatial_meat(obs: DataFrame, k: int, dist_fn: str, cutoff: float, kernel: str, balanced: bool = False, method: str | None = None) -> DataFrame:
     """Own products plus both products of all pairs of a period, by weight: (a, b, value).
 
-    method: 'sums' or 'tiles'; by default the number of regressors decides.
+    method: 'sums' or 'tiles'; None chooses.
     """
     own = gram(scores(obs), k, "s")
     return own if cutoff < 0 else added([own, cross_meat(obs, k, dist_fn, cutoff, kernel, balanced, method)])
@@ -230,7 +232,7 @@ def spatial_meat(obs: DataFrame, k: int, dist_fn: str, cutoff: float, kernel: st
 def cross_meat(obs: DataFrame, k: int, dist_fn: str, cutoff: float, kernel: str, balanced: bool = False, method: str | None = None) -> DataFrame:
     """The part of the spatial meat that comes from pairs."""
     s = scores(obs)
-    if (method or ("sums" if k <= FEW else "tiles")) == "tiles":
+    if (method or ("sums" if balanced and k <= FEW else "tiles")) == "tiles":
         return tiled_cross(s, k, dist_fn, cutoff, kernel)
     if balanced:
         weighted = reuse(unit_edges(s, dist_fn, cutoff, kernel), s, ["s"])

@@ -142,7 +142,7 @@ def queries() -> dict[str, Query]:
         "serial_meat_join": lambda s, d: _long(serial_join(_obs(s, d, "bal"), 2, 2.0)),
         "timedist_meat": _timedist,
         "meat_balanced": lambda s, d: _meat(s, d, "bal", "haversine", "bartlett", 500.0, balanced=True),
-        "meat_unbalanced": lambda s, d: _meat(s, d, "day", "chord", "uniform"),
+        "meat_unbalanced": lambda s, d: _meat(s, d, "day", "chord", "uniform", method="sums"),
         "meat_tiled": lambda s, d: _meat(s, d, "unb3", "haversine", "bartlett", method="tiles"),
         "meat_total": _total,
         "vcov_cross_section": lambda s, d: vcov(s, d, "xs"),
@@ -164,7 +164,7 @@ def queries() -> dict[str, Query]:
         out[f"dist_{fn}"] = lambda s, d, fn=fn: _pairs(s, d, "unb3", fn, "uniform").select("i", "j", r6("dist").alias("dist"))
         out[f"edges_band_{fn}"] = lambda s, d, fn=fn: _pairs(s, d, "xs", fn, "uniform", 200.0).groupBy("time").agg(F.count("*").alias("n"), r6(F.sum("dist") / 1e3).alias("dist"))
         for k in ("bartlett", "uniform"):
-            out[f"meat_general_{fn}_{k}"] = partial(_meat, name="unb3", fn=fn, kernel=k)
+            out[f"meat_general_{fn}_{k}"] = partial(_meat, name="unb3", fn=fn, kernel=k, method="sums")
     for k in ("bartlett", "uniform"):
         out[f"kernel_{k}"] = lambda s, d, k=k: _columns(s, d, "xs", w=lambda x: weight(10 * F.col("lat"), CUTOFF, k))
         out[f"edges_{k}"] = lambda s, d, k=k: _pairs(s, d, "unb3", "haversine", k).select("time", "i", "j", r6("w").alias("w"))
