@@ -15,8 +15,10 @@ for all copies of it, and branches there go only if at least STEADY pages are kn
 all have them.
 
 Tables: (host, node, kind, value) rows are reduced to distinct pages and counted before hosts
-meet, so a host may hold any share of the pages; of each host only its unimportant nodes, a
-bounded property of its layout, are joined to its pages.
+meet, so a host may hold any share of the pages; of each host only its unimportant nodes with
+text of their own are joined to its pages. The mean share of such a node's texts is over 1 -
+THRESHOLD, so its commonest text is on at least M ** (1 - THRESHOLD) pages, and a host has at
+most M ** THRESHOLD times a page's blocks of them.
 
 Defined results: null, empty and textless pages give the empty text; a page without host is
 of the host ''; repeated rows each get their result; other columns are not read. Text keeps
@@ -249,7 +251,7 @@ def main_text(top: Node, low: dict[int, float]) -> str:
                 text, gone = gather(child, most)
                 if not gone:
                     parts += [" ", *text, " "] if child.block else text
-                    noise = noise and not "".join(text).strip()
+                    noise = noise and not unescape("".join(text)).strip()
         return parts, noise and (own or any(c.__class__ is not str for c in node.parts))
 
     visit(top, xxh64_intdigest("html"), False)
@@ -290,10 +292,12 @@ def unimportant(pages: DataFrame) -> DataFrame:
     ).join(size, "host")
     presentation = F.when(F.col("seen") > 1, (F.log("seen") - F.col("s") / F.col("seen")) / F.log("seen")).when(F.col("seen") == 1, F.lit(1.0))
     content = 1 - F.col("t") / F.col("texts") / F.log(m)
-    both = by.select("host", "node", "m", F.greatest(presentation, content).alias("importance"))
+    both = by.select("host", "node", "m", F.col("t").isNotNull().alias("worded"), F.greatest(presentation, content).alias("importance"))
     # Without enough pages a node is never so sure that an article would lose it.
     sure = F.when(F.col("m") < STEADY, F.greatest("importance", F.lit(SURE))).otherwise(F.col("importance"))
-    low = both.filter(F.col("importance") < THRESHOLD).select("host", "node", sure.alias("importance"))
+    # A node without text of its own loses nothing that its children don't lose by themselves.
+    # Of the others each has one text on nearly m ** (1 - THRESHOLD) pages or more, so that few are left.
+    low = both.filter((F.col("importance") < THRESHOLD) & F.col("worded")).select("host", "node", sure.alias("importance"))
     return low.groupBy("host").agg(F.collect_list("node").alias("nodes"), F.collect_list("importance").alias("importances"))
 
 
