@@ -18,7 +18,9 @@ Tables: (host, node, kind, value) rows are reduced to distinct pages and counted
 meet, so a host may hold any share of the pages; of each host only its unimportant nodes with
 text of their own are joined to its pages. The mean share of such a node's texts is over 1 -
 THRESHOLD, so its commonest text is on at least M ** (1 - THRESHOLD) pages, and a host has at
-most M ** THRESHOLD times a page's blocks of them.
+most M ** THRESHOLD times a page's blocks of them. Up to SEND_BYTES they are sent to all
+tasks, after their size is measured; beyond, a host's pages are dealt by a salt and the
+host's nodes repeated for each.
 
 Defined results: null, empty and textless pages give the empty text; a page without host is
 of the host ''; repeated rows each get their result; other columns are not read. Text keeps
@@ -43,6 +45,8 @@ THRESHOLD = 0.2
 DEEP = 256
 #: Within articles: at least so many pages, and so little importance.
 STEADY, SURE = 20, 0.02
+#: Bytes of unimportant nodes up to which all tasks get them all; beyond, pages meet them in a join on host and salt.
+SEND_BYTES, SALTS = 32_000_000, 64
 
 # Elements of HTML.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -314,10 +318,17 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, send_bytes: int = SEND_BYTES, salts: int = SALTS) -> DataFrame:
     """page_id, url, text and n_chars of each page (page_id, url, html)."""
     ship(pages.sparkSession)
-    low = unimportant(pages)
+    low = table(unimportant(pages), "unimportant")
+    size = low.agg(F.coalesce(F.sum(16 * F.size("nodes") + F.octet_length("host") + 32), F.lit(0)).alias("n")).first().n
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST.pattern, 1))
-    joined = pages.select("page_id", "url", "html", host.alias("host")).join(low, "host", "left")
+    hosted = pages.select("page_id", "url", "html", host.alias("host"))
+    if size <= send_bytes:
+        joined = hosted.join(F.broadcast(low), "host", "left")
+    else:  # a host's pages are dealt over as many tasks as there are salts
+        dealt = hosted.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)))
+        joined = dealt.join(low.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), ["host", "salt"], "left")
+    joined = joined.select("page_id", "url", "html", "host", "nodes", "importances")
     return joined.mapInArrow(_extract, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")

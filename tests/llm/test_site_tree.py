@@ -47,6 +47,8 @@ def test_style_tree(spark):
     assert got[205] == ["Story 5"]
     assert got[105] == ["Shared article"]
     assert got[300] == got[301] == [""] and got[302] == ["Only page"] * 2
+    salted = site_tree.extract(df, send_bytes=-1, salts=3)
+    assert sorted((r.page_id, r.text) for r in salted.collect()) == sorted((i, t) for i, ts in got.items() for t in ts)
     assert site_tree.extract(df.limit(0)).count() == 0
 
 
