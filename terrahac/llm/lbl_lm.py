@@ -7,10 +7,10 @@ class times its add-one share of the rare words, so all words, unseen ones too,
 total of one.
 
 Training uses every run of three classes of the training documents, counted over the whole
-corpus: a fixed number of trainers each read a part of the counts in an order given by a
-hash, drawing mini-batches by weight against noise drawn from the class frequencies, and their
-parameters are averaged after each round. What a trainer sends has a fixed size. The
-normaliser of each of the K * K contexts is then worked out by matrix products, spread
+corpus: trainers, as many as the distinct runs need, each read a part of the counts in an order
+given by a hash, drawing mini-batches by weight against noise drawn from the class frequencies,
+and their parameters are averaged, in slots over tasks, after each round. What a trainer sends
+and what the driver gets have a fixed size. The normaliser of each of the K * K contexts is then worked out by matrix products, spread
 over tasks, so that a token's probability is a dot product and a look-up.
 
 Counts of the HEAD most frequent words are sent to all tasks, a table of fixed size; other
@@ -32,14 +32,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrahac.llm.common import column_bytes, drop_table, held_out, ship, small_batches, table
+from terrahac.llm.common import column_bytes, drop_table, held_out, ship, small_batches, sorted_groups, table
 
 #: Classes: the end of a text, the rare words, and the most frequent words.
 CLASSES = 1024
 DIM = 32
 #: Words whose counts all tasks know.
 HEAD = 50_000
-TRAINERS, ROUNDS, BATCH, NOISE = 12, 2, 1024, 256
+#: There is a trainer for every PART runs, and at least TRAINERS.
+TRAINERS, PART, ROUNDS, BATCH, NOISE = 12, 1_000_000, 2, 1024, 256
+#: Parts that parameters are cut into, to be averaged apart.
+SLOTS = 16
 RATE = 0.3
 #: Runs that a trainer holds at a time, draws for each of them, and least draws from a part of the counts.
 CHUNK, DRAWS, LEAST = 1 << 16, 3, 400 * BATCH
@@ -205,15 +208,23 @@ class Model:
         return out / np.log(10)
 
 
-def fit(train: DataFrame, words: Words) -> Model:
+def _averages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The mean of what the trainers sent for each slot, weighted by the runs they read."""
+    for (slot,), rows in sorted_groups(batches, ["slot"], ["rows", "part"]):
+        mean = np.average([np.frombuffer(p, dtype=np.float32).astype(np.float64) for p in rows["part"]], axis=0, weights=rows["rows"])
+        yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([mean.tobytes()], pa.binary())], names=["slot", "mean"])
+
+
+def fit(train: DataFrame, words: Words, part: int = PART) -> Model:
     """Train on all runs of three classes of train's column __text."""
     spark = train.sparkSession
     sent = spark.sparkContext.broadcast(words)
     k = words.size
     model = Model(words.unigram)
     runs = train.mapInArrow(lambda b: _count_runs(b, sent), "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
-    runs = runs.withColumn("turn", F.xxhash64("run"))
-    runs = table(runs.withColumn("trainer", F.pmod("turn", F.lit(TRAINERS)).cast("int")).repartition(TRAINERS, "trainer").sortWithinPartitions("trainer", "turn"), "runs")
+    runs = table(runs, "runs")
+    trainers = max(TRAINERS, -(-runs.count() // part))
+    dealt = runs.withColumn("turn", F.xxhash64("run")).withColumn("trainer", F.pmod("turn", F.lit(trainers)).cast("int"))
     for r in range(ROUNDS):
         now = spark.sparkContext.broadcast(model)
 
@@ -230,7 +241,8 @@ def fit(train: DataFrame, words: Words) -> Model:
             for batch in batches:
                 if batch.num_rows:
                     if rng is None:
-                        rng = np.random.default_rng([r, batch.column("trainer")[0].as_py()])
+                        own = batch.column("trainer")[0].as_py()
+                        rng = np.random.default_rng([r, own])
                     held.append((batch.column("run").to_numpy(), batch.column("n").to_numpy()))
                     size += batch.num_rows
                     if size >= CHUNK:
@@ -240,16 +252,14 @@ def fit(train: DataFrame, words: Words) -> Model:
                 spend(0 if done else LEAST)
                 done += size
             if done:
-                yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64()), pa.array([b"".join(p.tobytes() for p in m.parts())], pa.binary())], names=["rows", "parts"])
+                cut = np.array_split(np.concatenate([p.ravel() for p in m.parts()]), SLOTS)
+                yield pa.RecordBatch.from_arrays([pa.array(range(SLOTS), pa.int32()), pa.array([own] * SLOTS, pa.int32()), pa.array([done] * SLOTS, pa.int64()), pa.array([c.tobytes() for c in cut], pa.binary())], names=["slot", "trainer", "rows", "part"])
 
         unigram = words.unigram
-        # At most one row a trainer, of a size that K and DIM fix.
-        sent_back = runs.repartition(TRAINERS, "trainer").sortWithinPartitions("trainer", "turn").select("trainer", "run", "n").mapInArrow(learn, "rows long, parts binary").collect()
-        if sent_back:
-            weight = np.array([x.rows for x in sent_back], dtype=np.float64)
-            flat = np.zeros(len(sent_back[0].parts) // 4)
-            for x, share in zip(sent_back, weight / weight.sum()):
-                flat += np.frombuffer(x.parts, dtype=np.float32) * share
+        sent_back = dealt.repartition(trainers, "trainer").sortWithinPartitions("trainer", "turn").select("trainer", "run", "n").mapInArrow(learn, "slot int, trainer int, rows long, part binary")
+        means = sent_back.repartition(SLOTS, "slot").sortWithinPartitions("slot", "trainer").mapInArrow(_averages, "slot int, mean binary").collect()  # a row a slot
+        if means:
+            flat = np.frombuffer(b"".join(bytes(x.mean) for x in sorted(means, key=lambda x: x.slot)), dtype=np.float64)
             at = 0
             for p in model.parts():
                 p[...] = flat[at : at + p.size].reshape(p.shape)
@@ -292,7 +302,7 @@ def _score(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(own), *[pa.nulls(m, t) for t in kinds[1:7]], pa.array([w for _, w in pairs], pa.binary()), pa.array(list(pairs.values()), pa.int64())], names=names)
 
 
-def scores(docs: DataFrame, text: str = "text", modulus: int = 7, classes: int = CLASSES, head: int = HEAD) -> DataFrame:
+def scores(docs: DataFrame, text: str = "text", modulus: int = 7, classes: int = CLASSES, head: int = HEAD, part: int = PART) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row.
 
     Rows whose crc32(doc_id as text) leaves remainder 2 modulo ``modulus`` are held out; the
@@ -306,7 +316,7 @@ def scores(docs: DataFrame, text: str = "text", modulus: int = 7, classes: int =
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("kinds")).first()
     top = counts.orderBy(F.desc("n"), "word").limit(head).collect()  # head rows at most
     words = Words([(bytes(r.word), r.n) for r in top if len(r.word) <= 200], train.count(), total.n, total.kinds, classes)
-    model = fit(train, words)
+    model = fit(train, words, part)
 
     sent = spark.sparkContext.broadcast(model)
     n_contexts = words.size**2

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +55,13 @@ def test_probabilities_sum_to_one():
         assert p.argmax() == 3 and p.max() > 0.4
 
 
+def test_averages_by_slot():
+    rows = [(0, 1, [1.0, 2.0]), (0, 3, [5.0, 6.0]), (1, 2, [7.0])]
+    batch = pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in rows], pa.int32()), pa.array([n for _, n, _ in rows]), pa.array([np.array(p, dtype=np.float32).tobytes() for _, _, p in rows])], names=["slot", "rows", "part"])
+    got = {b.column("slot")[0].as_py(): np.frombuffer(b.column("mean")[0].as_py()).tolist() for b in lbl_lm._averages(iter([batch]))}
+    assert got == {0: [4.0, 5.0], 1: [7.0]}
+
+
 def test_odd_rows(spark):
     rows = [(i, f"a b c w{i} A", 0.5) for i in range(30)] + [(3, "a b c w3 A", 0.5), (100, None, 0.1), (101, "", 0.1), (102, "z " * 50_000, 0.0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score double")
@@ -61,7 +69,7 @@ def test_odd_rows(spark):
     assert len(out) == len(rows) and {r.n_tokens for r in out if r.doc_id in (100, 101)} == {1}
     want = brute([(1000 + i, t) if j == 30 else (i, t) for j, (i, t, _) in enumerate(rows)])
     assert all(np.isfinite(r.score) and r.score < 0 for r in out)
-    small = lbl_lm.scores(docs.filter("doc_id <> 3"), classes=4, head=3).collect()
+    small = lbl_lm.scores(docs.filter("doc_id <> 3"), classes=4, head=3, part=2).collect()
     want = brute([(i, t) for i, t, _ in rows if i != 3])
     for r in small:
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:4]
