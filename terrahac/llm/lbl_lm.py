@@ -9,7 +9,9 @@ total of one.
 Training uses every run of three classes of the training documents, counted over the whole
 corpus: a fixed number of trainers each read a part of the counts in an order given by a
 hash, drawing mini-batches by weight against noise drawn from the class frequencies, and their
-parameters are averaged after each round. What a trainer sends has a fixed size. The
+parameters are averaged after each round. One rate, draws for each occurrence, holds for the
+whole corpus, and a frequent run is dealt in parts over all trainers and all that each of them
+holds in turn, so a run is drawn as often as its count asks. The
 normaliser of each of the K * K contexts is then worked out by matrix products, spread
 over tasks, so that a token's probability is a dot product and a look-up.
 
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +44,10 @@ DIM = 32
 HEAD = 50_000
 TRAINERS, ROUNDS, BATCH, NOISE = 12, 2, 1024, 256
 RATE = 0.3
-#: Runs that a trainer holds at a time, draws for each of them, and least draws from a part of the counts.
+#: Runs that a trainer holds at a time, draws of a round for each distinct run, and least draws of a trainer.
 CHUNK, DRAWS, LEAST = 1 << 16, 3, 400 * BATCH
+#: A row of the counts is at most one part in PARTS of what a trainer holds at a time.
+PARTS = 100
 END, RARE = 0, 1
 
 
@@ -205,48 +210,65 @@ class Model:
         return out / np.log(10)
 
 
+def dealt(runs: DataFrame, total: int, kinds: int, chunk: int = CHUNK) -> DataFrame:
+    """trainer, turn, run and n: runs (run, n) of the given sum and number, the frequent ones in parts."""
+    most = max(1, total // (PARTS * max(TRAINERS, kinds // chunk)))
+    parts = runs.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {most}"))))
+    parts = parts.withColumn("turn", F.xxhash64("run", "part"))
+    return parts.select(F.pmod("turn", F.lit(TRAINERS)).cast("int").alias("trainer"), "turn", "run", F.least(F.col("n") - F.col("part") * most, F.lit(most)).alias("n"))
+
+
+def drawn(batches: Iterator[pa.RecordBatch], rate: float, rng: np.random.Generator, chunk: int = CHUNK) -> Iterator[tuple[np.ndarray, int]]:
+    """Runs drawn from a trainer's rows (run, n), rate for each occurrence, and the occurrences they stand for."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def draw() -> tuple[np.ndarray, int]:
+        run, n = (np.concatenate(x) for x in zip(*held))
+        sums = np.cumsum(n)
+        return run[np.searchsorted(sums, rng.integers(0, sums[-1], max(1, round(rate * int(sums[-1])))), side="right")], int(sums[-1])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append((batch.column("run").to_numpy(), batch.column("n").to_numpy()))
+            size += batch.num_rows
+            if size >= chunk:
+                yield draw()
+                held, size = [], 0
+    if held:
+        yield draw()
+
+
 def fit(train: DataFrame, words: Words) -> Model:
     """Train on all runs of three classes of train's column __text."""
     spark = train.sparkSession
     sent = spark.sparkContext.broadcast(words)
     k = words.size
     model = Model(words.unigram)
-    runs = train.mapInArrow(lambda b: _count_runs(b, sent), "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
-    runs = runs.withColumn("turn", F.xxhash64("run"))
-    runs = table(runs.withColumn("trainer", F.pmod("turn", F.lit(TRAINERS)).cast("int")).repartition(TRAINERS, "trainer").sortWithinPartitions("trainer", "turn"), "runs")
+    runs = table(train.mapInArrow(lambda b: _count_runs(b, sent), "run long, n long").groupBy("run").agg(F.sum("n").alias("n")), "runs")
+    size = runs.agg(F.count("*").alias("kinds"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    rate = max(DRAWS * size.kinds, LEAST * TRAINERS) / max(size.n, 1)
+    parts = dealt(runs, size.n, size.kinds).repartition(TRAINERS, "trainer").sortWithinPartitions("trainer", "turn").select("trainer", "run", "n")
     for r in range(ROUNDS):
         now = spark.sparkContext.broadcast(model)
 
         def learn(batches: Iterator[pa.RecordBatch], r: int = r, now=now) -> Iterator[pa.RecordBatch]:
-            m, done, held, size = now.value, 0, [], 0
-            grown, rng = m.fresh(), None
-
-            def spend(least: int) -> None:
-                run, n = (np.concatenate(x) for x in zip(*held))
-                sums = np.cumsum(n)
-                drawn = run[np.searchsorted(sums, rng.integers(0, sums[-1], max(DRAWS * len(run), least)), side="right")]
-                m.train((drawn // (k * k)).astype(np.int32), (drawn // k % k).astype(np.int32), (drawn % k).astype(np.int32), unigram, rng, RATE / (1 + r), grown)
-
-            for batch in batches:
-                if batch.num_rows:
-                    if rng is None:
-                        rng = np.random.default_rng([r, batch.column("trainer")[0].as_py()])
-                    held.append((batch.column("run").to_numpy(), batch.column("n").to_numpy()))
-                    size += batch.num_rows
-                    if size >= CHUNK:
-                        spend(0)
-                        done, held, size = done + size, [], 0
-            if held:
-                spend(0 if done else LEAST)
-                done += size
-            if done:
-                yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64()), pa.array([b"".join(p.tobytes() for p in m.parts())], pa.binary())], names=["rows", "parts"])
+            batches = (b for b in batches if b.num_rows)
+            first = next(batches, None)
+            if first is None:
+                return
+            m, done = now.value, 0
+            grown, rng = m.fresh(), np.random.default_rng([r, first.column("trainer")[0].as_py()])
+            for run, n in drawn(chain([first], batches), rate, rng):
+                m.train((run // (k * k)).astype(np.int32), (run // k % k).astype(np.int32), (run % k).astype(np.int32), unigram, rng, RATE / (1 + r), grown)
+                done += n
+            yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64()), pa.array([b"".join(p.tobytes() for p in m.parts())], pa.binary())], names=["n", "parts"])
 
         unigram = words.unigram
         # At most one row a trainer, of a size that K and DIM fix.
-        sent_back = runs.repartition(TRAINERS, "trainer").sortWithinPartitions("trainer", "turn").select("trainer", "run", "n").mapInArrow(learn, "rows long, parts binary").collect()
+        sent_back = parts.mapInArrow(learn, "n long, parts binary").collect()
         if sent_back:
-            weight = np.array([x.rows for x in sent_back], dtype=np.float64)
+            weight = np.array([x.n for x in sent_back], dtype=np.float64)
             flat = np.zeros(len(sent_back[0].parts) // 4)
             for x, share in zip(sent_back, weight / weight.sum()):
                 flat += np.frombuffer(x.parts, dtype=np.float32) * share

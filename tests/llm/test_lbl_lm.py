@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +70,25 @@ def test_odd_rows(spark):
     assert lbl_lm.scores(docs.limit(0)).count() == 0
     only = lbl_lm.scores(docs.filter("false").union(docs.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2))).collect()
     assert only and all(r.held_out and r.base_score == 0 and r.n_known == 0 and r.train_tokens == 0 for r in only)
+
+
+def test_runs_are_drawn_by_their_counts_over_the_whole_corpus(spark):
+    kinds, hot, chunk = 60_000, 15_000, 1000
+    runs = spark.range(kinds).selectExpr("id as run", f"case id when 0 then {hot}L when 1 then 30L else 1L end as n")
+    total = kinds - 2 + hot + 30
+    parts = lbl_lm.dealt(runs, total, kinds, chunk).toPandas()
+    assert parts.groupby("run").n.sum().to_dict() == {0: hot, 1: 30, **dict.fromkeys(range(2, kinds), 1)}
+    rate, sums, draws, most, rng = 5.0, [], Counter(), 0.0, np.random.default_rng(0)
+    for _, rows in parts.sort_values(["trainer", "turn"]).groupby("trainer"):
+        batches = pa.Table.from_pandas(rows[["run", "n"]], preserve_index=False).to_batches(max_chunksize=100)
+        chunks = list(lbl_lm.drawn(iter(batches), rate, rng, chunk))
+        sums.append(sum(n for _, n in chunks))
+        for run, n in chunks:
+            draws.update(run.tolist())
+            assert len(run) == round(rate * n)
+            if n >= chunk:
+                most = max(most, (run == 0).mean())
+    assert sum(sums) == total and max(sums) < 1.2 * min(sums)
+    assert draws[0] / sum(draws.values()) == pytest.approx(hot / total, rel=0.05)
+    assert draws[1] == pytest.approx(30 * rate, rel=0.4)
+    assert 0 < most < 0.5
