@@ -1,10 +1,12 @@
 """Language-model scores of a log-bilinear model trained by noise-contrastive estimation.
 
 Words are counted over all training documents. The most frequent ones are classes of their
-own, beside the end of a text and one class for all rarer words. The model scores a class w
-after classes u, v as (Q1[u] + Q2[v]) . R[w] + b[w]; a rare word's probability is that of its
-class times its add-one share of the rare words, so all words, unseen ones too, share a
-total of one.
+own, as many as the root of GROWTH times the kinds of words; the words of the head below them
+fall into frequency classes, BANDS for each doubling of rank; beside these are the end of a
+text and one class for all words outside the head. The model scores a class w after classes
+u, v as (Q1[u] + Q2[v]) . R[w] + b[w]; the probability of a word of a frequency class is that
+of the class times its share of it, outside the head its add-one share, so all words, unseen
+ones too, share a total of one.
 
 Training uses every run of three classes of the training documents, counted over the whole
 corpus: a fixed number of trainers each read a part of the counts in an order given by a
@@ -12,11 +14,11 @@ hash, drawing mini-batches by weight against noise drawn from the class frequenc
 parameters are averaged after each round. One rate, draws for each occurrence, holds for the
 whole corpus, and a frequent run is dealt in parts over all trainers and all that each of them
 holds in turn, so a run is drawn as often as its count asks. The
-normaliser of each of the K * K contexts is then worked out by matrix products, spread
-over tasks, so that a token's probability is a dot product and a look-up.
+normalisers of the contexts that occur are worked out by matrix products in the tasks that
+score them, each of which keeps up to KEPT of them.
 
-Counts of the HEAD most frequent words are sent to all tasks, a table of fixed size; other
-words of a document meet their counts in a join by word.
+Counts of the head, HEAD words or HEADS for each class, are sent to all tasks, so they grow with
+the root of the kinds; other words of a document meet their counts in a join by word.
 
 Defined results: a null text is the empty one, whose only token is the end; without training
 documents N and V are 0 and all words are unknown; repeated rows are scored, and trained on,
@@ -25,6 +27,7 @@ each; a null doc_id counts as the empty id in the split.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -37,11 +40,15 @@ from pyspark.sql import functions as F
 
 from terrahac.llm.common import column_bytes, drop_table, held_out, ship, small_batches, table
 
-#: Classes: the end of a text, the rare words, and the most frequent words.
-CLASSES = 1024
+#: Least classes: the end of a text, the words outside the head, and the most frequent words; and their growth.
+CLASSES, GROWTH = 1024, 10
+#: Frequency classes for each doubling of rank.
+BANDS = 4
 DIM = 32
-#: Words whose counts all tasks know.
-HEAD = 50_000
+#: Words whose counts all tasks know: the least number, and those for each class.
+HEAD, HEADS = 50_000, 24
+#: Normalisers that a task keeps.
+KEPT = 2_000_000
 TRAINERS, ROUNDS, BATCH, NOISE = 12, 2, 1024, 256
 RATE = 0.3
 #: Runs that a trainer holds at a time, draws of a round for each distinct run, and least draws of a trainer.
@@ -70,6 +77,12 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows(total)
 
 
+def sizes(kinds: int) -> tuple[int, int]:
+    """Classes without the frequency classes, and words of the head, for so many kinds of words."""
+    classes = max(CLASSES, math.isqrt(GROWTH * kinds))
+    return classes, max(HEAD, HEADS * classes)
+
+
 class Words:
     """The head of the word counts, and what the rest adds up to."""
 
@@ -81,14 +94,18 @@ class Words:
         self.own = own
         self.class_of = np.full(len(head) + 1, RARE, dtype=np.int32)  # the last entry: words outside the head
         self.class_of[:own] = np.arange(own) + 2
-        self.rare_total, self.rare_kinds = int(total - n[:own].sum()), kinds - own
-        self.size = own + 2
+        bands = np.floor(BANDS * np.log2(np.arange(own + 1, len(head) + 1) / (own + 1))).astype(np.int32)
+        _, bands = np.unique(bands, return_inverse=True)
+        self.class_of[own:-1] = own + 2 + bands
+        self.rare_total, self.rare_kinds = int(total - n.sum()), kinds - len(head)
+        banded = np.bincount(bands, n[own:])
+        self.size = own + 2 + len(banded)
         self.base = np.zeros(len(head) + 1)
         self.base[:-1] = np.log10((n + 1) / (self.total + self.kinds + 1))
         self.base_end = float(np.log10((texts + 1) / (self.total + self.kinds + 1)))
         self.share = np.zeros(len(head) + 1)
-        self.share[own:-1] = np.log10((n[own:] + 1) / (self.rare_total + self.rare_kinds + 1))
-        counts = np.concatenate([[texts, self.rare_total], n[:own]]) + 1
+        self.share[own:-1] = np.log10(n[own:] / banded[bands])
+        counts = np.concatenate([[texts, self.rare_total], n[:own], banded]) + 1
         self.unigram = counts / counts.sum()
 
     def look_up(self, words: list[bytes]) -> np.ndarray:
@@ -192,23 +209,50 @@ class Model:
         """Logarithm of the sum over all classes after each context u * K + v."""
         k = len(self.b)
         out = np.empty(len(contexts), dtype=np.float32)
-        for lo in range(0, len(contexts), 2048):
-            c = contexts[lo : lo + 2048]
-            s = (self.q1[c // k] + self.q2[c % k]) @ self.r.T + self.b
+        step = max(1, (1 << 20) // k)
+        for lo in range(0, len(contexts), step):
+            c = contexts[lo : lo + step]
+            s = (self.q1[c // k] + self.q2[c % k]) @ self.r.T
+            s += self.b
             top = s.max(axis=1, keepdims=True)
-            out[lo : lo + 2048] = np.log(np.exp(s - top).sum(axis=1)) + top[:, 0]
+            s -= top
+            out[lo : lo + step] = np.log(np.exp(s, out=s).sum(axis=1)) + top[:, 0]
         return out
 
-    def log10(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, z: np.ndarray) -> np.ndarray:
-        """Normalised log10 probability of w after u, v; z: the normalisers of all contexts."""
-        k = len(self.b)
+    def log10_each(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """Normalised log10 probability of w after u, v; z: the normaliser of each."""
         out = np.empty(len(w))
         for lo in range(0, len(w), 1 << 16):
             p = slice(lo, lo + (1 << 16))
-            s = ((self.q1[u[p]] + self.q2[v[p]]) * self.r[w[p]]).sum(axis=1) + self.b[w[p]]
-            out[p] = s - z[u[p].astype(np.int64) * k + v[p]]
+            out[p] = ((self.q1[u[p]] + self.q2[v[p]]) * self.r[w[p]]).sum(axis=1) + self.b[w[p]] - z[p]
         return out / np.log(10)
 
+    def log10(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """The same; z: the normalisers of all contexts."""
+        return self.log10_each(u, v, w, z[u.astype(np.int64) * len(self.b) + v])
+
+
+class Normalisers:
+    """Normalisers of the contexts met, up to KEPT of them kept."""
+
+    def __init__(self, model: Model, kept: int = KEPT):
+        self.model, self.kept = model, kept
+        self.keys, self.z = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.float32)
+
+    def each(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        keys, at = np.unique(u.astype(np.int64) * len(self.model.b) + v, return_inverse=True)
+        place = np.searchsorted(self.keys, keys)
+        known = place < len(self.keys)
+        known[known] = self.keys[place[known]] == keys[known]
+        z = np.empty(len(keys), dtype=np.float32)
+        z[known] = self.z[place[known]]
+        z[~known] = self.model.normalisers(keys[~known])
+        if len(self.keys) + np.count_nonzero(~known) > self.kept:
+            self.keys, self.z = keys, z
+        else:
+            self.keys, self.z = np.insert(self.keys, place[~known], keys[~known]), np.insert(self.z, place[~known], z[~known])
+        return z[at]
+
 
 def dealt(runs: DataFrame, total: int, kinds: int, chunk: int = CHUNK) -> DataFrame:
     """trainer, turn, run and n: runs (run, n) of the given sum and number, the frequent ones in parts."""
@@ -281,7 +325,8 @@ def fit(train: DataFrame, words: Words) -> Model:
 
 
 def _score(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
-    words, model, z = sent.value
+    words, model = sent.value
+    normalisers = Normalisers(model)
     uid = TaskContext.get().partitionId() << 40
     last = len(words.base) - 1
     kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64()]
@@ -290,7 +335,7 @@ def _score(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
         texts = [tokens(t) for t in column_bytes(batch.column("__text"))]
         c, place, ends = _classes(words, texts)
         u, v = _contexts(c)
-        p = model.log10(u, v, c, z)
+        p = model.log10_each(u, v, c, normalisers.each(u, v))
         inner = place != -2
         p[inner] += words.share[place[inner]]
         base = np.where(inner, words.base[np.where(inner, place, last)], words.base_end)
@@ -314,11 +359,11 @@ def _score(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(own), *[pa.nulls(m, t) for t in kinds[1:7]], pa.array([w for _, w in pairs], pa.binary()), pa.array(list(pairs.values()), pa.int64())], names=names)
 
 
-def scores(docs: DataFrame, text: str = "text", modulus: int = 7, classes: int = CLASSES, head: int = HEAD) -> DataFrame:
+def scores(docs: DataFrame, text: str = "text", modulus: int = 7, classes: int | None = None, head: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row.
 
     Rows whose crc32(doc_id as text) leaves remainder 2 modulo ``modulus`` are held out; the
-    model and the base learn from the others.
+    model and the base learn from the others. Unless given, classes and head grow with the words.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -326,22 +371,13 @@ def scores(docs: DataFrame, text: str = "text", modulus: int = 7, classes: int =
     train = source.filter(~F.col("held_out")).select("__text")
     counts = table(train.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("kinds")).first()
+    grown = sizes(total.kinds)
+    classes, head = classes or grown[0], head or grown[1]
     top = counts.orderBy(F.desc("n"), "word").limit(head).collect()  # head rows at most
     words = Words([(bytes(r.word), r.n) for r in top if len(r.word) <= 200], train.count(), total.n, total.kinds, classes)
     model = fit(train, words)
 
-    sent = spark.sparkContext.broadcast(model)
-    n_contexts = words.size**2
-
-    def normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c = batch.column("id").to_numpy()
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sent.value.normalisers(c))], names=["context", "z"])
-
-    found = spark.range(0, n_contexts, 1, 24).mapInArrow(normalise, "context long, z float").toArrow()  # K * K rows
-    z = np.empty(n_contexts, dtype=np.float32)
-    z[found.column("context").to_numpy()] = found.column("z").to_numpy()
-    scorer = spark.sparkContext.broadcast((words, model, z))
+    scorer = spark.sparkContext.broadcast((words, model))
     scored = table(source.mapInArrow(lambda b: _score(b, scorer), "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word binary, tf long"), "scored")
 
     heads = scored.filter("word is null").drop("word", "tf")

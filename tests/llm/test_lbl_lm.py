@@ -92,3 +92,29 @@ def test_runs_are_drawn_by_their_counts_over_the_whole_corpus(spark):
     assert draws[0] / sum(draws.values()) == pytest.approx(hot / total, rel=0.05)
     assert draws[1] == pytest.approx(30 * rate, rel=0.4)
     assert 0 < most < 0.5
+
+
+def test_classes_grow_with_the_kinds_of_words():
+    small, large = lbl_lm.sizes(10_000), lbl_lm.sizes(50_000_000)
+    assert large[0] > 10 * small[0] and large[1] > 5 * small[1]
+    head = [(b"w%d" % i, 5000 // (i + 1) + 1) for i in range(3000)]
+    n = sum(c for _, c in head)
+    words = lbl_lm.Words(head, 50, n + 700, 3000 + 400, 34)
+    assert words.class_of[:-1].min() > lbl_lm.RARE and words.class_of[-1] == lbl_lm.RARE
+    assert words.size > 34 + 20 and sorted(set(words.class_of.tolist())) == list(range(1, words.size))
+    # All words after a context, those outside the head and an unseen one too, have a total of one.
+    model = lbl_lm.Model(words.unigram)
+    c = np.concatenate([[lbl_lm.END], words.class_of]).astype(np.int32)
+    u, v = np.full(len(c), 5, dtype=np.int32), np.full(len(c), words.size - 1, dtype=np.int32)
+    p = 10 ** (model.log10_each(u, v, c, lbl_lm.Normalisers(model).each(u, v)) + np.concatenate([[0], words.share]))
+    assert p.sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_normalisers_of_the_contexts_that_occur():
+    model = lbl_lm.Model(np.full(9, 1 / 9))
+    every = model.normalisers(np.arange(81))
+    few, rng = lbl_lm.Normalisers(model, kept=20), np.random.default_rng(0)
+    for size in (1, 5, 5, 30, 200, 3, 0, 8):
+        u, v = rng.integers(0, 9, size), rng.integers(0, 9, size)
+        assert few.each(u, v) == pytest.approx(every[9 * u + v], abs=1e-5)
+        assert (np.diff(few.keys) > 0).all()
