@@ -9,7 +9,10 @@ host's M pages have the same text there, so text of every page counts 0 and text
 1. A branch of a page goes if its node and all below it are under the threshold.
 
 What entropy can't see, markup tells. Menus, adverts and footers whose words differ from page
-to page are known by element, role and class. And an article that many pages of a host share
+to page are known by element, role and class. A class name or id alone marks neither an article
+nor an element with most of the page's text where no article is beside it, nor one that holds
+all that the page has of articles and main elements, unless more text is outside what is
+marked. And an article that many pages of a host share
 has low entropy, though it must stay: what lies within an article (or main) element counts once
 for all copies of it, and branches there go only if at least STEADY pages are known and nearly
 all have them.
@@ -52,7 +55,8 @@ SEND_BYTES, SALTS = 32_000_000, 64
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BREAKS = frozenset(("br", "hr"))
-RAW = frozenset("canvas iframe math noembed noframes noscript object script select style svg template textarea title video audio xmp".split())
+RAW = frozenset("annotation annotation-xml canvas iframe noembed noframes noscript object script select style svg template textarea title video audio xmp".split())
+SWALLOWS = frozenset("noembed noframes script style textarea title xmp".split())  # to the page's end where unclosed
 NOISE_TAGS = frozenset("aside button dialog footer form menu nav".split())
 NOISE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 ENDS_P = BLOCKS - {"html", "body", "option", "legend", "caption"}
@@ -62,13 +66,13 @@ HOLDS = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"
 NOISE_WORDS = frozenset("ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promotion recommended related reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]{0,8192}+"|'[^']{0,8192}+'|["'])*+)>""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
 class Node:
-    __slots__ = ("tag", "style", "noise", "root", "parts", "depth", "block")
+    __slots__ = ("tag", "style", "noise", "root", "parts", "depth", "block", "worded")
 
     def __init__(self, tag: str, attributes: str, inside: bool):
         self.tag, self.style, self.noise, self.root, self.depth, self.block = tag, "", False, tag in ("article", "main"), 0, tag in BLOCKS
@@ -77,6 +81,8 @@ class Node:
         if attributes:
             for name, a, b, c in _ATTRIBUTE.findall(attributes):
                 value = a or b or c
+                if name.lower() not in ("class", "id", "role"):
+                    continue
                 if name.lower() == "role":
                     self.noise |= value.lower() in NOISE_ROLES
                     self.root |= value.lower() in ("main", "article")
@@ -84,9 +90,54 @@ class Node:
                     words.update(w.lower() for w in _WORD.findall(value))
                     if name.lower() == "class":
                         self.style = value
-        if tag not in ("html", "body", "main"):
-            self.noise |= not words.isdisjoint(NOISE_WORDS)
-        self.noise |= tag in NOISE_TAGS or (not inside and (tag == "header" or "header" in words and tag not in ("html", "body", "main", "article")))
+        self.noise |= tag in NOISE_TAGS or (not inside and tag == "header")
+        #: Marked by a class name or id only.
+        self.worded = not self.noise and tag not in ("html", "body", "main", "article") and (not words.isdisjoint(NOISE_WORDS) or (not inside and "header" in words))
+        self.noise |= self.worded
+
+
+def _unmark(top: Node) -> None:
+    """Takes the mark from elements that class names and ids alone mark, though they hold the page's text."""
+    sizes: dict[int, tuple[int, int]] = {}
+
+    def size(node: Node) -> tuple[int, int]:
+        n, roots = 0, int(node.root)
+        for p in node.parts:
+            if p.__class__ is str:
+                n += len("".join(p.split()))
+            elif not p.noise or p.worded:
+                more = size(p)
+                n, roots = n + more[0], roots + more[1]
+        sizes[id(node)] = n, roots
+        return n, roots
+
+    total, roots = size(top)
+    marked: list[list[Node]] = []
+    outside = 0
+
+    def visit(node: Node, path: list[Node], above: int) -> None:
+        nonlocal outside
+        if node.noise and node.worded:
+            n, within = sizes[id(node)]
+            if 2 * n > total and above + within == roots:
+                node.noise = False
+            else:
+                path = [*path, node]
+        if node.root:
+            marked.append(path)
+        for p in node.parts:
+            if p.__class__ is str:
+                outside += 0 if path else len("".join(p.split()))
+            elif not p.noise or p.worded:
+                visit(p, path, above + node.root)
+
+    visit(top, [], 0)
+    if marked and all(marked):
+        least = min(map(len, marked))
+        for path in marked:
+            if len(path) == least and sizes[id(path[0])][0] >= outside:
+                for node in path:
+                    node.noise = False
 
 
 def parse(html: str) -> Node:
@@ -94,6 +145,8 @@ def parse(html: str) -> Node:
     top = Node("html", "", False)
     stack, at, inside = [top], 0, 0
     over: dict[str, int] = {}
+    unclosed: set[str] = set()
+    worded = False
     match = _TOKEN.search(html)
     while match:
         start, stop = match.span()
@@ -104,9 +157,14 @@ def parse(html: str) -> Node:
         if tag:
             tag = tag.lower()
             if tag in RAW:
-                if not attributes.endswith("/"):
+                if not attributes.endswith("/") and tag not in unclosed:
                     end = re.compile(f"</{re.escape(tag)}(?=[\\s/>]|\\Z)", re.I).search(html, stop)
-                    at = end.start() if end else len(html)
+                    if end:
+                        at = end.start()
+                    elif tag in SWALLOWS:
+                        at = len(html)
+                    else:
+                        unclosed.add(tag)
                 if tag not in ("script", "style", "title"):
                     stack[-1].parts.append(" ")
             elif tag in VOID:
@@ -131,6 +189,7 @@ def parse(html: str) -> Node:
                             break
                 block = tag in BLOCKS
                 node = Node(tag, attributes, inside > 0) if block or attributes else None
+                worded = worded or (node is not None and node.worded)
                 if node is not None and (block or node.noise or node.root):
                     if len(stack) > DEEP:
                         over[tag] = over.get(tag, 0) + 1
@@ -163,6 +222,8 @@ def parse(html: str) -> Node:
         match = _TOKEN.search(html, at)
     if at < len(html):
         stack[-1].parts.append(html[at:])
+    if worded:
+        _unmark(top)
     return top
 
 
@@ -220,13 +281,13 @@ def main_text(top: Node, low: dict[int, float]) -> str:
     """The page's text without noise. low: unimportant nodes, and their importance."""
     from xxhash import xxh64_intdigest
 
-    roots: list[tuple[Node, int]] = []
+    roots: list[Node] = []
     names: dict[int, int] = {}
 
     def visit(node: Node, name: int, within: bool) -> None:
         names[id(node)] = name
         if node.root and not within:
-            roots.append((node, name))
+            roots.append(node)
             within = True
         run, last = -1, None
         for child in node.parts:
@@ -235,13 +296,6 @@ def main_text(top: Node, low: dict[int, float]) -> str:
                     run, last = run + 1, label
                 visit(child, xxh64_intdigest(f"{name} {run} {label}") if low else 0, within)
 
-    def inner_articles(node: Node) -> list[Node]:
-        found = []
-        for child in node.parts:
-            if child.__class__ is not str and not child.noise:
-                found += [child] if child.tag == "article" else inner_articles(child)
-        return found
-
     def gather(node: Node, most: float) -> tuple[list[str], bool]:
         """The text below node, and whether it is all noise."""
         parts: list[str] = []
@@ -259,8 +313,7 @@ def main_text(top: Node, low: dict[int, float]) -> str:
         return parts, noise and (own or any(c.__class__ is not str for c in node.parts))
 
     visit(top, xxh64_intdigest("html"), False)
-    chosen = [a for n, _ in roots for a in (inner_articles(n) if n.tag == "main" else []) or [n]]
-    texts = [gather(n, SURE)[0] for n in chosen] if chosen else [gather(top, THRESHOLD)[0]]
+    texts = [gather(n, SURE)[0] for n in roots] if roots else [gather(top, THRESHOLD)[0]]
     return " ".join(unescape(" ".join(["".join(t) for t in texts])).split())
 
 

@@ -33,6 +33,27 @@ def test_markup():
     assert text("<p title='it''s \"' >odd <a href=\"x>y</a> quotes") != ""
 
 
+
+def test_class_words_alone_take_no_article():
+    assert text('<article class="post comments-open"><p>a</p></article>') == "a"
+    assert text('<div class="site no-sidebar"><div class="has-sidebar"><p>The text of the page</p></div><div class="sidebar">x</div></div>') == "The text of the page"
+    assert text('<div id="page" class="has-sidebar"><article>one<div class="share">s</div></article><section class="comments"><article>a reply that is longer than all</article></section></div><nav>n</nav>') == "one"
+    assert text("<div class='related'><article>teaser</article></div><div>A text that is longer</div>") == "A text that is longer"
+    assert text("<div><div class='has-sidebar'><article>text</article></div><div class='sidebar'>much more in a list of links</div></div>") == "text"
+    assert text("<p data-id='ad' data-class=menu title='a class=menu b'>kept</p><div class=menu>m</div>") == "kept"
+
+
+def test_unclosed_elements_end_no_page():
+    for tag in ("video", "object", "canvas", "svg", "math", "iframe", "audio", "noscript", "template", "select"):
+        assert text(f"<p>a</p><{tag} id=x><p>b</p><{tag}><p>c") == "a b c"
+    assert text("<p>a</p><script>b<p>c") == "a" and text("<p>a</p><svg><text>x</text></svg><video>y</video>b") == "a b"
+
+
+def test_main_keeps_its_own_text_and_formulas():
+    assert text("<main><h1>Title</h1><p>Lead</p><article>Story</article><nav>n</nav></main><p>out</p>") == "Title Lead Story"
+    assert text("<p>if <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> then</p>") == "if x=2 then"
+
+
 def test_style_tree(spark):
     page = lambda body, i: (f"<div class='top'><p>Welcome to our site</p><p>Call us</p></div><div class='body'>{body}</div><div class='end'><p>All rights reserved</p></div>", f"http://Host.example/{i}")
     rows = [(i, *page(f"<p>Story number {i}</p><p>More of {i}</p>", i)[::-1]) for i in range(30)]
