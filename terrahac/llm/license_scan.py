@@ -7,6 +7,12 @@ matched against the rules in their order: a rule is a run of identifiers without
 what one rule has taken is not seen by the next, so a licence's long form comes before its
 short one. Nothing is shuffled.
 
+List markers (numbers and letters, with a dot or in brackets) are no gap and are dropped before
+known sentences. A holder's name in the third clause of BSD-3 is read as `the copyright holder`.
+A line `SPDX-License-Identifier:` is a sentence, known if its expression names a licence of the
+rules, and gives each that it names (MIT OR Apache-2.0 gives both); other names give nothing.
+The SQL of oracle_sql has the sentences and rules without these additions.
+
 Defined results: null, empty and sentence-free texts have no licence ('' and 0); a licence
 found many times is named once, at its first place; known sentences that complete no rule
 count in n_sentences only; repeated rows each get their result.
@@ -118,10 +124,23 @@ RULES: list[tuple[str, list[str]]] = [
     ("CC-BY-NC-ND-4.0", ["cc-by-nc-nd-ref"]),
 ]
 
+# More sentences; the dot of "v. 2.0" ends one.
+MORE: list[tuple[str, str]] = [
+    ("mpl2-grant", "This Source Code Form is subject to the terms of the Mozilla Public License, v"),
+]
+# SPDX names of before version 3 of its list.
+SPDX_OLD = {"GPL-2.0": "GPL-2.0-only", "GPL-2.0+": "GPL-2.0-or-later", "GPL-3.0": "GPL-3.0-only", "GPL-3.0+": "GPL-3.0-or-later", "LGPL-2.1": "LGPL-2.1-only", "LGPL-2.1+": "LGPL-2.1-or-later", "LGPL-3.0": "LGPL-3.0-only", "AGPL-3.0": "AGPL-3.0-only"}
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LEAD = r"[ \t*#/;>%-]*"
 _OPENINGS = "Licensed|Released|Distributed|Copyright|Permission|Redistribution|This |SPDX|The above|THE SOFTWARE|IN NO EVENT|Neither|Unless|You |See the"
 #: (pattern, replacement) pairs that turn a text into normalised sentences between marks; $1 is the first group.
+_GAP = "[^A-Za-z0-9\x01]+"
+#: Steps before those below: a holder's name in the third BSD clause, and the lines of SPDX.
+FIRST: list[tuple[str, str]] = [
+    (f"(?is)\\bneither{_GAP}the{_GAP}names?{_GAP}of{_GAP}(?:(?!\\bneither\\b)[^\x01]){{1,200}}?{_GAP}nor{_GAP}the{_GAP}names{_GAP}of{_GAP}(?:(?:its|their|his|her|the|any|other){_GAP}){{1,2}}contributors\\b", "Neither the name of the copyright holder nor the names of its contributors"),
+    (r"(?i)(SPDX-License-Identifier[ \t]*:[^\r\n\x01]*)", "\x01$1\x01"),
+]
 STEPS: list[tuple[str, str]] = [
     (r"\r\n?", "\n"),
     (r"\n" + _LEAD + r"\n", "\x01"),
@@ -137,6 +156,11 @@ CLEAN: list[tuple[str, str]] = [
 ]
 
 
+#: A normalised list marker, and how a normalised line of SPDX begins.
+_MARKER = "(?:[0-9]{1,3}|[a-z]|[ivx]{1,4})\\.?"
+_SPDX = "spdx license identifier "
+
+
 def normalised(sentence: str) -> str:
     return re.sub("[^a-z0-9.+]+", " ", sentence.translate(str.maketrans(UPPER, LOWER))).strip(". ")
 
@@ -147,26 +171,41 @@ def _known() -> dict[str, str]:
 
 def licences(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """n_sentences (known ones), n_licenses and licenses (names, joined by commas) of each row."""
-    known = _known()
-    ids = {name: i for i, name in enumerate(dict.fromkeys(known.values()))}
+    known = _known() | {normalised(s): name for name, s in MORE}
+    labels = list(dict.fromkeys(name for name, _ in RULES))
+    ids = {name: i for i, name in enumerate(dict.fromkeys([*known.values(), *[f"spdx-{x}" for x in labels]]))}
+    spdx = {normalised(x): f"<{ids[f'spdx-{y}']}>" for x, y in [*zip(labels, labels), *SPDX_OLD.items()]}
     t: Column = F.coalesce(F.col(text), F.lit(""))
-    for pattern, to in STEPS:
+    for pattern, to in FIRST + STEPS:
         t = F.regexp_replace(t, pattern, to)
     t = F.translate(t, UPPER, LOWER)
     for pattern, to in CLEAN:
         t = F.regexp_replace(t, pattern, to)
     names = F.create_map(*[F.lit(x) for s, n in known.items() for x in (s, f"<{ids[n]}>")])
-    tokens = F.transform(F.split(t, "\x01"), lambda s: F.when(s.isin(list(known)), F.element_at(names, s)).otherwise(F.lit("-")))
+    spdx_names = F.create_map(*[F.lit(x) for pair in spdx.items() for x in pair])
+    named = r"(?:^| or | and )(" + "|".join(re.escape(x).replace(r"\ ", " ") for x in sorted(spdx, key=len, reverse=True)) + ")(?=$| or | and | with )"
+
+    def token(s: Column) -> Column:
+        bare = F.regexp_replace(s, f"^{_MARKER} ", "")
+        expression = F.regexp_extract_all(F.substring(s, len(_SPDX) + 1, 1 << 20), F.lit(named), F.lit(1))
+        return (
+            F.when(s.isin(list(known)), F.element_at(names, s))
+            .when(s.rlike(f"^{_MARKER}$"), F.lit(""))
+            .when(s.startswith(_SPDX), F.coalesce(F.nullif(F.array_join(F.transform(expression, lambda x: F.element_at(spdx_names, x)), ""), F.lit("")), F.lit("-")))
+            .when(s.rlike(f"^{_MARKER} ") & bare.isin(list(known)), F.element_at(names, bare))
+            .otherwise(F.lit("-"))
+        )
+
+    tokens = F.transform(F.split(t, "\x01"), token)
     sequence: Column = F.array_join(F.col("__tokens"), "")
-    labels = list(dict.fromkeys(name for name, _ in RULES))
-    for name, rule in RULES:
+    for name, rule in [*RULES, *[(x, [f"spdx-{x}"]) for x in labels]]:
         sequence = F.replace(sequence, F.lit("".join(f"<{ids[x]}>" for x in rule)), F.lit(f"[{labels.index(name)}]"))
     found = F.array_distinct(F.regexp_extract_all(F.col("__sequence"), F.lit(r"\[(\d+)\]"), F.lit(1)))
     naming = F.create_map(*[F.lit(x) for i, name in enumerate(labels) for x in (str(i), name)])
     made = ("n_sentences", "n_licenses", "licenses")
     keep = tuple(c for c in keep if c not in made)
     out = docs.select(*keep, tokens.alias("__tokens"))
-    out = out.select(*keep, F.size(F.filter("__tokens", lambda x: x != "-")).cast("long").alias("n_sentences"), sequence.alias("__sequence"))
+    out = out.select(*keep, F.size(F.filter("__tokens", lambda x: ~x.isin("-", ""))).cast("long").alias("n_sentences"), sequence.alias("__sequence"))
     out = out.select(*keep, "n_sentences", found.alias("__found"))
     return out.select(*keep, "n_sentences", F.size("__found").cast("long").alias("n_licenses"), F.array_join(F.transform("__found", lambda x: F.element_at(naming, x)), ",").alias("licenses"))
 

@@ -56,3 +56,50 @@ def test_notices(spark):
 def test_rules_name_known_sentences():
     names = {n for n, _ in license_scan.SENTENCES}
     assert all(set(rule) <= names for _, rule in license_scan.RULES)
+
+
+BSD3 = """Copyright (c) 2020, Some Body
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.
+"""
+MPL = """// This Source Code Form is subject to the terms of the Mozilla Public
+// License, v. 2.0. If a copy of the MPL was not distributed with this
+// file, You can obtain one at http://mozilla.org/MPL/2.0/.
+"""
+
+
+def test_canonical_texts_and_spdx(spark):
+    two = BSD3[: BSD3.index("3. Neither")] + BSD3[BSD3.index("THIS SOFTWARE") :]
+    google = BSD3.replace("the name of the copyright holder", "the name of Google Inc.")
+    cases = [
+        (BSD3, "BSD-3-Clause", 4), (two, "BSD-2-Clause", 3), (google, "BSD-3-Clause", 4), (" ".join(google[google.index("Redistribution") :].split()), "BSD-3-Clause", 4),
+        (google.replace("\n", "\r\n * "), "BSD-3-Clause", 4),
+        (BSD3.replace("1.", "(a)").replace("2.", "b)").replace("3.", "(iii)"), "BSD-3-Clause", 4),
+        (BSD3.replace("1.", "*").replace("2.", "*").replace("3.", "*"), "BSD-3-Clause", 4),
+        (MPL, "MPL-2.0", 1),
+        ("// SPDX-License-Identifier: MIT\n#include <a.h>", "MIT", 1),
+        ("/* SPDX-License-Identifier: (GPL-2.0-or-later OR MIT) */\nint x;", "GPL-2.0-or-later,MIT", 1),
+        ("x\r\n# SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception AND GPL-2.0+\r\ny", "Apache-2.0,GPL-2.0-or-later", 1),
+        ("SPDX-License-Identifier: MIT-0", "", 0), ("SPDX-License-Identifier: BSD-3-Clause-Clear", "", 0), ("spdx-license-identifier:", "", 0),
+        ("1. One\n\n2. Two", "", 0),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: (r.licenses, r.n_sentences) for r in license_scan.licences(docs).collect()}
+    assert got == {i: c[1:] for i, c in enumerate(cases)}
