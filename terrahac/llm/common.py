@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from terrahac.runtime import shared_dir, ship
 
-__all__ = ["column_bytes", "drop_path", "drop_table", "held_out", "new_path", "shared_dir", "ship", "small_batches", "sorted_groups", "table"]
+__all__ = ["column_bytes", "drop_path", "drop_table", "held_out", "new_path", "shared_dir", "ship", "small_batches", "sorted_groups", "spread", "table"]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -28,6 +28,12 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out anew if it has fewer partitions than there are cores: files of one row group are one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -1,61 +1,72 @@
 """Language-model scores of a log-bilinear model trained by noise-contrastive estimation.
 
-Words are counted over all training documents. The most frequent ones are classes of their
-own, as many as the root of GROWTH times the kinds of words; the words of the head below them
-fall into frequency classes, BANDS for each doubling of rank; beside these are the end of a
-text and one class for all words outside the head. The model scores a class w after classes
-u, v as (Q1[u] + Q2[v]) . R[w] + b[w]; the probability of a word of a frequency class is that
-of the class times its share of it, outside the head its add-one share, so all words, unseen
-ones too, share a total of one.
-
-Training uses every run of three classes of the training documents, counted over the whole
-corpus: a fixed number of trainers each read a part of the counts in an order given by a
-hash, drawing mini-batches by weight against noise drawn from the class frequencies, and their
-parameters are averaged after each round. One rate, draws for each occurrence, holds for the
-whole corpus, and a frequent run is dealt in parts over all trainers and all that each of them
-holds in turn, so a run is drawn as often as its count asks. The
-normalisers of the contexts that occur are worked out by matrix products in the tasks that
-score them, each of which keeps up to KEPT of them.
-
-Counts of the head, HEAD words or HEADS for each class, are sent to all tasks, so they grow with
-the root of the kinds; other words of a document meet their counts in a join by word.
+Words are counted over all training documents. The most frequent ones have a leaf of their own,
+as many as GROWTH times the root of the kinds of words; every other word, unseen ones too, falls
+by its hash into one of HASHED leaves that all words of like endings share. Leaves are put in
+order by their words read backwards and cut into groups of equal size, so that a group's words
+end alike; the end of a text is a group of its own. The probability of a word is that of its
+group, times that of its leaf within the group, times its share of the leaf: 1 for a word that
+has the leaf to itself, else the add-one share of its count. So a score takes two sums over about
+the root of the leaves each, and all words, with the unseen ones of a leaf as one, share a total of one.
+
+After a context, h is the vector of the word before plus those of the SPAN - 1 words before that
+one (of another table); a group or leaf scores h . r + b. Both levels are trained by noise-contrastive
+estimation, with noise drawn from the frequencies of groups, and of leaves within each group, shared
+by a mini-batch; Adagrad has one sum of squares a row.
+
+Training reads every training text once in each pass, and PASSES times at most where the corpus is
+smaller than LEAST tokens. Trainers are tasks that read their own part of the documents; their
+number grows with the root of the tokens, and so does the model, so that what they send grows no faster
+than the corpus. At the end of a round, a part of a pass, their rows are averaged by how much each has
+learned about them: a word that one trainer has met keeps what that one learned. Rows
+meet by slabs in a shuffle, and the driver gets the averages only.
+
+Scoring: matrix products over blocks of tokens. HEAD words for each leaf, with their counts, are known
+to all tasks; the counts of other words come by a join on the word.
 
 Defined results: a null text is the empty one, whose only token is the end; without training
-documents N and V are 0 and all words are unknown; repeated rows are scored, and trained on,
-each; a null doc_id counts as the empty id in the split.
+documents N and V are 0 and all words are unknown; an empty table gives no rows; repeated rows are
+scored, and trained on, each; a null doc_id counts as the empty id in the split; ids may be of any type;
+other columns, whatever their names, are not read; a text of any length is scored whole.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from terrahac.llm.common import column_bytes, drop_table, held_out, ship, small_batches, table
-
-#: Least classes: the end of a text, the words outside the head, and the most frequent words; and their growth.
-CLASSES, GROWTH = 1024, 10
-#: Frequency classes for each doubling of rank.
-BANDS = 4
-DIM = 32
-#: Words whose counts all tasks know: the least number, and those for each class.
-HEAD, HEADS = 50_000, 24
-#: Normalisers that a task keeps.
-KEPT = 2_000_000
-TRAINERS, ROUNDS, BATCH, NOISE = 12, 2, 1024, 256
-RATE = 0.3
-#: Runs that a trainer holds at a time, draws of a round for each distinct run, and least draws of a trainer.
-CHUNK, DRAWS, LEAST = 1 << 16, 3, 400 * BATCH
-#: A row of the counts is at most one part in PARTS of what a trainer holds at a time.
-PARTS = 100
-END, RARE = 0, 1
+from pyspark.sql import types as T
+
+from terrahac.llm.common import column_bytes, held_out, ship, small_batches, spread, table
+
+#: Least words with a leaf of their own, and their growth with the root of the kinds of words.
+LEAVES, GROWTH = 16_384, 24
+#: Leaves of a group that words without a leaf of their own share.
+HASHED = 32
+#: Words whose counts all tasks know, for each leaf.
+HEAD = 4
+DIM = 24
+#: Words of a context, and tokens of a stretch, which is trained on and scored as one row.
+SPAN, LENGTH = 8, 128
+#: Stretches of a mini-batch; noise groups of a mini-batch and noise leaves of each group.
+BATCH, NOISE_GROUPS, NOISE_LEAVES = 128, 64, 16
+RATE = 0.25
+#: Tokens to be trained on at least, in so many passes at most; rounds at least; stretches that are shuffled at a time.
+LEAST, PASSES, ROUNDS, CHUNK = 10_000_000, 10, 4, 2048
+#: Trainers are the root of the tokens over this.
+TOKENS = 400_000
+#: Rows of a slab that meet when trainers are averaged.
+SLAB = 4096
+_F = np.float32
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -78,323 +89,435 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sizes(kinds: int) -> tuple[int, int]:
-    """Classes without the frequency classes, and words of the head, for so many kinds of words."""
-    classes = max(CLASSES, math.isqrt(GROWTH * kinds))
-    return classes, max(HEAD, HEADS * classes)
+    """Words with a leaf of their own, and words of the head, for so many kinds of words."""
+    leaves = max(LEAVES, GROWTH * math.isqrt(kinds))
+    return leaves, HEAD * leaves
 
 
 class Words:
-    """The head of the word counts, and what the rest adds up to."""
-
-    def __init__(self, head: list[tuple[bytes, int]], texts: int, total: int, kinds: int, classes: int):
+    """The head of the word counts, and the leaf of any word."""
+
+    def __init__(self, head: list[tuple[bytes, int]], texts: int, total: int, kinds: int, leaves: int):
+        own = min(leaves, len(head))
+        self.total, self.kinds, self.texts = total + texts, kinds + (texts > 0), texts
+        self.groups = max(1, round(math.sqrt(own)))
+        self.own = -(-own // self.groups)
+        self.size = self.own + HASHED
+        order = sorted(range(own), key=lambda i: head[i][0][::-1])
+        self.bounds = [head[order[i]][0][::-1] for i in range(self.own, own, self.own)] if own else []
+        self.groups = len(self.bounds) + 1
+        #: The end of a text, and what stands before a text.
+        self.end = self.groups * self.size
+        self.before = self.end + 1
+        place = {x: i for i, x in enumerate(order)}
+        self.leaf = np.empty(len(head), dtype=np.int32)
+        for i, (w, _) in enumerate(head):
+            at = place.get(i, -1)
+            self.leaf[i] = at // self.own * self.size + at % self.own if at >= 0 else self._hashed(w)
         self.index = {w: i for i, (w, _) in enumerate(head)}
-        n = np.array([c for _, c in head], dtype=np.float64)
-        self.end, self.total, self.kinds = texts, total + texts, kinds + (texts > 0)
-        own = min(classes - 2, len(head))
-        self.own = own
-        self.class_of = np.full(len(head) + 1, RARE, dtype=np.int32)  # the last entry: words outside the head
-        self.class_of[:own] = np.arange(own) + 2
-        bands = np.floor(BANDS * np.log2(np.arange(own + 1, len(head) + 1) / (own + 1))).astype(np.int32)
-        _, bands = np.unique(bands, return_inverse=True)
-        self.class_of[own:-1] = own + 2 + bands
-        self.rare_total, self.rare_kinds = int(total - n.sum()), kinds - len(head)
-        banded = np.bincount(bands, n[own:])
-        self.size = own + 2 + len(banded)
-        self.base = np.zeros(len(head) + 1)
-        self.base[:-1] = np.log10((n + 1) / (self.total + self.kinds + 1))
-        self.base_end = float(np.log10((texts + 1) / (self.total + self.kinds + 1)))
-        self.share = np.zeros(len(head) + 1)
-        self.share[own:-1] = np.log10(n[own:] / banded[bands])
-        counts = np.concatenate([[texts, self.rare_total], n[:own], banded]) + 1
-        self.unigram = counts / counts.sum()
-
-    def look_up(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter((self.index.get(w, -1) for w in words), dtype=np.int64, count=len(words))
-
-
-def _classes(words: Words, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class and head index of each token of all texts with their ends, and where each text ends."""
-    flat = words.look_up([w for t in texts for w in t])
-    sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    ends = np.cumsum(sizes + 1) - 1
-    inner = np.ones(int(sizes.sum()) + len(texts), dtype=bool)
-    inner[ends] = False
-    c = np.full(len(inner), END, dtype=np.int32)
-    c[inner] = words.class_of[flat]
-    place = np.full(len(inner), -2, dtype=np.int64)
-    place[inner] = flat
-    return c, place, ends
-
-
-def _contexts(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two classes before each token; before a text stand ends, and only one of them is its predecessor's."""
-    u, v = np.full(len(c), END, dtype=np.int32), np.full(len(c), END, dtype=np.int32)
-    v[1:] = c[:-1]
-    u[2:] = c[:-2]
-    u[v == END] = END
-    return u, v
-
-
-def _count_runs(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
-    words = sent.value
-    keys, counts, held = [], [], 0
+        self.n = np.array([c for _, c in head], dtype=np.float64)
+        self.alone = np.zeros(self.end, dtype=bool)
+        self.alone.reshape(self.groups, self.size)[:, : self.own] = True
+        self.bottom = math.log10(self.total + self.kinds + 1)
+        self.cache: dict[bytes, int] = {}
+        self.learn(np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0))
+
+    def _hashed(self, word: bytes) -> int:
+        return bisect_right(self.bounds, word[::-1]) * self.size + self.own + zlib.crc32(word) % HASHED
+
+    def hashed(self, word: bytes) -> int:
+        """The leaf of a word outside the head."""
+        if (leaf := self.cache.get(word)) is None:
+            leaf = self._hashed(word)
+            if len(word) <= 32:
+                if len(self.cache) >= 200_000:
+                    self.cache.clear()
+                self.cache[word] = leaf
+        return leaf
+
+    def learn(self, leaf: np.ndarray, n: np.ndarray, kinds: np.ndarray) -> None:
+        """Take in the sums of the words outside the head, by leaf; n and kinds may be partial sums."""
+        n = np.bincount(leaf, n, self.end) + np.bincount(self.leaf, self.n, self.end)
+        kinds = np.bincount(leaf, kinds, self.end) + np.bincount(self.leaf, minlength=self.end)
+        #: What the share of a word in its leaf is divided by: 1 + its count over this, or 1.
+        self.bottoms = np.where(self.alone, 0.0, np.log10(n + kinds + 1))
+        p = np.where(self.alone, n, n + 1).reshape(self.groups, self.size)
+        of_group = np.append(p.sum(axis=1), self.texts + 1)
+        self.group_share = of_group / of_group.sum()
+        self.leaf_share = p / p.sum(axis=1, keepdims=True)
+
+    def split(self, text: bytes | None) -> tuple[list[int], list[bytes]]:
+        """The head places of a text's words, -1 if outside, and those outside."""
+        words = tokens(text)
+        places = list(map(self.index.get, words, repeat(-1)))
+        return places, [w for w, i in zip(words, places) if i < 0] if -1 in places else []
+
+    def coded(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
+        """Leaves of all texts, each after SPAN signs of its beginning; head places (-1 outside, -2 else);
+        where each text begins and its end is; and the words outside the head of each text."""
+        flat, outside, ends, begins, at = [], [], [], [], 0
+        for t in texts:
+            places, more = self.split(t)
+            outside.append(more)
+            begins.append(at + SPAN)
+            at += SPAN + len(places) + 1
+            ends.append(at - 1)
+            flat.append(places)
+        ends, begins = np.array(ends, dtype=np.int64), np.array(begins, dtype=np.int64)
+        place = np.full(at, -2, dtype=np.int64)
+        ids = np.full(at, self.before, dtype=np.int32)
+        ids[ends] = self.end
+        inner = np.ones(at, dtype=bool)
+        inner[ends] = False
+        inner[(begins[:, None] - 1 - np.arange(SPAN)[None, :]).ravel()] = False
+        place[inner] = np.fromiter(chain.from_iterable(flat), dtype=np.int64, count=int(inner.sum()))
+        known = place >= 0
+        ids[known] = self.leaf[place[known]]
+        ids[place == -1] = np.fromiter(map(self.hashed, chain.from_iterable(outside)), dtype=np.int32, count=sum(map(len, outside)))
+        return ids, place, begins, ends, outside
+
+
+def stretches(ids: np.ndarray, before: int) -> np.ndarray:
+    """Rows of SPAN + LENGTH leaves, each with the SPAN before its own LENGTH; ids begin with SPAN that count for none."""
+    n = max(0, -(-(len(ids) - SPAN) // LENGTH))
+    whole = np.concatenate([ids, np.full(n * LENGTH + SPAN - len(ids), before, dtype=np.int32)])
+    return np.lib.stride_tricks.sliding_window_view(whole, LENGTH + SPAN)[::LENGTH]
 
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        k, c = np.concatenate(keys), np.concatenate(counts)
-        k, at = np.unique(k, return_inverse=True)
-        return k, np.bincount(at, c).astype(np.int64)
 
-    for batch in small_batches(batches, "__text", 2_000_000):
-        c, _, _ = _classes(words, [tokens(t) for t in column_bytes(batch.column("__text"))])
-        u, v = _contexts(c)
-        k, n = np.unique((u.astype(np.int64) * words.size + v) * words.size + c, return_counts=True)
-        keys.append(k)
-        counts.append(n)
-        held += len(k)
-        if held > 3_000_000:
-            k, n = merged()
-            keys, counts, held = [k], [n], len(k)
-            if held > 2_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], names=["run", "n"])
-                keys, counts, held = [], [], 0
-    if keys:
-        k, n = merged()
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], names=["run", "n"])
+class Model:
+    """near, far: vectors of leaves as contexts; leaf, group: vectors as targets; *_b: their biases."""
 
+    NAMES = ("near", "far", "leaf", "leaf_b", "group", "group_b")
 
-class Model:
-    def __init__(self, unigram: np.ndarray, seed: int = 1):
+    def __init__(self, words: Words, seed: int = 1):
         rng = np.random.default_rng(seed)
-        k = len(unigram)
-        self.q1, self.q2, self.r = (rng.normal(0, 0.05, (k, DIM)).astype(np.float32) for _ in range(3))
-        self.b = np.log(unigram).astype(np.float32)
-
-    def parts(self) -> list[np.ndarray]:
-        return [self.q1, self.q2, self.r, self.b]
-
-    def train(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, unigram: np.ndarray, rng: np.random.Generator, rate: float, grown: list[np.ndarray]) -> None:
-        """Adagrad steps over the runs u, v, w by batches; grown: the sums of squares so far, one a row."""
-        noise_log = np.log(NOISE * unigram).astype(np.float32)
-        noise_sum = np.cumsum(unigram)
-
-        def step(i: int, rows: np.ndarray, g: np.ndarray) -> None:
-            p = self.parts()[i]
-            own, at = np.unique(rows, return_inverse=True)
-            total = np.zeros((len(own), *g.shape[1:]), dtype=np.float32)
-            np.add.at(total, at, g)
-            square = (total * total).mean(axis=1) if total.ndim > 1 else total * total
-            grown[i][own] += square
-            scale = rate / np.sqrt(grown[i][own])
-            p[own] -= total * (scale[:, None] if total.ndim > 1 else scale)
-
-        for lo in range(0, len(w), BATCH):
-            a, c, t = u[lo : lo + BATCH], v[lo : lo + BATCH], w[lo : lo + BATCH]
-            weight = np.float32(1 / len(t))
-            x = np.minimum(np.searchsorted(noise_sum, rng.random(NOISE)), len(unigram) - 1)
-            h = self.q1[a] + self.q2[c]
-            true = (h * self.r[t]).sum(axis=1) + self.b[t] - noise_log[t]
-            false = h @ self.r[x].T + (self.b[x] - noise_log[x])
-            g_true = -weight / (1 + np.exp(np.clip(true, -30, 30)))
-            g_false = weight / (1 + np.exp(-np.clip(false, -30, 30)))
-            g_h = g_true[:, None] * self.r[t] + g_false @ self.r[x]
-            step(2, np.concatenate([t, x]), np.concatenate([g_true[:, None] * h, g_false.T @ h]))
-            step(3, np.concatenate([t, x]), np.concatenate([g_true, g_false.sum(axis=0)]))
-            step(0, a, g_h)
-            step(1, c, g_h)
-
-    def fresh(self) -> list[np.ndarray]:
-        return [np.full(len(p), 1e-6, dtype=np.float32) for p in self.parts()]
-
-    def normalisers(self, contexts: np.ndarray) -> np.ndarray:
-        """Logarithm of the sum over all classes after each context u * K + v."""
-        k = len(self.b)
-        out = np.empty(len(contexts), dtype=np.float32)
-        step = max(1, (1 << 20) // k)
-        for lo in range(0, len(contexts), step):
-            c = contexts[lo : lo + step]
-            s = (self.q1[c // k] + self.q2[c % k]) @ self.r.T
-            s += self.b
-            top = s.max(axis=1, keepdims=True)
-            s -= top
-            out[lo : lo + step] = np.log(np.exp(s, out=s).sum(axis=1)) + top[:, 0]
-        return out
-
-    def log10_each(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, z: np.ndarray) -> np.ndarray:
-        """Normalised log10 probability of w after u, v; z: the normaliser of each."""
-        out = np.empty(len(w))
-        for lo in range(0, len(w), 1 << 16):
-            p = slice(lo, lo + (1 << 16))
-            out[p] = ((self.q1[u[p]] + self.q2[v[p]]) * self.r[w[p]]).sum(axis=1) + self.b[w[p]] - z[p]
-        return out / np.log(10)
-
-    def log10(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, z: np.ndarray) -> np.ndarray:
-        """The same; z: the normalisers of all contexts."""
-        return self.log10_each(u, v, w, z[u.astype(np.int64) * len(self.b) + v])
-
-
-class Normalisers:
-    """Normalisers of the contexts met, up to KEPT of them kept."""
-
-    def __init__(self, model: Model, kept: int = KEPT):
-        self.model, self.kept = model, kept
-        self.keys, self.z = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.float32)
-
-    def each(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        keys, at = np.unique(u.astype(np.int64) * len(self.model.b) + v, return_inverse=True)
-        place = np.searchsorted(self.keys, keys)
-        known = place < len(self.keys)
-        known[known] = self.keys[place[known]] == keys[known]
-        z = np.empty(len(keys), dtype=np.float32)
-        z[known] = self.z[place[known]]
-        z[~known] = self.model.normalisers(keys[~known])
-        if len(self.keys) + np.count_nonzero(~known) > self.kept:
-            self.keys, self.z = keys, z
+        self.groups, self.size, self.end, self.before = words.groups, words.size, words.end, words.before
+        self.group_share, self.leaf_share = words.group_share, words.leaf_share
+        shapes = {"near": self.before + 1, "far": self.before + 1, "leaf": self.end, "group": self.groups + 1}
+        self.p = {k: rng.normal(0, 0.1, (n, DIM)).astype(_F) for k, n in shapes.items()}
+        with np.errstate(divide="ignore"):
+            self.p["leaf_b"] = np.maximum(np.log(self.leaf_share), -30).astype(_F).ravel()
+            self.p["group_b"] = np.log(self.group_share).astype(_F)
+        self.grown = {k: np.full(len(v), 1e-6, dtype=_F) for k, v in self.p.items()}
+
+    def hidden(self, ids: np.ndarray) -> np.ndarray:
+        """h of each of the LENGTH targets of stretches."""
+        sums = np.cumsum(self.p["far"][ids], axis=1)
+        far = sums[:, SPAN - 2 : -2].copy()
+        far[:, 1:] -= sums[:, : -SPAN - 1]
+        far += self.p["near"][ids[:, SPAN - 1 : -1]]
+        return far
+
+    def _step(self, name: str, rows: np.ndarray, g: np.ndarray, rate: float) -> None:
+        """One Adagrad step by the sum of the gradients g of each row."""
+        p, grown = self.p[name], self.grown[name]
+        self.mark[rows] = True
+        own = np.flatnonzero(self.mark[: len(p)])
+        self.mark[own] = False
+        self.place[own] = np.arange(len(own))
+        at, n = self.place[rows], len(own)
+        if g.ndim > 1:
+            total = np.empty((DIM, n), dtype=_F)
+            for j, column in enumerate(g.T):
+                total[j] = np.bincount(at, column, n)
+            grown[own] += np.einsum("ij,ij->j", total, total) / DIM
         else:
-            self.keys, self.z = np.insert(self.keys, place[~known], keys[~known]), np.insert(self.z, place[~known], z[~known])
-        return z[at]
-
-
-def dealt(runs: DataFrame, total: int, kinds: int, chunk: int = CHUNK) -> DataFrame:
-    """trainer, turn, run and n: runs (run, n) of the given sum and number, the frequent ones in parts."""
-    most = max(1, total // (PARTS * max(TRAINERS, kinds // chunk)))
-    parts = runs.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {most}"))))
-    parts = parts.withColumn("turn", F.xxhash64("run", "part"))
-    return parts.select(F.pmod("turn", F.lit(TRAINERS)).cast("int").alias("trainer"), "turn", "run", F.least(F.col("n") - F.col("part") * most, F.lit(most)).alias("n"))
-
+            total = np.bincount(at, g, n).astype(_F)
+            grown[own] += total * total
+        p[own] -= (total * (rate / np.sqrt(grown[own]))).T
+
+    def _sorted(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which targets of stretches count, in the order of their groups; their leaves; their groups."""
+        target = ids[:, SPAN:].ravel()
+        live = np.flatnonzero(target != self.before)
+        group = np.minimum(target[live] // self.size, self.groups)
+        order = np.argsort(group.astype(np.int16) if self.groups < 32_000 else group, kind="stable")
+        return live[order], target[live[order]], group[order]
+
+    def prepare(self) -> None:
+        """Work space of training."""
+        self.mark, self.place = np.zeros(self.before + 1, dtype=bool), np.empty(self.before + 1, dtype=np.int64)
+        #: Cumulative shares, the leaves of group g between g and g + 1.
+        self.steps = (np.cumsum(self.leaf_share, axis=1) / np.maximum(self.leaf_share.sum(axis=1, keepdims=True), 1e-300) + np.arange(self.groups)[:, None]).ravel()
+        self.group_steps = np.cumsum(self.group_share)
+        with np.errstate(divide="ignore"):
+            self.leaf_log = np.maximum(np.log(NOISE_LEAVES * self.leaf_share), -30).astype(_F).ravel()
+            self.group_log = np.log(NOISE_GROUPS * self.group_share).astype(_F)
+
+    def train(self, ids: np.ndarray, rng: np.random.Generator, rate: float) -> None:
+        """One mini-batch of stretches."""
+        p, last = self.p, self.groups
+        live, target, group = self._sorted(ids)
+        if not len(live):
+            return
+        h = self.hidden(ids).reshape(-1, DIM)[live]
+        weight = _F(1 / len(live))
+
+        def false_g(s: np.ndarray) -> np.ndarray:
+            """The gradient of noise scores, in their place; an overflow is a gradient of 0."""
+            np.negative(s, out=s)
+            with np.errstate(over="ignore"):
+                np.exp(s, out=s)
+            s += 1
+            return np.divide(weight, s, out=s)
+
+        def true_g(s: np.ndarray) -> np.ndarray:
+            return false_g(s) - weight
+
+        noise = np.minimum(np.searchsorted(self.group_steps, rng.random(NOISE_GROUPS), side="right"), last)
+        g_true = true_g(np.einsum("ij,ij->i", h, p["group"][group]) + (p["group_b"] - self.group_log)[group])
+        g_false = false_g(h @ p["group"][noise].T + (p["group_b"] - self.group_log)[noise])
+        g_h = g_true[:, None] * p["group"][group] + g_false @ p["group"][noise]
+        steps = [("group", np.concatenate([group, noise]), np.concatenate([g_true[:, None] * h, g_false.T @ h])), ("group_b", np.concatenate([group, noise]), np.concatenate([g_true, g_false.sum(axis=0)]))]
+
+        m = int(np.searchsorted(group, last))
+        if m:
+            inner, leaf, of = h[:m], target[:m], group[:m]
+            cuts = np.searchsorted(of, np.arange(last + 1)).tolist()
+            there = [(g, lo, hi) for g, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if lo < hi]
+            noise = np.searchsorted(self.steps, rng.random((last, NOISE_LEAVES)) + np.arange(last)[:, None], side="right")
+            noise = np.minimum(noise, (np.arange(1, last + 1) * self.size - 1)[:, None])
+            vectors = p["leaf"][noise]
+            score = np.empty((m, NOISE_LEAVES), dtype=_F)
+            for g, lo, hi in there:
+                np.matmul(inner[lo:hi], vectors[g].T, out=score[lo:hi])
+            g_true = true_g(np.einsum("ij,ij->i", inner, p["leaf"][leaf]) + p["leaf_b"][leaf] - self.leaf_log[leaf])
+            score += (p["leaf_b"][noise] - self.leaf_log[noise])[of]
+            g_false = false_g(score)
+            g_noise, g_noise_b = np.zeros_like(vectors), np.zeros((last, NOISE_LEAVES), dtype=_F)
+            g_inner = g_true[:, None] * p["leaf"][leaf]
+            for g, lo, hi in there:
+                part = g_false[lo:hi]
+                g_inner[lo:hi] += part @ vectors[g]
+                np.matmul(part.T, inner[lo:hi], out=g_noise[g])
+                g_noise_b[g] = part.sum(axis=0)
+            g_h[:m] += g_inner
+            met = np.array([g for g, _, _ in there])
+            rows = np.concatenate([leaf, noise[met].ravel()])
+            steps += [("leaf", rows, np.concatenate([g_true[:, None] * inner, g_noise[met].reshape(-1, DIM)])), ("leaf_b", rows, np.concatenate([g_true, g_noise_b[met].ravel()]))]
+
+        back = np.zeros((len(ids) * LENGTH, DIM), dtype=_F)
+        back[live] = g_h
+        steps.append(("near", ids[:, SPAN - 1 : -1].ravel(), back))
+        sums = np.zeros((len(ids), LENGTH + 1, DIM), dtype=_F)
+        np.cumsum(back.reshape(len(ids), LENGTH, DIM), axis=1, out=sums[:, 1:])
+        at = np.arange(LENGTH + SPAN - 2)  # the place of a context; targets 2 to SPAN places on learn from it
+        lo, hi = np.maximum(at + 2 - SPAN, 0), np.minimum(at + 1, LENGTH)
+        steps.append(("far", ids[:, : LENGTH + SPAN - 2].ravel(), (sums[:, hi] - sums[:, lo]).reshape(-1, DIM)))
+        for name, rows, g in steps:
+            self._step(name, rows, g, rate)
+
+    @staticmethod
+    def _log_sum(z: np.ndarray) -> np.ndarray:
+        top = _F(z.max())
+        if top > 60:  # beyond this, sums need each row's own maximum
+            tops = z.max(axis=1)
+            return np.log(np.exp(z - tops[:, None]).sum(axis=1)) + tops
+        return np.log(np.exp(z, out=z) @ np.ones(z.shape[1], dtype=_F))
+
+    def log10(self, ids: np.ndarray) -> np.ndarray:
+        """Normalised log10 probability of the leaf of each target of stretches; 0 where nothing counts."""
+        out = np.zeros(len(ids) * LENGTH)
+        leaf, leaf_b = self.p["leaf"].reshape(self.groups, self.size, DIM), self.p["leaf_b"].reshape(self.groups, self.size)
+        for start in range(0, len(ids), BATCH):
+            part = ids[start : start + BATCH]
+            live, target, group = self._sorted(part)
+            h = self.hidden(part).reshape(-1, DIM)[live]
+            found = np.empty(len(live))
+            for lo in range(0, len(live), 2048):
+                rows = slice(lo, lo + 2048)
+                z = h[rows] @ self.p["group"].T
+                z += self.p["group_b"]
+                found[rows] = z[np.arange(len(z)), group[rows]]
+                found[rows] -= self._log_sum(z)
+            cuts = np.searchsorted(group, np.arange(self.groups + 1)).tolist()
+            for g, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+                for at in range(lo, hi, 4096):
+                    rows = slice(at, min(at + 4096, hi))
+                    z = h[rows] @ leaf[g].T
+                    z += leaf_b[g]
+                    found[rows] += z[np.arange(len(z)), target[rows] - g * self.size]
+                    found[rows] -= self._log_sum(z)
+            out[start * LENGTH + live] = found
+        return out / math.log(10)
+
+
+def _learn(batches: Iterator[pa.RecordBatch], sent, turn: int, rate: float, times: int) -> Iterator[pa.RecordBatch]:
+    """Train on a task's texts; slabs of rows of the model, with what has been learned about each row.
+
+    Texts are read more than once only where there are fewer than LEAST tokens; then all are held.
+    """
+    words, model = sent.value
+    before = {k: v.copy() for k, v in model.grown.items()}
+    model.prepare()
+    rng = np.random.default_rng([turn, TaskContext.get().partitionId()])
+    held: list[np.ndarray] = []
 
-def drawn(batches: Iterator[pa.RecordBatch], rate: float, rng: np.random.Generator, chunk: int = CHUNK) -> Iterator[tuple[np.ndarray, int]]:
-    """Runs drawn from a trainer's rows (run, n), rate for each occurrence, and the occurrences they stand for."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
+    def spend(rows: np.ndarray) -> None:
+        rows = rows[rng.permutation(len(rows))]
+        for lo in range(0, len(rows), BATCH):
+            model.train(rows[lo : lo + BATCH], rng, rate)
 
-    def draw() -> tuple[np.ndarray, int]:
-        run, n = (np.concatenate(x) for x in zip(*held))
-        sums = np.cumsum(n)
-        return run[np.searchsorted(sums, rng.integers(0, sums[-1], max(1, round(rate * int(sums[-1])))), side="right")], int(sums[-1])
+    met = False
+    for batch in small_batches(batches, "__text", 2_000_000):
+        met = True
+        held.append(stretches(words.coded(column_bytes(batch.column("__text")))[0], words.before))
+        if times == 1 and sum(map(len, held)) >= CHUNK:
+            spend(np.concatenate(held))
+            held = []
+    if held:
+        whole = np.concatenate(held)
+        for _ in range(times):
+            spend(whole)
+    if not met:
+        return
+    for name in Model.NAMES:
+        p, learned = model.p[name], model.grown[name] - before[name]
+        for lo in range(0, len(p), SLAB):
+            if learned[lo : lo + SLAB].any():
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([lo], pa.int64()), pa.array([p[lo : lo + SLAB].astype(np.float16).tobytes()], pa.binary()), pa.array([learned[lo : lo + SLAB].tobytes()], pa.binary())], names=["name", "lo", "rows", "learned"])
+    model.p = model.grown = {}
+
+
+def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of each slab: rows averaged by what their trainers learned, and the mean of that."""
+    now, rows, learned, squares = None, None, None, None
+
+    def made() -> pa.RecordBatch:
+        total = np.maximum(learned, 1e-30)
+        return pa.RecordBatch.from_arrays([pa.array([now[0]]), pa.array([now[1]], pa.int64()), pa.array([(rows / total[:, None]).astype(_F).tobytes()], pa.binary()), pa.array([(squares / total).astype(_F).tobytes()], pa.binary())], names=["name", "lo", "rows", "learned"])
 
     for batch in batches:
-        if batch.num_rows:
-            held.append((batch.column("run").to_numpy(), batch.column("n").to_numpy()))
-            size += batch.num_rows
-            if size >= chunk:
-                yield draw()
-                held, size = [], 0
-    if held:
-        yield draw()
+        for name, lo, r, w in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            w = np.frombuffer(w, dtype=_F).astype(np.float64)
+            r = np.frombuffer(r, dtype=np.float16).reshape(len(w), -1).astype(np.float64) * w[:, None]
+            if (name, lo) != now:
+                if now is not None:
+                    yield made()
+                now, rows, learned, squares = (name, lo), r, w, w * w
+            else:
+                rows, learned, squares = rows + r, learned + w, squares + w * w
+    if now is not None:
+        yield made()
 
 
 def fit(train: DataFrame, words: Words) -> Model:
-    """Train on all runs of three classes of train's column __text."""
+    """Train on the column __text of all rows of train."""
     spark = train.sparkSession
-    sent = spark.sparkContext.broadcast(words)
-    k = words.size
-    model = Model(words.unigram)
-    runs = table(train.mapInArrow(lambda b: _count_runs(b, sent), "run long, n long").groupBy("run").agg(F.sum("n").alias("n")), "runs")
-    size = runs.agg(F.count("*").alias("kinds"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    rate = max(DRAWS * size.kinds, LEAST * TRAINERS) / max(size.n, 1)
-    parts = dealt(runs, size.n, size.kinds).repartition(TRAINERS, "trainer").sortWithinPartitions("trainer", "turn").select("trainer", "run", "n")
-    for r in range(ROUNDS):
-        now = spark.sparkContext.broadcast(model)
-
-        def learn(batches: Iterator[pa.RecordBatch], r: int = r, now=now) -> Iterator[pa.RecordBatch]:
-            batches = (b for b in batches if b.num_rows)
-            first = next(batches, None)
-            if first is None:
-                return
-            m, done = now.value, 0
-            grown, rng = m.fresh(), np.random.default_rng([r, first.column("trainer")[0].as_py()])
-            for run, n in drawn(chain([first], batches), rate, rng):
-                m.train((run // (k * k)).astype(np.int32), (run // k % k).astype(np.int32), (run % k).astype(np.int32), unigram, rng, RATE / (1 + r), grown)
-                done += n
-            yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64()), pa.array([b"".join(p.tobytes() for p in m.parts())], pa.binary())], names=["n", "parts"])
-
-        unigram = words.unigram
-        # At most one row a trainer, of a size that K and DIM fix.
-        sent_back = parts.mapInArrow(learn, "n long, parts binary").collect()
-        if sent_back:
-            weight = np.array([x.n for x in sent_back], dtype=np.float64)
-            flat = np.zeros(len(sent_back[0].parts) // 4)
-            for x, share in zip(sent_back, weight / weight.sum()):
-                flat += np.frombuffer(x.parts, dtype=np.float32) * share
-            at = 0
-            for p in model.parts():
-                p[...] = flat[at : at + p.size].reshape(p.shape)
-                at += p.size
-    drop_table(runs)
+    model = Model(words)
+    if not words.total:
+        return model
+    passes = min(PASSES, max(1, math.ceil(LEAST / words.total)))
+    slices, times = math.ceil(ROUNDS / passes), math.ceil(passes / ROUNDS)
+    rounds = math.ceil(passes / times) * slices
+    trainers = max(1, round(math.sqrt(words.total / TOKENS)))
+    dealt = train.coalesce(trainers) if train.rdd.getNumPartitions() >= trainers else train.repartition(trainers)
+    for turn in range(rounds):
+        sent = spark.sparkContext.broadcast((words, model))
+        rate = RATE * (1 - 0.9 * turn / rounds)
+        mine = dealt if slices == 1 else dealt.filter(F.pmod(F.xxhash64("__text"), F.lit(slices)) == turn % slices)
+        schema = "name string, lo long, rows binary, learned binary"
+        learned = mine.mapInArrow(lambda b, sent=sent, turn=turn, rate=rate: _learn(b, sent, turn, rate, times), schema)
+        # Slabs of the averaged model: as many bytes as the model has, whatever the number of trainers.
+        for r in learned.repartition("name", "lo").sortWithinPartitions("name", "lo").mapInArrow(_average, schema).collect():
+            w = np.frombuffer(r.learned, dtype=_F)
+            rows = slice(r.lo, r.lo + len(w))
+            p, grown = model.p[r["name"]], model.grown[r["name"]]
+            p[rows] = np.where((w > 0).reshape(-1, *[1] * (p.ndim - 1)), np.frombuffer(r.rows, dtype=_F).reshape(p[rows].shape), p[rows])
+            grown[rows] += w
+        sent.destroy()
     return model
 
 
 def _score(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
     words, model = sent.value
-    normalisers = Normalisers(model)
     uid = TaskContext.get().partitionId() << 40
-    last = len(words.base) - 1
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64()]
+    kinds = [pa.int64(), None, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64()]
     names = ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "word", "tf"]
+    base = np.append(np.log10(words.n + 1) - words.bottom, [math.log10(words.texts + 1) - words.bottom, -words.bottom])  # places -2 and -1 are the last two
     for batch in small_batches(batches, "__text", 1_000_000):
-        texts = [tokens(t) for t in column_bytes(batch.column("__text"))]
-        c, place, ends = _classes(words, texts)
-        u, v = _contexts(c)
-        p = model.log10_each(u, v, c, normalisers.each(u, v))
-        inner = place != -2
-        p[inner] += words.share[place[inner]]
-        base = np.where(inner, words.base[np.where(inner, place, last)], words.base_end)
-        known = np.where(inner, place >= 0, words.end > 0).astype(np.int64)
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        n = len(texts)
-        ids = np.arange(uid, uid + n)
+        kinds[1] = batch.schema.field("doc_id").type
+        ids, place, begins, ends, outside = words.coded(column_bytes(batch.column("__text")))
+        p = model.log10(stretches(ids, words.before))[: len(ids) - SPAN]
+        p = np.concatenate([np.zeros(SPAN), p])
+        shared = np.flatnonzero((place >= -1) & (ids < words.end))
+        shared = shared[~words.alone[ids[shared]]]
+        p[shared] -= words.bottoms[ids[shared]]
+        of_head = shared[place[shared] >= 0]
+        p[of_head] += np.log10(words.n[place[of_head]] + 1)
+        own = np.where(ids == words.before, 0.0, base[place])
+        known = (place >= 0) | ((ids == words.end) & (words.texts > 0))
+        n = len(begins)
+        uids = np.arange(uid, uid + n)
         uid += n
-        heads = [ids, batch.column("doc_id"), batch.column("held_out"), ends - starts + 1, np.add.reduceat(known, starts), np.add.reduceat(base, starts), np.add.reduceat(p, starts)]
+        sums = lambda x: np.add.reduceat(x, begins)  # noqa: E731 - what stands before a text is 0
+        heads = [uids, batch.column("doc_id"), batch.column("held_out"), ends - begins + 1, sums(known.astype(np.int64)), sums(own), sums(p)]
         yield pa.RecordBatch.from_arrays([*[pa.array(x, t) if isinstance(x, np.ndarray) else x for x, t in zip(heads, kinds)], pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], names=names)
-        owner, word, tf = [], [], []
-        missing = np.flatnonzero(place == -1)
-        which = np.searchsorted(ends, missing)
-        for d, at in zip(which.tolist(), (missing - starts[which]).tolist()):
-            owner.append(d)
-            word.append(texts[d][at])
-        pairs = Counter(zip(owner, word))
+        pairs = Counter((i, w) for i, x in enumerate(outside) for w in x)
         if pairs:
-            own = ids[np.array([d for d, _ in pairs])]
-            m = len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(own), *[pa.nulls(m, t) for t in kinds[1:7]], pa.array([w for _, w in pairs], pa.binary()), pa.array(list(pairs.values()), pa.int64())], names=names)
+            m = len(pairs)
+            yield pa.RecordBatch.from_arrays([pa.array(uids[np.array([i for i, _ in pairs])]), *[pa.nulls(m, t) for t in kinds[1:7]], pa.array([w for _, w in pairs], pa.binary()), pa.array(list(pairs.values()), pa.int64())], names=names)
 
 
-def scores(docs: DataFrame, text: str = "text", modulus: int = 7, classes: int | None = None, head: int | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row.
+def _leaf_sums(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+    words = sent.value
+    n, kinds = np.zeros(words.end), np.zeros(words.end)
+    for batch in batches:
+        word, count = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+        out = np.fromiter((w not in words.index for w in word), dtype=bool, count=len(word))
+        leaf = np.fromiter((words.hashed(w) for w, o in zip(word, out) if o), dtype=np.int64, count=int(out.sum()))
+        n += np.bincount(leaf, count[out], words.end)
+        kinds += np.bincount(leaf, minlength=words.end)
+    leaf = np.flatnonzero(kinds)
+    yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(n[leaf]), pa.array(kinds[leaf])], names=["leaf", "n", "kinds"])
 
-    Rows whose crc32(doc_id as text) leaves remainder 2 modulo ``modulus`` are held out; the
-    model and the base learn from the others. Unless given, classes and head grow with the words.
-    """
-    spark = docs.sparkSession
+
+def learn(train: DataFrame, leaves: int | None = None, head: int | None = None) -> tuple[Words, Model, DataFrame]:
+    """Word statistics, the model and the table of all word counts (word, n) of train's column __text."""
+    spark = train.sparkSession
     ship(spark)
-    source = docs.select(F.col("doc_id").cast("long"), held_out("doc_id", modulus).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    train = source.filter(~F.col("held_out")).select("__text")
     counts = table(train.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("kinds")).first()
     grown = sizes(total.kinds)
-    classes, head = classes or grown[0], head or grown[1]
+    leaves, head = leaves or grown[0], head or grown[1]
     top = counts.orderBy(F.desc("n"), "word").limit(head).collect()  # head rows at most
-    words = Words([(bytes(r.word), r.n) for r in top if len(r.word) <= 200], train.count(), total.n, total.kinds, classes)
-    model = fit(train, words)
-
-    scorer = spark.sparkContext.broadcast((words, model))
-    scored = table(source.mapInArrow(lambda b: _score(b, scorer), "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word binary, tf long"), "scored")
-
+    words = Words([(bytes(r.word), r.n) for r in top if len(r.word) <= 200], train.count(), total.n, total.kinds, leaves)
+    if total.kinds > len(words.index):
+        sent = spark.sparkContext.broadcast(words)
+        sums = counts.mapInArrow(lambda b: _leaf_sums(b, sent), "leaf long, n double, kinds double").groupBy("leaf").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds"))
+        found = sums.collect()  # one row for each hashed leaf at most
+        words.learn(*(np.array([r[c] for r in found], dtype=t) for c, t in (("leaf", np.int64), ("n", np.float64), ("kinds", np.float64))))
+    return words, fit(train, words), counts
+
+
+def apply(source: DataFrame, words: Words, model: Model, counts: DataFrame) -> DataFrame:
+    """The scores of source (doc_id, held_out, __text)."""
+    sent = source.sparkSession.sparkContext.broadcast((words, model))
+    source = spread(source)
+    schema = T.StructType([T.StructField("uid", T.LongType()), source.schema["doc_id"], *T._parse_datatype_string("held_out boolean, n_tokens long, n_known long, base double, score double, word binary, tf long").fields])
+    schema["doc_id"].nullable = True
+    scored = table(source.mapInArrow(lambda b: _score(b, sent), schema), "scored")
     heads = scored.filter("word is null").drop("word", "tf")
-    c = F.coalesce(F.col("n"), F.lit(0)).cast("double") + 1
     rest = scored.filter("word is not null").select("uid", "word", "tf").join(counts, "word", "left")
-    rest = rest.groupBy("uid").agg(
-        F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("more_known"),
-        F.sum(F.col("tf") * F.log10(c / float(words.total + words.kinds + 1))).alias("more_base"),
-        F.sum(F.col("tf") * F.log10(c / float(words.rare_total + words.rare_kinds + 1))).alias("more_score"),
-    )
-    zero = F.lit(0.0)
+    # Only the logarithm of the count is missing so far, from base and score alike.
+    rest = rest.groupBy("uid").agg(F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("known"), F.sum(F.col("tf") * F.log10(F.coalesce(F.col("n"), F.lit(0)).cast("double") + 1)).alias("more"))
+    more = F.coalesce("more", F.lit(0.0))
     return heads.join(rest, "uid", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
+        (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(words.total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", zero)).alias("base_score"),
-        (F.col("score") + F.coalesce("more_score", zero)).alias("score"),
+        (F.col("base") + more).alias("base_score"),
+        (F.col("score") + more).alias("score"),
     )
+
+
+def scores(docs: DataFrame, text: str = "text", modulus: int = 7, leaves: int | None = None, head: int | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row.
+
+    Rows whose crc32(doc_id as text) leaves remainder 2 modulo ``modulus`` are held out; the
+    model and the base learn from the others. Unless given, leaves and head grow with the words.
+    """
+    source = docs.select("doc_id", held_out("doc_id", modulus).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    return apply(source, *learn(source.filter(~F.col("held_out")).select("__text"), leaves, head))
