@@ -37,6 +37,7 @@ import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from copy import copy
 from itertools import chain, repeat
 
 import numpy as np
@@ -347,8 +348,9 @@ def _learn(batches: Iterator[pa.RecordBatch], sent, turn: int, rate: float, time
 
     Texts are read more than once only where there are fewer than LEAST tokens; then all are held.
     """
-    words, model = sent.value
-    before = {k: v.copy() for k, v in model.grown.items()}
+    words, given = sent.value
+    model = copy(given)  # a worker may run several tasks of this round
+    model.p, model.grown, before = {k: v.copy() for k, v in given.p.items()}, {k: v.copy() for k, v in given.grown.items()}, given.grown
     model.prepare()
     rng = np.random.default_rng([turn, TaskContext.get().partitionId()])
     held: list[np.ndarray] = []
@@ -376,7 +378,6 @@ def _learn(batches: Iterator[pa.RecordBatch], sent, turn: int, rate: float, time
         for lo in range(0, len(p), SLAB):
             if learned[lo : lo + SLAB].any():
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([lo], pa.int64()), pa.array([p[lo : lo + SLAB].astype(np.float16).tobytes()], pa.binary()), pa.array([learned[lo : lo + SLAB].tobytes()], pa.binary())], names=["name", "lo", "rows", "learned"])
-    model.p = model.grown = {}
 
 
 def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
