@@ -11,8 +11,15 @@ Reading: the text reader cuts byte ranges at the gzip magic, each task owning wh
 its range. A piece is a member if it opens as gzip, its header decodes as a WARC record, and
 it inflates to its end; where the magic occurs within compressed data, pieces are joined
 until it does. A member cut by the end of a range is completed from the pieces that the next
-range could not place; those few fragments, and nothing else, are shuffled by file. Names
-ending in .gz must not be used: Hadoop would inflate such a file as a whole.
+range could not place; those few fragments, and nothing else, are shuffled by file. Files whose names
+end in .gz pass through Hadoop's codec that changes nothing; Spark cuts no such file, so each is one
+task, which reads it as a stream. Other names are cut.
+
+Records: of any type, one or more in a member. page_id and refers_to are numbers where ids are of the form
+that the writer uses, else null; record_id and refers_to_id are the ids as they stand. payload_digest
+is that of the header if it is a SHA-1, else null. A record whose digest or length does not
+match, and bytes that belong to no member, raise ValueError; with strict=False they become rows of the
+type 'damaged', whose payload_bytes are the bytes skipped, and what follows is read.
 
 Defined results: a null payload is the empty one; rows with equal ids and payloads share
 their role (all responses, or all revisits); a null id sorts below every other; an empty
@@ -30,13 +37,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrahac.llm.common import column_bytes, new_path, ship, small_batches, sorted_groups
+from terrahac.llm.common import column_bytes, new_path, ship, small_batches, sorted_groups, table
 
 MAGIC = b"\x1f\x8b\x08"
 #: Payloads of fewer bytes are always written in full.
 LEAST = 1000
 EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00" + bytes(8)
-RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
+RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, record_id string, refers_to_id string"
+#: Groups of equal payloads up to which all tasks get their digests and ids (about 60 bytes each).
+SEND_GROUPS = 300_000
 
 
 def member(data: bytes, level: int) -> bytes:
@@ -77,43 +86,81 @@ def record(page_id: int | None, url: str | None, payload: bytes, size: int, sha1
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parse(data: bytes) -> tuple:
-    """The fields of RECORDS from one record; raises ValueError if it is not whole."""
-    head, mark, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8").split("\r\n")
-    if not mark or not lines[0].startswith("WARC/"):
+def _number(name: str | None) -> int | None:
+    """The page's number in an id as the writer makes them."""
+    number = (name or "").removeprefix("<urn:page:").removesuffix(">")
+    return int(number) if name != number and number.lstrip("-").isdigit() else None
+
+
+def _sha1(value: str | None) -> str | None:
+    """A digest of a header as hexadecimal digits, if it is a SHA-1."""
+    kind, _, text = (value or "").partition(":")
+    if kind.lower() != "sha1":
+        return None
+    if len(text) == 40:
+        return text.lower()
+    try:
+        return base64.b32decode(text.upper()).hex()
+    except ValueError:
+        return None
+
+
+def _record(data: bytes, start: int) -> tuple[tuple, int]:
+    """The fields of RECORDS from the record that begins at start, and where it ends; raises ValueError if it is not whole."""
+    end = data.find(b"\r\n\r\n", start)
+    lines = data[start:end].decode("utf-8", "replace").split("\r\n")
+    if end < 0 or not lines[0].startswith("WARC/"):
         raise ValueError("no WARC header")
-    fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    if not fields.get("content-length", "").isdigit() or "warc-type" not in fields:
+        raise ValueError("a WARC header without length or type")
     size = int(fields["content-length"])
-    block = rest[:size]
+    block = data[end + 4 : end + 4 + size]
     if len(block) != size:
         raise ValueError("a record is cut off")
-    kind = fields["warc-type"]
+    kind = fields["warc-type"].lower()
     payload, n = block, size
     if fields.get("content-type", "").startswith("application/http"):
-        http, _, payload = block.partition(b"\r\n\r\n")
-        for x in http.split(b"\r\n")[1:]:
-            k, _, v = x.partition(b":")
-            if k.lower() == b"content-length":
-                n = int(v)
-    digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
-    if kind != "revisit" and (len(payload) != n or hashlib.sha1(payload).hexdigest() != digest):
+        http, mark, rest = block.partition(b"\r\n\r\n")
+        payload = rest if mark else b""
+        n = len(payload)
+        if kind == "revisit":  # its payload is elsewhere, and its length in the HTTP header
+            for x in http.split(b"\r\n")[1:]:
+                k, _, v = x.partition(b":")
+                if k.strip().lower() == b"content-length" and v.strip().isdigit():
+                    n = int(v)
+    digest = _sha1(fields.get("warc-payload-digest"))
+    if kind != "revisit" and digest and "warc-truncated" not in fields and hashlib.sha1(payload).hexdigest() != digest:
         raise ValueError("a payload does not match its digest")
-    number = lambda x: int(x[10:-1]) if x and len(x) > 11 else None
     url = fields.get("warc-target-uri")
-    return number(fields.get("warc-record-id")), None if url is None else _unline(url), kind, number(fields.get("warc-refers-to")), n, digest, None if kind == "revisit" else payload
+    own, other = fields.get("warc-record-id"), fields.get("warc-refers-to")
+    return (_number(own), None if url is None else _unline(url), kind, _number(other), n, digest, None if kind == "revisit" else payload, own, other), end + 4 + size
+
+
+def parse(data: bytes) -> list[tuple]:
+    """The fields of RECORDS of each record in a member."""
+    out, at = [], 0
+    while at < len(data):
+        row, at = _record(data, at)
+        out.append(row)
+        while data[at : at + 2] == b"\r\n":
+            at += 2
+    return out
 
 
 def with_roles(pages: DataFrame) -> DataFrame:
     """Columns page_id, url, payload, n, sha1 and refers_to (null for responses).
 
     Groups of equal payloads are counted before anything is shuffled by digest, and only
-    groups of two or more are joined back; a large group is the many-rows side of that join,
-    which Spark splits.
+    groups of two or more are joined back. Up to SEND_GROUPS of them are sent to all tasks, so that no
+    payload is shuffled; beyond, a large group is the many-rows side of a join, which Spark splits.
     """
     base = pages.select("page_id", "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     base = base.select("*", F.octet_length("payload").cast("long").alias("n"), F.sha1("payload").alias("sha1"))
     last = base.filter(F.col("n") >= LEAST).groupBy("sha1").agg(F.max("page_id").alias("last_id"), F.count("*").alias("copies")).filter("copies > 1 and last_id is not null").select(F.col("sha1").alias("same"), "last_id")
+    last = table(last, "copies")
+    if last.count() <= SEND_GROUPS:
+        last = F.broadcast(last)
     refers = F.when((F.col("n") >= LEAST) & ~F.col("page_id").eqNullSafe(F.col("last_id")), F.col("last_id"))
     return base.join(last, F.col("sha1") == F.col("same"), "left").select("page_id", "url", "payload", "n", "sha1", refers.alias("refers_to"))
 
@@ -133,65 +180,104 @@ def write(pages: DataFrame, path: str, level: int = 3) -> None:
 
 
 NAMES = [x.split()[0] for x in RECORDS.split(", ")]
-KINDS = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+KINDS = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.string()]
+#: Options of the text reader under which names in .gz are read as they are; Spark's Hadoop client has its own name for one.
+AS_IT_IS = {"io.compression.codecs": "org.apache.hadoop.io.compress.PassthroughCodec", "io.compress.passthrough.extension": ".gz", "org.apache.hadoop.shaded.io.compress.passthrough.extension": ".gz"}
 
 
-def inflate(data: bytes) -> tuple[bytes | None, bytes, bool]:
-    """The content of the gzip member that data begins with, or None if its end is missing;
-    what follows it; and, if there is no content, whether data may still be such a member."""
-    z = zlib.decompressobj(31)
-    try:
-        out = z.decompress(data)
-    except zlib.error:
-        return None, b"", False
-    if z.eof:
-        return out, z.unused_data, True
-    return None, b"", b"WARC/".startswith(out[:5])
+class _Member:
+    """A gzip member whose pieces are fed one after the other."""
+
+    def __init__(self) -> None:
+        self.z, self.raw, self.out, self.size = zlib.decompressobj(31), [], [], 0
+
+    def feed(self, piece: bytes) -> str:
+        """'whole' at its end, 'more' if it may go on, else 'no'."""
+        self.raw.append(piece)
+        try:
+            part = self.z.decompress(piece)
+        except zlib.error:
+            return "no"
+        if part:
+            self.out.append(part)
+            self.size += len(part)
+        if self.size and len(self.out) > 1 and len(self.out[0]) < 5:
+            self.out = [b"".join(self.out)]
+        if self.z.eof:
+            return "no" if self.z.unused_data else "whole"
+        return "more" if not self.out or b"WARC/".startswith(self.out[0][:5]) else "no"
+
+    def content(self) -> bytes:
+        return b"".join(self.out)
 
 
 class _Range:
     """The pieces of one byte range of a file, in their order."""
 
-    def __init__(self, file: str, at: int):
-        self.file, self.at = file, at
-        self.orphan, self.held, self.placed = b"", b"", at == 0
+    def __init__(self, file: str, at: int, strict: bool = True):
+        self.file, self.at, self.strict = file, at, strict
+        self.orphan: list[bytes] = []
+        self.now: _Member | None = None
+        self.placed, self.lost = at == 0, 0
 
     def add(self, piece: bytes) -> bytes | None:
         """The content of a member that this piece completes."""
-        content, rest, may = inflate(self.held + piece)
-        if content is not None and not rest:
-            self.held, self.placed = b"", True
+        fresh = self.now is None
+        self.now = self.now or _Member()
+        found = self.now.feed(piece)
+        if found == "no" and not fresh:  # perhaps what was held is none, and this begins one
+            self._drop(self.now.raw[:-1])
+            self.now = _Member()
+            found = self.now.feed(piece)
+        if found == "no":
+            self._drop([piece])
+            self.now = None
+        elif found == "whole":
+            content, self.now, self.placed = self.now.content(), None, True
             return content
-        if content is None and may:
-            self.held += piece
-        elif self.placed:
-            raise ValueError(f"{self.file} holds bytes that belong to no member")
-        else:  # nothing has been placed yet: so far, all continues what began in an earlier range
-            self.orphan += self.held
-            self.held = b""
-            content, rest, may = inflate(piece)
-            if content is not None and not rest:
-                self.placed = True
-                return content
-            if content is None and may:
-                self.held = piece
-            else:
-                self.orphan += piece
         return None
 
+    def _drop(self, pieces: list[bytes]) -> None:
+        if not self.placed:  # so far, all continues what began in an earlier range
+            self.orphan += pieces
+        elif self.strict:
+            raise ValueError(f"{self.file} holds bytes that belong to no member")
+        else:
+            self.lost += sum(map(len, pieces))
+
     def fragments(self) -> list[tuple[str, int, bytes]]:
-        return [(self.file, 2 * self.at + i, x) for i, x in enumerate((self.orphan, self.held)) if x]
+        held = self.now.raw if self.now else []
+        return [(self.file, 2 * self.at + i, b"".join(x)) for i, x in enumerate((self.orphan, held)) if x]
+
+    def damage(self) -> list[tuple]:
+        lost, self.lost = self.lost, 0
+        return [_damaged(lost)] if lost else []
+
+
+def _damaged(size: int) -> tuple:
+    return (None, None, "damaged", None, size, None, None, None, None)
+
+
+def _rows(content: bytes, payload: bool, strict: bool) -> list[tuple]:
+    try:
+        found = parse(content)
+    except ValueError:
+        if strict:
+            raise
+        return [_damaged(len(content))]
+    return found if payload else [(*r[:6], None, *r[7:]) for r in found]
 
 
 def _batch(rows: list[tuple], fragments: list[tuple] | None = None) -> pa.RecordBatch:
-    every = [(*r, None, None, None) for r in rows] + [((None,) * 7 + f) for f in fragments or ()]
-    cols = list(zip(*every)) if every else [()] * 10
+    blank = (None,) * len(NAMES)
+    every = [(*r, None, None, None) for r in rows] + [(*blank, *f) for f in fragments or ()]
+    cols = list(zip(*every)) if every else [()] * (len(NAMES) + 3)
     made = [pa.array(c, k) for c, k in zip(cols, [*KINDS, pa.string(), pa.int64(), pa.binary()])]
-    n = 7 if fragments is None else 10
+    n = len(NAMES) + (0 if fragments is None else 3)
     return pa.RecordBatch.from_arrays(made[:n], names=[*NAMES, "file", "at", "fragment"][:n])
 
 
-def _members(batches: Iterator[pa.RecordBatch], payload: bool) -> Iterator[pa.RecordBatch]:
+def _members(batches: Iterator[pa.RecordBatch], payload: bool, strict: bool) -> Iterator[pa.RecordBatch]:
     now: _Range | None = None
     rows, size = [], 0
     for batch in batches:
@@ -199,53 +285,55 @@ def _members(batches: Iterator[pa.RecordBatch], payload: bool) -> Iterator[pa.Re
         for value, file, at in zip(values, files, starts):
             if now is None or (file, at) != (now.file, now.at):
                 if now is not None:
-                    yield _batch(rows, now.fragments())
+                    yield _batch(rows + now.damage(), now.fragments())
                     rows, size = [], 0
-                now = _Range(file, at)
+                now = _Range(file, at, strict)
                 if at == 0:  # what stands before a file's first separator
-                    if value:
+                    if value and strict:
                         raise ValueError(f"{file} does not begin with a gzip member")
+                    now.lost += len(value)
                     continue
             if content := now.add(MAGIC + value):
-                found = parse(content)
-                rows.append(found if payload else (*found[:6], None))
+                rows += _rows(content, payload, strict)
                 size += len(content) if payload else 200
                 if size > 4_000_000:
                     yield _batch(rows, [])
                     rows, size = [], 0
     if now is not None:
-        yield _batch(rows, now.fragments())
+        yield _batch(rows + now.damage(), now.fragments())
 
 
-def _stitched(batches: Iterator[pa.RecordBatch], payload: bool) -> Iterator[pa.RecordBatch]:
+def _stitched(batches: Iterator[pa.RecordBatch], payload: bool, strict: bool) -> Iterator[pa.RecordBatch]:
     for (file,), group in sorted_groups(batches, ["file"], ["fragment"]):
-        held, rows = b"", []
-        for part in group["fragment"]:
-            held += part
-            while held:
-                content, rest, may = inflate(held)
-                if content is None:
-                    if not may:
-                        raise ValueError(f"{file} holds a broken member")
-                    break
-                held = rest
-                if content:
-                    found = parse(content)
-                    rows.append(found if payload else (*found[:6], None))
-        if held:
-            raise ValueError(f"{file} ends within a member")
-        yield _batch(rows)
-
-
-def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+        held, rows, lost = b"".join(group["fragment"]), [], 0
+        while held:
+            z = zlib.decompressobj(31)
+            try:
+                content = z.decompress(held)
+                good = z.eof and (not content or content.startswith(b"WARC/"))
+            except zlib.error:
+                good = False
+            if good:
+                held = z.unused_data
+                rows += _rows(content, payload, strict) if content else []
+            elif strict:
+                raise ValueError(f"{file} holds a broken member or ends within one")
+            else:  # go on at the next place that may begin a member
+                at = held.find(MAGIC, 1)
+                at = len(held) if at < 0 else at
+                lost, held = lost + at, held[at:]
+        yield _batch(rows + ([_damaged(lost)] if lost else []))
+
+
+def read(spark: SparkSession, path: str, payload: bool = True, strict: bool = True) -> DataFrame:
     """The records below path, by byte ranges: the columns of RECORDS, payload null if not asked for."""
     ship(spark)
-    lines = spark.read.option("encoding", "ISO-8859-1").option("lineSep", MAGIC.decode("latin-1")).text(path)
+    lines = spark.read.options(**AS_IT_IS).option("encoding", "ISO-8859-1").option("lineSep", MAGIC.decode("latin-1")).text(path)
     lines = lines.select(F.col("value").cast("binary"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
-    found = lines.mapInArrow(lambda b: _members(b, payload), RECORDS + ", file string, at long, fragment binary")
+    found = lines.mapInArrow(lambda b: _members(b, payload, strict), RECORDS + ", file string, at long, fragment binary")
     whole = found.filter(F.col("fragment").isNull()).select(*NAMES)
     cut = found.filter(F.col("fragment").isNotNull()).select("file", "at", "fragment")
-    joined = cut.repartition("file").sortWithinPartitions("file", "at").mapInArrow(lambda b: _stitched(b, payload), RECORDS)
+    joined = cut.repartition("file").sortWithinPartitions("file", "at").mapInArrow(lambda b: _stitched(b, payload, strict), RECORDS)
     return whole.unionByName(joined)
 
 

@@ -1,6 +1,9 @@
+import base64
+import gzip
 import hashlib
 import random
 
+import pytest
 from pyspark.sql import Row
 
 from tests.llm.util import same_as_sql
@@ -52,5 +55,57 @@ def test_magic_inside_a_member():
     assert b"".join(f[2] for f in late.fragments()) == b"".join(warc.MAGIC + p for p in parts[2:])
 
 
+def by_hand(kind, block, more=""):
+    return f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nContent-Length: {len(block)}\r\n{more}\r\n".encode() + block + b"\r\n\r\n"
+
+
+def standard(rng, n=60):
+    """Members of an archive as crawlers write them, and (type, record id, payload) of its records."""
+    body = bytes(rng.randrange(256) for _ in range(3000))
+    info = by_hand("warcinfo", b"software: x\r\n", "WARC-Record-ID: <urn:uuid:0>\r\nContent-Type: application/warc-fields\r\n")
+    members, want = [info], [("warcinfo", "<urn:uuid:0>", b"software: x\r\n")]
+    for i in range(1, n):
+        page = body[: rng.randrange(3000)] + warc.MAGIC * (i % 3)
+        http = b"HTTP/1.1 200 OK\r\nServer: y\r\n\r\n" + page
+        ask = by_hand("request", b"GET / HTTP/1.1\r\n\r\n", f"WARC-Record-ID: <urn:uuid:q{i}>\r\nContent-Type: application/http; msgtype=request\r\n")
+        digest = base64.b32encode(hashlib.sha1(page).digest()).decode()
+        answer = by_hand("response", http, f"WARC-Record-ID: <urn:uuid:r{i}>\r\nWARC-Target-URI: http://h/{i}\r\nContent-Type: application/http; msgtype=response\r\n" + (f"WARC-Payload-Digest: sha1:{digest}\r\n" if i % 2 else ""))
+        meta = by_hand("metadata", b"a: b", "WARC-Record-ID: <urn:uuid:m%d>\r\nWARC-Payload-Digest: sha256:00\r\n" % i)
+        members += [ask + answer if i % 5 == 0 else ask] + ([] if i % 5 == 0 else [answer]) + [meta]
+        want += [("request", f"<urn:uuid:q{i}>", b""), ("response", f"<urn:uuid:r{i}>", page), ("metadata", f"<urn:uuid:m{i}>", b"a: b")]
+    return [gzip.compress(x, rng.choice([0, 1, 6]), mtime=0) for x in members], want
+
+
+def test_standard_archives(spark, tmp_path):
+    rng = random.Random(9)
+    members, want = standard(rng)
+    for name in ("a.warc.gz", "b.warc"):
+        (tmp_path / name).write_bytes(b"".join(members))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "3000", "500"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            for name in ("a.warc.gz", "b.warc"):
+                got = warc.read(spark, str(tmp_path / name)).collect()
+                assert sorted((r.record_type, r.record_id, bytes(r.payload)) for r in got) == sorted(want)
+                assert all(r.page_id is None and r.payload_bytes == len(r.payload) for r in got)
+                assert {r.payload_digest is None for r in got if r.record_type == "metadata"} == {True}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_damaged_archives(spark, tmp_path):
+    members, want = standard(random.Random(3), 12)
+    broken = members[:]
+    broken[4] = broken[4][:40] + b"zzzz" + broken[4][44:]
+    broken[9] = broken[9][:-6]
+    (tmp_path / "c.warc.gz").write_bytes(b"".join(broken) + members[0][:30])
+    with pytest.raises(Exception):
+        warc.read(spark, str(tmp_path / "c.warc.gz")).collect()
+    got = warc.read(spark, str(tmp_path / "c.warc.gz"), strict=False).collect()
+    found = [(r.record_type, r.record_id, bytes(r.payload)) for r in got if r.record_type != "damaged"]
+    assert set(found) < set(want) and len(found) >= len(want) - 4 and len(got) > len(found)
+
+
 def test_empty(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
