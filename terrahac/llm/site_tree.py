@@ -12,7 +12,8 @@ What entropy can't see, markup tells. Menus, adverts and footers whose words dif
 to page are known by element, role and class. A class name or id alone marks neither an article
 nor an element with most of the page's text where no article is beside it, nor one that holds
 all that the page has of articles and main elements, unless more text is outside what is
-marked. And an article that many pages of a host share
+marked. Within an article, a class name or id marks boxes only, not paragraphs, headings or list
+items, and only if nothing else is named in it (ad-slot, but not share-price). And an article that many pages of a host share
 has low entropy, though it must stay: what lies within an article (or main) element counts once
 for all copies of it, and branches there go only if at least STEADY pages are known and nearly
 all have them.
@@ -27,7 +28,8 @@ host's nodes repeated for each.
 
 Defined results: null, empty and textless pages give the empty text; a page without host is
 of the host ''; repeated rows each get their result; other columns are not read. Text keeps
-page order; an element that is never closed ends with the page or the next of its kind.
+page order; an element that is never closed ends with the page or the next of its kind. Bytes
+that are no UTF-8 are read as U+FFFD. An empty table gives no rows; texts and attributes of any length are read whole.
 """
 
 from __future__ import annotations
@@ -65,12 +67,53 @@ HOLDS = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"
 # Words of class names and ids that mark what is not the article.
 NOISE_WORDS = frozenset("ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promotion recommended related reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]{0,8192}+"|'[^']{0,8192}+'|["'])*+)>""", re.S)
+# Words that class names and ids add to those for a box around what is marked.
+BOX_WORDS = frozenset("area bar block bottom box button buttons card container content group holder icons inline inner item items left link links list module outer panel right row section slot strip top unit wrap wrapper zone".split())
+#: Elements that hold an article's own text.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th caption figcaption b i em strong a q cite code".split())
+
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)", re.S)
+_STOP = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
+class _Tags:
+    """Where the tags of a page end. A quote opens a value, of any length, after an equals sign only; one that
+    is never closed counts for nothing. What has been scanned is kept, so the work is linear in the page."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.last = {q: html.rfind(q) for q in "\"'"}
+        self.ends: dict[int, int] = {}
+        self.since, self.stop = 0, -1
+
+    def end(self, at: int) -> int:
+        """The place after the tag's end, -1 if it has none; at: a place in the tag outside of quotes."""
+        html, path = self.html, []
+        while (out := self.ends.get(at)) is None:
+            path.append(at)
+            if not self.since <= at <= self.stop:
+                found = _STOP.search(html, at)
+                self.since, self.stop = at, found.start() if found else len(html)
+            stop = self.stop
+            if stop == len(html):
+                out = -1
+            elif (sign := html[stop]) == ">":
+                out = stop + 1
+            else:
+                before = stop - 1
+                while before > at and html[before].isspace():
+                    before -= 1
+                at = html.find(sign, stop + 1) + 1 if html[before] == "=" and stop < self.last[sign] else stop + 1
+                continue
+            break
+        for x in path:
+            self.ends[x] = out
+        return out
+
+
 class Node:
     __slots__ = ("tag", "style", "noise", "root", "parts", "depth", "block", "worded")
 
@@ -87,7 +130,10 @@ class Node:
                     self.noise |= value.lower() in NOISE_ROLES
                     self.root |= value.lower() in ("main", "article")
                 else:
-                    words.update(w.lower() for w in _WORD.findall(value))
+                    for part in value.split():
+                        of = {w.lower() for w in _WORD.findall(part)}
+                        if not inside or (tag not in PROSE and of <= NOISE_WORDS | BOX_WORDS):
+                            words |= of
                     if name.lower() == "class":
                         self.style = value
         self.noise |= tag in NOISE_TAGS or (not inside and tag == "header")
@@ -147,13 +193,21 @@ def parse(html: str) -> Node:
     over: dict[str, int] = {}
     unclosed: set[str] = set()
     worded = False
+    tags = _Tags(html)
     match = _TOKEN.search(html)
     while match:
         start, stop = match.span()
+        close, tag = match.groups()
+        attributes = ""
+        if tag:
+            end = tags.end(stop)
+            if end < 0:  # no tag, but text
+                match = _TOKEN.search(html, stop)
+                continue
+            attributes, stop = html[stop : end - 1], end
         if start > at:
             stack[-1].parts.append(html[at:start])
         at = stop
-        close, tag, attributes = match.groups()
         if tag:
             tag = tag.lower()
             if tag in RAW:

@@ -77,3 +77,18 @@ def test_importance_of_a_host(spark):
     rows = [(i, "http://a/", f"<div><p>same</p></div><section><p>{i}</p></section>") for i in range(10)]
     low = site_tree.unimportant(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(low) == 1 and low[0].host == "a" and len(low[0].nodes) == len(low[0].importances) > 0
+
+
+def test_attributes_of_any_length():
+    for n in (10, 9_000, 300_000):
+        for q in "\"'":
+            assert text(f"<p data-x={q}{'y' * n}a > b{q}>hello</p>") == "hello"
+            assert text(f"<p data-x = {q}{'y' * n}a > b{q} class=z>hello</p>") == "hello"
+    assert text('<p title="never closed>a</p><p>b</p>') == "a b" and text("<p title=it's>a</p>") == "a"
+    for page in ('<a "' * 100_000, "<a " * 100_000, "<a x='" * 100_001, "<a x=\"'" * 100_001):
+        text(page)
+    assert text("<article>" + "<p>word " * 200_000 + "</article>").count("word") == 200_000
+
+
+def test_class_words_within_articles_need_more():
+    assert text('<article><p class="notice">a</p><div class="share-price">b</div><section class="menu-of-the-day">c</section><h2 class="related">d</h2><div class="ad-slot">x</div><div class="share-buttons">y</div></article>') == "a b c d"
