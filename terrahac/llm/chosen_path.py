@@ -23,7 +23,8 @@ Defined results: class_id is the smallest id of the documents that links and cop
 threshold); n_links counts the other documents at the threshold or above, copies included.
 A text of fewer words than a shingle, but not none, is one shingle; a text without words has
 no links and is a class of its own. Rows with a null id take no part: their class_id is
-null. Repeated rows are copies of each other. Extra columns are ignored.
+null. Repeated rows are copies of each other. Extra columns are ignored, and an empty table gives
+no rows. Ids are whole numbers; other ids raise Spark's error of the cast.
 """
 
 from __future__ import annotations

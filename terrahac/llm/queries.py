@@ -97,17 +97,19 @@ def op5_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 2 of the pipeline: of each group of near-duplicate rows one of the smallest id stays; so do null ids.
+    """Stage 2 of the pipeline: of each group of near-duplicate rows one of the smallest id stays.
 
-    Where ids repeat, rows are told apart by a number of their own.
+    Where ids repeat or are null, rows are told apart by a number of their own, and null ids come
+    after all others; texts without words are in no group and stay.
     """
-    if docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").isEmpty():
         gone = similar_documents(docs).filter("doc_id <> class_id").select("doc_id")
         return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    rows = table(docs.withColumn("__row", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())), "rows")
-    found = similar_documents(rows.select(F.col("__row").alias("doc_id"), "text")).filter("doc_id is not null")
+    rows = table(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = similar_documents(rows.select(F.col("__row").alias("doc_id"), "text"))
     found = table(found.select(F.col("doc_id").alias("__row"), "class_id"), "classes-of-rows")
-    stays = found.join(rows.select("__row", "doc_id"), "__row").groupBy("class_id").agg(F.min(F.struct("doc_id", "__row")).alias("stays"))
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__row")
+    stays = found.join(rows.select("__row", "doc_id"), "__row").groupBy("class_id").agg(F.min(order).alias("stays"))
     gone = found.join(stays, "class_id").filter("__row <> stays.__row").select("__row")
     return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
