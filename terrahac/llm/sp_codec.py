@@ -8,8 +8,8 @@ a sign that follows no letter in any piece), which changes no result and lets eq
 share their work. The rules about cuts are read from the vocabulary, not assumed.
 
 Defined results: null and empty texts have no ids and decode to the empty text; repeated
-rows each get their result; extra columns pass through only if asked for by ``keep``; a
-result column takes the place of an input column of the same name.
+rows each get their result; an empty table gives no rows; bytes that are no UTF-8 are read as
+U+FFFD; extra columns pass through only if asked for by ``keep``; a result column takes the place of an input column of the same name.
 """
 
 from __future__ import annotations
@@ -203,7 +203,7 @@ def encode_decode(docs: DataFrame, model: bytes, text: str = "text", keep: tuple
         c = codec(model_ref.value)
         library = None
         for batch in small_batches(batches, "__text"):
-            texts = [x.decode() if x else "" for x in column_bytes(batch.column("__text"))]
+            texts = [x.decode("utf-8", "replace") if x else "" for x in column_bytes(batch.column("__text"))]
             out: dict[str, list] = {k: [] for k in made}
             for row, t in enumerate(texts):
                 found = c.digest(t)

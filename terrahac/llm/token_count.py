@@ -9,7 +9,8 @@ read once and no piece is built.
 
 Words: runs without white space, of which each ASCII sign is a word of its own.
 
-Defined results: null, empty and blank texts have no words and no tokens; repeated rows each
+Defined results: null, empty and blank texts have no words and no tokens; an empty table gives no
+rows; texts of any length are read whole; bytes that are no UTF-8 are read as U+FFFD; repeated rows each
 get their result; a result column takes the place of a kept column of the same name.
 """
 
@@ -136,7 +137,7 @@ def token_counts(docs: DataFrame, initial: list[str], rest: list[str], text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(*sent.value)
         for batch in small_batches(batches, "__text"):
-            rows = [machine.text(t.decode()) if t else (0, 0, 0) for t in column_bytes(batch.column("__text"))]
+            rows = [machine.text(t.decode("utf-8", "replace")) if t else (0, 0, 0) for t in column_bytes(batch.column("__text"))]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *[pa.array(c, pa.int64()) for c in zip(*rows)]], names=[*keep, *RESULT])
 
     schema = T.StructType([*[docs.schema[c] for c in keep], *[T.StructField(c, T.LongType()) for c in RESULT]])
