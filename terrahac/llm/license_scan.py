@@ -11,11 +11,13 @@ List markers (numbers and letters, with a dot or in brackets) are no gap and are
 known sentences. A holder's name in the third clause of BSD-3 is read as `the copyright holder`.
 A line `SPDX-License-Identifier:` is a sentence, known if its expression names a licence of the
 rules, and gives each that it names (MIT OR Apache-2.0 gives both); other names give nothing.
-The SQL of oracle_sql has the sentences and rules without these additions.
+The SQL of oracle_sql has the sentences and rules only in common with this. It is written from the
+definition by lines, with its own cuts: it knows list markers, but neither holders' names nor SPDX.
 
 Defined results: null, empty and sentence-free texts have no licence ('' and 0); a licence
 found many times is named once, at its first place; known sentences that complete no rule
-count in n_sentences only; repeated rows each get their result.
+count in n_sentences only; repeated rows each get their result; an empty table gives no rows; a result
+column takes the place of a kept column of the same name; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -32,7 +34,6 @@ SENTENCES: list[tuple[str, str]] = [
     ("mit-ref", "This project is licensed under the MIT License."),
     ("mit-ref", "This software is released under the MIT License."),
     ("mit-ref", "Distributed under the MIT License."),
-    ("mit-grant", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'),
     ("mit-permission", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
     ("mit-notice", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     ("as-is", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'),
@@ -86,12 +87,11 @@ SENTENCES: list[tuple[str, str]] = [
 
 # The rules in their order, a licence's longer forms first.
 RULES: list[tuple[str, list[str]]] = [
-    ("MIT", ["mit-grant", "as-is", "no-liability"]),
     ("MIT", ["mit-permission", "mit-notice", "as-is", "no-liability"]),
-    ("MIT", ["mit-grant"]),
     ("MIT", ["mit-permission", "mit-notice"]),
     ("MIT", ["mit-ref"]),
     ("Apache-2.0", ["apache2-grant", "apache2-copy", "apache2-as-is", "apache2-see"]),
+    ("Apache-2.0", ["apache2-grant", "apache2-obtain", "apache2-url", "apache2-as-is", "apache2-see"]),
     ("Apache-2.0", ["apache2-grant"]),
     ("Apache-2.0", ["apache2-ref"]),
     ("GPL-2.0-or-later", ["gpl2-later", "gpl-useful", "gpl-see", "gpl-received"]),
@@ -124,8 +124,11 @@ RULES: list[tuple[str, list[str]]] = [
     ("CC-BY-NC-ND-4.0", ["cc-by-nc-nd-ref"]),
 ]
 
-# More sentences; the dot of "v. 2.0" ends one.
+# More sentences; the dot of "v. 2.0" ends one, and a blank line stands before the address.
 MORE: list[tuple[str, str]] = [
+    ("apache2-obtain", "You may obtain a copy of the License at"),
+    ("apache2-url", "http://www.apache.org/licenses/LICENSE-2.0"),
+    ("apache2-url", "https://www.apache.org/licenses/LICENSE-2.0"),
     ("mpl2-grant", "This Source Code Form is subject to the terms of the Mozilla Public License, v"),
 ]
 # SPDX names of before version 3 of its list.
@@ -211,30 +214,47 @@ def licences(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
 
 
 def oracle_sql() -> str:
-    """The same in DuckDB SQL."""
-    known = _known()
-    ids = {name: i for i, name in enumerate(dict.fromkeys(known.values()))}
+    """The same in DuckDB SQL, by lines: cuts come where a line is blank, where a line begins as notices do, after
+    the signs that end sentences, and after the colon of conditions; a sentence is its words, in lower case."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    mark = lambda s: quote(s).replace("\x01", "' || chr(1) || '").replace("\n", "' || chr(10) || '")
-    t = "coalesce(text, '')"
-    for pattern, to in STEPS:
-        t = f"regexp_replace({t}, {quote(pattern)}, {mark(to.replace('$1', chr(92) + '1'))}, 'g')"
-    t = f"translate({t}, '{UPPER}', '{LOWER}')"
-    for pattern, to in CLEAN:
-        t = f"regexp_replace({t}, {mark(pattern)}, {mark(to)}, 'g')"
-    cases = "map {" + ", ".join(f"{quote(s)}: '<{ids[n]}>'" for s, n in known.items()) + "}"
+    known: dict[str, str] = {}
+    for name, sentence in [*SENTENCES, *MORE]:
+        bare = re.sub("[^a-z0-9.+ ]", " ", sentence.lower())
+        known[" ".join(bare.split()).strip(". ")] = name
+    rows = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in known.items())
     labels = list(dict.fromkeys(name for name, _ in RULES))
-    sequence = "list_aggregate(tokens, 'string_agg', '')"
-    for name, rule in RULES:
-        sequence = f"replace({sequence}, '{''.join(f'<{ids[x]}>' for x in rule)}', '[{labels.index(name)}]')"
+    sequence = "ids"
+    for name, rule in RULES:  # in their order: what one has taken is gone for the next
+        sequence = f"replace({sequence}, {quote(''.join(f'<{x}>' for x in rule))}, {quote(f'[{labels.index(name)}]')})"
     naming = "map {" + ", ".join(f"'{i}': {quote(name)}" for i, name in enumerate(labels)) + "}"
     return f"""
-WITH s AS (
-  SELECT doc_id, list_transform(string_split({t}, chr(1)), lambda x: coalesce({cases}[x], '-')) AS tokens FROM documents
-), q AS (
-  SELECT doc_id, CAST(len(list_filter(tokens, lambda x: x <> '-')) AS BIGINT) AS n_sentences, regexp_extract_all({sequence}, '\\[(\\d+)\\]', 1) AS labels FROM s
-), d AS (
-  SELECT doc_id, n_sentences, list_filter(labels, lambda x, i: list_position(labels, x) = i) AS found FROM q
+WITH known(sentence, id) AS (
+  VALUES {rows}
+), cut AS (
+  SELECT doc_id, string_split_regex(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS l FROM documents
+), body AS (
+  SELECT doc_id, row_number() OVER () AS n, array_to_string(list_transform(l, lambda x, i: CASE
+    WHEN i > 1 AND i < len(l) AND regexp_full_match(x, '[ \\t*#/;>%-]*') THEN chr(1)
+    WHEN i > 1 AND regexp_matches(x, '^[ \\t*#/;>%-]*({_OPENINGS})') THEN chr(1) || x
+    ELSE x END), chr(10)) AS t FROM cut
+), colon AS (
+  SELECT doc_id, n, array_to_string(list_transform(string_split(t, ':'), lambda x, i: CASE WHEN regexp_matches(x, '(conditions are met|following conditions)$') THEN x || chr(1) ELSE x || ' ' END), '') AS b FROM body
+), piece AS (
+  SELECT doc_id, n, unnest(string_split_regex(b, chr(1) || '|[.!?]["'')]*[ \\t' || chr(10) || ']+')) AS raw, generate_subscripts(string_split_regex(b, chr(1) || '|[.!?]["'')]*[ \\t' || chr(10) || ']+'), 1) AS i FROM colon
+), plain AS (
+  SELECT doc_id, n, i, trim(regexp_replace(translate(raw, '{UPPER}', '{LOWER}'), '[^a-z0-9.+]+', ' ', 'g'), '. ') AS s FROM piece
+), short AS (
+  SELECT doc_id, n, i, s, regexp_replace(s, '^(?:[0-9]{{1,3}}|[a-z]|[ivx]{{1,4}})\\.? ', '') AS bare FROM plain WHERE s <> ''
+), seen AS (
+  SELECT doc_id, n, i, CASE WHEN regexp_full_match(s, '(?:[0-9]{{1,3}}|[a-z]|[ivx]{{1,4}})\\.?') AND k.id IS NULL THEN '' WHEN coalesce(k.id, m.id) IS NULL THEN '-' ELSE '<' || coalesce(k.id, m.id) || '>' END AS token
+  FROM short LEFT JOIN known k ON k.sentence = s LEFT JOIN known m ON m.sentence = bare
+), told AS (
+  SELECT doc_id, n, string_agg(token, '' ORDER BY i) AS ids, count(*) FILTER (token LIKE '<%') AS n_sentences FROM seen GROUP BY doc_id, n
+), named AS (
+  SELECT body.doc_id, coalesce(n_sentences, 0) AS n_sentences, regexp_extract_all(coalesce({sequence}, ''), '\\[(\\d+)\\]', 1) AS found
+  FROM body LEFT JOIN told USING (n)
+), once AS (
+  SELECT doc_id, n_sentences, list_filter(found, lambda x, i: list_position(found, x) = i) AS found FROM named
 )
-SELECT doc_id, n_sentences, CAST(len(found) AS BIGINT) AS n_licenses, coalesce(array_to_string(list_transform(found, lambda x: {naming}[x]), ','), '') AS licenses FROM d
+SELECT doc_id, CAST(n_sentences AS BIGINT) AS n_sentences, CAST(len(found) AS BIGINT) AS n_licenses, coalesce(array_to_string(list_transform(found, lambda x: {naming}[x]), ','), '') AS licenses FROM once
 """

@@ -1,7 +1,10 @@
+import duckdb
+
 from terrahac.llm import license_scan, queries
 from tests.llm.util import same_as_sql
 
 SF = "/root/testdata/sf0.01"
+# The wording of public licences and notices, as published.
 MIT = """
 /*
  * Permission is hereby granted, free of charge, to any person obtaining a copy
@@ -54,10 +57,11 @@ def test_notices(spark):
 
 
 def test_rules_name_known_sentences():
-    names = {n for n, _ in license_scan.SENTENCES}
+    names = {n for n, _ in license_scan.SENTENCES + license_scan.MORE}
     assert all(set(rule) <= names for _, rule in license_scan.RULES)
 
 
+# More of them.
 BSD3 = """Copyright (c) 2020, Some Body
 
 Redistribution and use in source and binary forms, with or without
@@ -103,3 +107,61 @@ def test_canonical_texts_and_spdx(spark):
     docs = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "doc_id long, text string")
     got = {r.doc_id: (r.licenses, r.n_sentences) for r in license_scan.licences(docs).collect()}
     assert got == {i: c[1:] for i, c in enumerate(cases)}
+
+
+# Notices as their publishers tell users to write them.
+APACHE = """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.
+"""
+GPL3 = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+
+    You should have received a copy of the GNU General Public License
+    along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+GPL2 = GPL3.replace("software: you", "software; you").replace("Foundation, either version 3", "Foundation; either version 2")
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+UNLICENSE = "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use."
+
+
+def test_published_notices_in_spark_and_sql(spark):
+    starred = lambda t: "/*\n" + "".join(f" * {x}".rstrip() + "\n" for x in t.splitlines()) + " */"
+    cases = [(MIT, "MIT"), (APACHE, "Apache-2.0"), (GPL3, "GPL-3.0-or-later"), (GPL2, "GPL-2.0-or-later"), (ISC, "ISC"), (UNLICENSE, "Unlicense"), (BSD3, "BSD-3-Clause"), (MPL, "MPL-2.0")]
+    cases += [(starred(t), n) for t, n in cases[1:6]] + [(t.replace("\n", "\r\n"), n) for t, n in cases[:8]] + [(APACHE + "\n" + GPL3, "Apache-2.0,GPL-3.0-or-later")]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = sorted(map(tuple, license_scan.licences(docs).collect()))
+    assert [r[3] for r in got] == [n for _, n in cases]
+    assert got[1][1] == 5 and got[2][1] == 4  # every sentence of them is known
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    assert sorted(con.execute(license_scan.oracle_sql()).fetchall()) == got
+
+
+def test_every_rule_can_fire(spark):
+    """The sentences of each rule, one after the other, give its licence, whatever rules come before it."""
+    said = {}
+    for name, sentence in [*license_scan.MORE, *license_scan.SENTENCES]:
+        said.setdefault(name, sentence)
+    texts = [("\n\n".join(said[x] for x in rule), name) for name, rule in license_scan.RULES]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = sorted(map(tuple, license_scan.licences(docs).collect()))
+    assert [(r[1], r[3]) for r in got] == [(len(rule), name) for name, rule in license_scan.RULES]
