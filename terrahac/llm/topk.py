@@ -2,10 +2,14 @@
 
 Candidates of a partition are held dimension by dimension in tiles. For a tile, partial
 scores against a block of queries grow by a block of dimensions at a time; after each block,
-a candidate stays only if its partial score plus the most that the remaining dimensions can
-add (the product of the two remaining masses, by Cauchy and Schwarz) reaches the query's
-k-th best so far, and the survivors are compacted. Dimensions go by falling mass.
-All values are integers below 2**53, so floating-point products are exact.
+a pair of query and candidate stays only if its partial score plus the most that the remaining
+dimensions can add (the product of the two remaining masses, by Cauchy and Schwarz) reaches the
+query's k-th best so far. While most pairs stay, a block is one matrix product over the candidates that
+any query still needs; once fewer than LISTED of them do, the survivors are compacted into lists of pairs.
+Dimensions go by falling mass. All values are integers below 2**53, so floating-point products are exact.
+
+A query's first bound is its k-th best among SEEDS candidates, drawn by a hash of their ids: at most the
+k-th best of all, so nothing is lost by it. All partitions get the same bounds.
 
 Queries go in blocks of bounded size: each is sent to all partitions of the candidates, and
 of each partition only its k best per query are shuffled.
@@ -13,7 +17,8 @@ of each partition only its k best per query are shuffled.
 Defined results: vectors that are null or hold a null or non-finite component take no part,
 as query or candidate; vectors of different lengths are not compared; the empty vector
 scores 0; ties go to the smaller id; a null id takes no part; rows with equal ids are all
-candidates, except for a query of that id; equal queries are answered once.
+candidates, except for a query of that id; equal queries are answered once; queries of one id
+with different vectors share one list, of the best scores of either; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -31,44 +36,66 @@ from terrahac.llm.common import ship, table
 BLOCK = 2048
 TILE = 8192
 STEP = 16
+#: Queries that are pruned together, and the share of pairs below which they are held as lists.
+GROUP, LISTED = 64, 0.4
+#: Candidates that give the first bounds: at most about so many.
+SEEDS = 4096
 
 
-def search_tile(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, best: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def search_tile(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, best: tuple[np.ndarray, np.ndarray], bounds: np.ndarray | None = None, dropped: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Merge a tile's candidates into best: scores (n x k, falling) and ids.
 
-    queries: n x d; vectors: d x m, the vertical layout; own: the queries' ids.
+    queries: n x d; vectors: d x m, the vertical layout; own: the queries' ids; bounds: scores that the
+    k best of each query reach. dropped, if given, gets the pairs left out before the last block of dimensions, and all pairs.
     """
     scores, found = best
     n, d = queries.shape
+    m = vectors.shape[1]
     mass = (vectors * vectors).sum(axis=1)
     order = np.argsort(-mass, kind="stable")
     vectors, queries = vectors[order], queries[:, order]
-    left_v = (vectors * vectors).sum(axis=0)
-    left_q = (queries * queries).sum(axis=1)
-    floor = scores[:, -1]
-    for group in range(0, n, 256):
-        rows = slice(group, min(group + 256, n))
+    cuts = range(STEP, d, STEP)
+    #: Lengths of what remains of each vector and query after each block.
+    left_v = [np.sqrt((vectors[at:] ** 2).sum(axis=0)) for at in cuts]
+    left_q = [np.sqrt((queries[:, at:] ** 2).sum(axis=1)) for at in cuts]
+    floor = scores[:, -1] if bounds is None else np.maximum(scores[:, -1], bounds)
+    for group in range(0, n, GROUP):
+        rows = slice(group, min(group + GROUP, n))
         q, low = queries[rows], floor[rows]
-        alive = np.arange(vectors.shape[1])
-        part = np.zeros((q.shape[0], len(alive)))
-        mass_v, mass_q = left_v.copy(), left_q[rows].copy()
-        for at in range(0, d, STEP):
-            block = vectors[at : at + STEP, alive] if len(alive) < vectors.shape[1] else vectors[at : at + STEP]
-            part += q[:, at : at + STEP] @ block
-            mass_v = np.maximum(mass_v - (block * block).sum(axis=0), 0)
-            mass_q = np.maximum(mass_q - (q[:, at : at + STEP] ** 2).sum(axis=1), 0)
-            if at + STEP < d:
-                most = part + np.sqrt(mass_q)[:, None] * np.sqrt(mass_v)[None, :] * (1 + 1e-9) + 1e-6
-                keep = (most >= low[:, None]).any(axis=0)
-                if keep.sum() < 0.8 * len(alive):
-                    alive, part, mass_v = alive[keep], np.ascontiguousarray(part[:, keep]), mass_v[keep]
-                if not len(alive):
-                    break
-        if not len(alive):
-            continue
-        names = ids[alive]
-        for i in range(q.shape[0]):
-            s = part[i]
+        alive = np.arange(m)
+        part = q[:, :STEP] @ vectors[:STEP]
+        pairs: tuple[np.ndarray, np.ndarray] | None = None
+        for block, at in enumerate(cuts):
+            if pairs is None:
+                most = part + (left_q[block][rows] * (1 + 1e-9))[:, None] * left_v[block][alive][None, :] + 1e-6
+                keep = most >= low[:, None]
+                needed = keep.any(axis=0)
+                share = np.count_nonzero(keep)
+                if share < LISTED * keep.size:
+                    i, j = np.nonzero(keep)
+                    part, pairs = part[i, j], (i, alive[j])
+                elif np.count_nonzero(needed) < 0.8 * len(alive):
+                    alive, part = alive[needed], np.ascontiguousarray(part[:, needed])
+            else:
+                i, j = pairs
+                keep = part + left_q[block][rows][i] * (1 + 1e-9) * left_v[block][j] + 1e-6 >= low[i]
+                share = np.count_nonzero(keep)
+                part, pairs = part[keep], (i[keep], j[keep])
+            if dropped is not None and at + STEP >= d:
+                dropped[0] += len(q) * m - share
+            if pairs is None:
+                part += q[:, at : at + STEP] @ (vectors[at : at + STEP, alive] if len(alive) < m else vectors[at : at + STEP])
+            else:
+                i, j = pairs
+                for x in range(at, min(at + STEP, d)):
+                    part += q[i, x] * vectors[x, j]
+        if dropped is not None:
+            dropped[1] += len(q) * m
+        if pairs is not None:
+            starts = np.searchsorted(pairs[0], np.arange(len(q) + 1))
+        for i in range(len(q)):
+            s, at = (part[i], alive) if pairs is None else (part[starts[i] : starts[i + 1]], pairs[1][starts[i] : starts[i + 1]])
+            names = ids[at]
             hit = np.flatnonzero((s >= low[i]) & (names != own[group + i]))
             if not len(hit):
                 continue
@@ -82,6 +109,18 @@ def search_tile(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids:
     return scores, found
 
 
+def first_bounds(queries: np.ndarray, own: np.ndarray, seeds: tuple[np.ndarray, np.ndarray], k: int) -> np.ndarray:
+    """The k-th best score of each query among seeds (ids, vectors), -inf where there are fewer."""
+    ids, vectors = seeds
+    out = np.full(len(own), -np.inf)
+    if len(ids) > k:
+        for lo in range(0, len(own), 512):
+            s = queries[lo : lo + 512] @ vectors.T
+            s[own[lo : lo + 512][:, None] == ids[None, :]] = -np.inf
+            out[lo : lo + 512] = np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k]
+    return out
+
+
 def _matrix(batch: pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Ids and integer vectors of a batch, by the vectors' length."""
     ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -104,9 +143,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOC
     """
     spark = vectors.sparkSession
     ship(spark)
-    queries = queries.distinct()
+    queries = queries.select("vec_id", "v").distinct()
     n = queries.count()
     n_blocks = max(1, -(-n // block))
+    if n_blocks > 1:  # each block reads both again
+        queries, vectors = table(queries, "queries"), table(vectors.select("vec_id", "v"), "vectors")
+    every = vectors.count()
+    seeds: dict[int, tuple[list, list]] = {}
+    for r in vectors.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, SEEDS / max(every, 1)))).select("vec_id", "v").collect():  # about SEEDS rows
+        of = seeds.setdefault(len(r.v), ([], []))
+        of[0].append(r.vec_id)
+        of[1].append(r.v)
+    matrix = lambda ids, rows, d: (np.array(ids, dtype=np.int64), np.array(rows, dtype=np.float64).reshape(len(ids), d))
+    seeded = {d: matrix(i, v, d) for d, (i, v) in seeds.items()}
     parts = []
     schema = "query_id long, vec_id long, score long"
     for b in range(n_blocks):
@@ -119,20 +168,22 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOC
             own, at = by.setdefault(len(r.v), ([], []))
             own.append(r.vec_id)
             at.append(r.v)
-        sent = spark.sparkContext.broadcast({d: (np.array(o, dtype=np.int64), np.array(v, dtype=np.float64).reshape(len(o), d)) for d, (o, v) in by.items()})
+        asked_for = {d: matrix(o, v, d) for d, (o, v) in by.items()}
+        none = (np.zeros(0, dtype=np.int64), np.zeros((0, 0)))
+        sent = spark.sparkContext.broadcast({d: (o, v, first_bounds(v, o, seeded.get(d, none), k)) for d, (o, v) in asked_for.items()})
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             asked = sent.value
-            best = {d: (np.full((len(o), k), -np.inf), np.full((len(o), k), np.iinfo(np.int64).max)) for d, (o, _) in asked.items()}
+            best = {d: (np.full((len(o), k), -np.inf), np.full((len(o), k), np.iinfo(np.int64).max)) for d, (o, _, _) in asked.items()}
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 for d, (ids, v) in _matrix(batch).items():
                     if d in asked:
-                        own, q = asked[d]
+                        own, q, bounds = asked[d]
                         for at in range(0, len(ids), TILE):
-                            best[d] = search_tile(q, own, np.ascontiguousarray(v[at : at + TILE].T), ids[at : at + TILE], k, best[d])
-            for d, (own, _) in asked.items():
+                            best[d] = search_tile(q, own, np.ascontiguousarray(v[at : at + TILE].T), ids[at : at + TILE], k, best[d], bounds)
+            for d, (own, _, _) in asked.items():
                 s, i = best[d]
                 row, col = np.nonzero(s > -np.inf)
                 yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(i[row, col]), pa.array(s[row, col].astype(np.int64))], names=["query_id", "vec_id", "score"])

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from terrahac.llm import queries, topk
 from tests.llm.util import same_as_sql
 
@@ -27,3 +29,27 @@ def test_odd_vectors_in_blocks(spark):
         got = topk.top_k(vectors, asked, k=7, block=block).collect()
         assert sorted(map(tuple, got)) == sorted(want)
     assert topk.top_k(vectors.limit(0), asked.limit(0)).count() == 0
+
+
+def test_bounds_drop_most_candidates():
+    """Over all vectors of sf0.1, more than half of the pairs are out before the last block of dimensions."""
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table("/root/testdata/sf0.1/embeddings.parquet", columns=["vec_id", "embedding"]).to_pylist()
+    rows = [r for r in rows if r["embedding"] is not None and all(x is not None and np.isfinite(x) for x in r["embedding"])]
+    ids = np.array([r["vec_id"] for r in rows], dtype=np.int64)
+    v = np.floor(1024 * np.array([r["embedding"] for r in rows], dtype=np.float64))
+    asked = np.flatnonzero(ids % 100 == 0)
+    seeds = np.arange(0, len(ids), max(1, len(ids) // topk.SEEDS))
+    best = (np.full((len(asked), 10), -np.inf), np.full((len(asked), 10), np.iinfo(np.int64).max))
+    bounds = topk.first_bounds(v[asked], ids[asked], (ids[seeds], v[seeds]), 10)
+    dropped = [0, 0]
+    for at in range(0, len(ids), topk.TILE):
+        best = topk.search_tile(v[asked], ids[asked], np.ascontiguousarray(v[at : at + topk.TILE].T), ids[at : at + topk.TILE], 10, best, bounds, dropped)
+    print("dropped", dropped[0] / dropped[1])
+    assert dropped[0] > 0.5 * dropped[1]
+    score = v[asked] @ v.T
+    score[ids[asked][:, None] == ids[None, :]] = -np.inf
+    for row, s in enumerate(score):
+        top = np.lexsort((ids, -s))[:10]
+        assert best[0][row].tolist() == s[top].tolist() and best[1][row].tolist() == ids[top].tolist()
