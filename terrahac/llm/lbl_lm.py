@@ -147,35 +147,24 @@ class Words:
         self.group_share = of_group / of_group.sum()
         self.leaf_share = p / p.sum(axis=1, keepdims=True)
 
-    def split(self, text: bytes | None) -> tuple[list[int], list[bytes]]:
-        """The head places of a text's words, -1 if outside, and those outside."""
-        words = tokens(text)
-        places = list(map(self.index.get, words, repeat(-1)))
-        return places, [w for w, i in zip(words, places) if i < 0] if -1 in places else []
-
-    def coded(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
+    def coded(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
         """Leaves of all texts, each after SPAN signs of its beginning; head places (-1 outside, -2 else);
-        where each text begins and its end is; and the words outside the head of each text."""
-        flat, outside, ends, begins, at = [], [], [], [], 0
-        for t in texts:
-            places, more = self.split(t)
-            outside.append(more)
-            begins.append(at + SPAN)
-            at += SPAN + len(places) + 1
-            ends.append(at - 1)
-            flat.append(places)
-        ends, begins = np.array(ends, dtype=np.int64), np.array(begins, dtype=np.int64)
-        place = np.full(at, -2, dtype=np.int64)
-        ids = np.full(at, self.before, dtype=np.int32)
-        ids[ends] = self.end
-        inner = np.ones(at, dtype=bool)
-        inner[ends] = False
-        inner[(begins[:, None] - 1 - np.arange(SPAN)[None, :]).ravel()] = False
-        place[inner] = np.fromiter(chain.from_iterable(flat), dtype=np.int64, count=int(inner.sum()))
-        known = place >= 0
-        ids[known] = self.leaf[place[known]]
-        ids[place == -1] = np.fromiter(map(self.hashed, chain.from_iterable(outside)), dtype=np.int32, count=sum(map(len, outside)))
-        return ids, place, begins, ends, outside
+        where each text begins and its end is; and the words outside the head, with the text of each."""
+        split = [tokens(t) for t in texts]
+        sizes = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+        flat = list(chain.from_iterable(split))
+        ends = np.cumsum(sizes + SPAN + 1) - 1
+        owner = np.repeat(np.arange(len(split)), sizes)
+        at = np.arange(len(flat)) + SPAN + owner * (SPAN + 1)
+        places = np.fromiter(map(self.index.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
+        outside = np.flatnonzero(places < 0)
+        words = [flat[i] for i in outside.tolist()]
+        leaves = self.leaf[places] if len(self.leaf) else np.empty(len(flat), dtype=np.int32)
+        leaves[outside] = np.fromiter(map(self.hashed, words), dtype=np.int32, count=len(words))
+        size = int(ends[-1]) + 1 if len(ends) else 0
+        ids, place = np.full(size, self.before, dtype=np.int32), np.full(size, -2, dtype=np.int64)
+        ids[at], ids[ends], place[at] = leaves, self.end, places
+        return ids, place, ends - sizes, ends, owner[outside], words
 
 
 def stretches(ids: np.ndarray, before: int) -> np.ndarray:
@@ -265,11 +254,24 @@ class Model:
         def true_g(s: np.ndarray) -> np.ndarray:
             return false_g(s) - weight
 
+        def joined(scale: np.ndarray, rows: np.ndarray, more: np.ndarray) -> np.ndarray:
+            """Gradients scale * rows, and more below them."""
+            out = np.empty((len(rows) + len(more), DIM), dtype=_F)
+            np.multiply(scale[:, None], rows, out=out[: len(rows)])
+            out[len(rows) :] = more
+            return out
+
         noise = np.minimum(np.searchsorted(self.group_steps, rng.random(NOISE_GROUPS), side="right"), last)
-        g_true = true_g(np.einsum("ij,ij->i", h, p["group"][group]) + (p["group_b"] - self.group_log)[group])
-        g_false = false_g(h @ p["group"][noise].T + (p["group_b"] - self.group_log)[noise])
-        g_h = g_true[:, None] * p["group"][group] + g_false @ p["group"][noise]
-        steps = [("group", np.concatenate([group, noise]), np.concatenate([g_true[:, None] * h, g_false.T @ h])), ("group_b", np.concatenate([group, noise]), np.concatenate([g_true, g_false.sum(axis=0)]))]
+        less = p["group_b"] - self.group_log
+        g_h, vectors = p["group"][group], p["group"][noise]
+        g_true = true_g(np.einsum("ij,ij->i", h, g_h) + less[group])
+        score = h @ vectors.T
+        score += less[noise]
+        g_false = false_g(score)
+        g_h *= g_true[:, None]
+        g_h += g_false @ vectors
+        rows = np.concatenate([group, noise])
+        steps = [("group", rows, joined(g_true, h, g_false.T @ h)), ("group_b", rows, np.concatenate([g_true, g_false.sum(axis=0)]))]
 
         m = int(np.searchsorted(group, last))
         if m:
@@ -282,63 +284,66 @@ class Model:
             score = np.empty((m, NOISE_LEAVES), dtype=_F)
             for g, lo, hi in there:
                 np.matmul(inner[lo:hi], vectors[g].T, out=score[lo:hi])
-            g_true = true_g(np.einsum("ij,ij->i", inner, p["leaf"][leaf]) + p["leaf_b"][leaf] - self.leaf_log[leaf])
             score += (p["leaf_b"][noise] - self.leaf_log[noise])[of]
+            g_inner = p["leaf"][leaf]
+            g_true = true_g(np.einsum("ij,ij->i", inner, g_inner) + (p["leaf_b"][leaf] - self.leaf_log[leaf]))
             g_false = false_g(score)
             g_noise, g_noise_b = np.zeros_like(vectors), np.zeros((last, NOISE_LEAVES), dtype=_F)
-            g_inner = g_true[:, None] * p["leaf"][leaf]
+            g_inner *= g_true[:, None]
+            g_h[:m] += g_inner
             for g, lo, hi in there:
                 part = g_false[lo:hi]
-                g_inner[lo:hi] += part @ vectors[g]
+                g_h[lo:hi] += part @ vectors[g]
                 np.matmul(part.T, inner[lo:hi], out=g_noise[g])
-                g_noise_b[g] = part.sum(axis=0)
-            g_h[:m] += g_inner
+                np.add.reduce(part, axis=0, out=g_noise_b[g])
             met = np.array([g for g, _, _ in there])
             rows = np.concatenate([leaf, noise[met].ravel()])
-            steps += [("leaf", rows, np.concatenate([g_true[:, None] * inner, g_noise[met].reshape(-1, DIM)])), ("leaf_b", rows, np.concatenate([g_true, g_noise_b[met].ravel()]))]
+            steps += [("leaf", rows, joined(g_true, inner, g_noise[met].reshape(-1, DIM))), ("leaf_b", rows, np.concatenate([g_true, g_noise_b[met].ravel()]))]
 
         back = np.zeros((len(ids) * LENGTH, DIM), dtype=_F)
         back[live] = g_h
         steps.append(("near", ids[:, SPAN - 1 : -1].ravel(), back))
         sums = np.zeros((len(ids), LENGTH + 1, DIM), dtype=_F)
         np.cumsum(back.reshape(len(ids), LENGTH, DIM), axis=1, out=sums[:, 1:])
-        at = np.arange(LENGTH + SPAN - 2)  # the place of a context; targets 2 to SPAN places on learn from it
-        lo, hi = np.maximum(at + 2 - SPAN, 0), np.minimum(at + 1, LENGTH)
-        steps.append(("far", ids[:, : LENGTH + SPAN - 2].ravel(), (sums[:, hi] - sums[:, lo]).reshape(-1, DIM)))
+        far = np.empty((len(ids), LENGTH + SPAN - 2, DIM), dtype=_F)  # by places; the targets 2 to SPAN places on learn from each
+        far[:, :LENGTH], far[:, LENGTH:] = sums[:, 1:], sums[:, -1:]
+        far[:, SPAN - 2 :] -= sums[:, :-1]
+        steps.append(("far", ids[:, : LENGTH + SPAN - 2].ravel(), far.reshape(-1, DIM)))
         for name, rows, g in steps:
             self._step(name, rows, g, rate)
 
     @staticmethod
-    def _log_sum(z: np.ndarray) -> np.ndarray:
-        top = _F(z.max())
-        if top > 60:  # beyond this, sums need each row's own maximum
-            tops = z.max(axis=1)
-            return np.log(np.exp(z - tops[:, None]).sum(axis=1)) + tops
-        return np.log(np.exp(z, out=z) @ np.ones(z.shape[1], dtype=_F))
+    def _logs(h: np.ndarray, vectors: np.ndarray, biases: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Logarithm of each target's share after h."""
+        z = h @ vectors.T
+        z += biases
+        found = z[np.arange(len(z)), target]
+        with np.errstate(over="ignore", divide="ignore"):
+            sums = np.log(np.exp(z, out=z) @ np.ones(z.shape[1], dtype=_F))
+        if not np.isfinite(sums).all():  # beyond the range of exp, sums need each row's own maximum
+            z = h @ vectors.T + biases
+            top = z.max(axis=1)
+            sums = np.log(np.exp(z - top[:, None]).sum(axis=1)) + top
+        return found - sums
 
     def log10(self, ids: np.ndarray) -> np.ndarray:
         """Normalised log10 probability of the leaf of each target of stretches; 0 where nothing counts."""
         out = np.zeros(len(ids) * LENGTH)
         leaf, leaf_b = self.p["leaf"].reshape(self.groups, self.size, DIM), self.p["leaf_b"].reshape(self.groups, self.size)
-        for start in range(0, len(ids), BATCH):
-            part = ids[start : start + BATCH]
+        step = 4 * BATCH
+        for start in range(0, len(ids), step):
+            part = ids[start : start + step]
             live, target, group = self._sorted(part)
             h = self.hidden(part).reshape(-1, DIM)[live]
             found = np.empty(len(live))
-            for lo in range(0, len(live), 2048):
-                rows = slice(lo, lo + 2048)
-                z = h[rows] @ self.p["group"].T
-                z += self.p["group_b"]
-                found[rows] = z[np.arange(len(z)), group[rows]]
-                found[rows] -= self._log_sum(z)
+            for lo in range(0, len(live), 1024):
+                rows = slice(lo, lo + 1024)
+                found[rows] = self._logs(h[rows], self.p["group"], self.p["group_b"], group[rows])
             cuts = np.searchsorted(group, np.arange(self.groups + 1)).tolist()
             for g, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
-                for at in range(lo, hi, 4096):
-                    rows = slice(at, min(at + 4096, hi))
-                    z = h[rows] @ leaf[g].T
-                    z += leaf_b[g]
-                    found[rows] += z[np.arange(len(z)), target[rows] - g * self.size]
-                    found[rows] -= self._log_sum(z)
+                for at in range(lo, hi, 1024):
+                    rows = slice(at, min(at + 1024, hi))
+                    found[rows] += self._logs(h[rows], leaf[g], leaf_b[g], target[rows] - g * self.size)
             out[start * LENGTH + live] = found
         return out / math.log(10)
 
@@ -348,7 +353,7 @@ def _learn(batches: Iterator[pa.RecordBatch], sent, turn: int, rate: float, time
 
     Texts are read more than once only where there are fewer than LEAST tokens; then all are held.
     """
-    words, given = sent.value
+    words, given = sent[0].value, sent[1].value
     model = copy(given)  # a worker may run several tasks of this round
     model.p, model.grown, before = {k: v.copy() for k, v in given.p.items()}, {k: v.copy() for k, v in given.grown.items()}, given.grown
     model.prepare()
@@ -413,12 +418,13 @@ def fit(train: DataFrame, words: Words) -> Model:
     rounds = math.ceil(passes / times) * slices
     trainers = max(1, round(math.sqrt(words.total / TOKENS)))
     dealt = train.coalesce(trainers) if train.rdd.getNumPartitions() >= trainers else train.repartition(trainers)
+    words_sent = spark.sparkContext.broadcast(words)
     for turn in range(rounds):
-        sent = spark.sparkContext.broadcast((words, model))
+        sent = spark.sparkContext.broadcast(model)
         rate = RATE * (1 - 0.9 * turn / rounds)
         mine = dealt if slices == 1 else dealt.filter(F.pmod(F.xxhash64("__text"), F.lit(slices)) == turn % slices)
         schema = "name string, lo long, rows binary, learned binary"
-        learned = mine.mapInArrow(lambda b, sent=sent, turn=turn, rate=rate: _learn(b, sent, turn, rate, times), schema)
+        learned = mine.mapInArrow(lambda b, sent=(words_sent, sent), turn=turn, rate=rate: _learn(b, sent, turn, rate, times), schema)
         # Slabs of the averaged model: as many bytes as the model has, whatever the number of trainers.
         for r in learned.repartition("name", "lo").sortWithinPartitions("name", "lo").mapInArrow(_average, schema).collect():
             w = np.frombuffer(r.learned, dtype=_F)
@@ -427,6 +433,7 @@ def fit(train: DataFrame, words: Words) -> Model:
             p[rows] = np.where((w > 0).reshape(-1, *[1] * (p.ndim - 1)), np.frombuffer(r.rows, dtype=_F).reshape(p[rows].shape), p[rows])
             grown[rows] += w
         sent.destroy()
+    words_sent.destroy()
     return model
 
 
@@ -438,7 +445,7 @@ def _score(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
     base = np.append(np.log10(words.n + 1) - words.bottom, [math.log10(words.texts + 1) - words.bottom, -words.bottom])  # places -2 and -1 are the last two
     for batch in small_batches(batches, "__text", 1_000_000):
         kinds[1] = batch.schema.field("doc_id").type
-        ids, place, begins, ends, outside = words.coded(column_bytes(batch.column("__text")))
+        ids, place, begins, ends, owner, outside = words.coded(column_bytes(batch.column("__text")))
         p = model.log10(stretches(ids, words.before))[: len(ids) - SPAN]
         p = np.concatenate([np.zeros(SPAN), p])
         shared = np.flatnonzero((place >= -1) & (ids < words.end))
@@ -454,10 +461,15 @@ def _score(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
         sums = lambda x: np.add.reduceat(x, begins)  # noqa: E731 - what stands before a text is 0
         heads = [uids, batch.column("doc_id"), batch.column("held_out"), ends - begins + 1, sums(known.astype(np.int64)), sums(own), sums(p)]
         yield pa.RecordBatch.from_arrays([*[pa.array(x, t) if isinstance(x, np.ndarray) else x for x, t in zip(heads, kinds)], pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], names=names)
-        pairs = Counter((i, w) for i, x in enumerate(outside) for w in x)
-        if pairs:
-            m = len(pairs)
-            yield pa.RecordBatch.from_arrays([pa.array(uids[np.array([i for i, _ in pairs])]), *[pa.nulls(m, t) for t in kinds[1:7]], pa.array([w for _, w in pairs], pa.binary()), pa.array(list(pairs.values()), pa.int64())], names=names)
+        if outside:
+            times = np.ones(len(outside), dtype=np.int64)
+            cuts = np.searchsorted(owner, np.arange(n + 1))
+            if (np.diff(cuts) > 1000).any():  # in a long text, equal words are one row
+                counted = Counter(zip(owner.tolist(), outside))
+                owner, outside = np.array([i for i, _ in counted]), [w for _, w in counted]
+                times = np.fromiter(counted.values(), dtype=np.int64, count=len(counted))
+            m = len(outside)
+            yield pa.RecordBatch.from_arrays([pa.array(uids[owner]), *[pa.nulls(m, t) for t in kinds[1:7]], pa.array(outside, pa.binary()), pa.array(times)], names=names)
 
 
 def _leaf_sums(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
@@ -481,8 +493,9 @@ def learn(train: DataFrame, leaves: int | None = None, head: int | None = None)
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("kinds")).first()
     grown = sizes(total.kinds)
     leaves, head = leaves or grown[0], head or grown[1]
-    top = counts.orderBy(F.desc("n"), "word").limit(head).collect()  # head rows at most
-    words = Words([(bytes(r.word), r.n) for r in top if len(r.word) <= 200], train.count(), total.n, total.kinds, leaves)
+    top = counts.orderBy(F.desc("n"), "word").limit(head).toArrow()  # head rows at most
+    top = [x for x in zip(top.column("word").to_pylist(), top.column("n").to_pylist()) if len(x[0]) <= 200]
+    words = Words(top, train.count(), total.n, total.kinds, leaves)
     if total.kinds > len(words.index):
         sent = spark.sparkContext.broadcast(words)
         sums = counts.mapInArrow(lambda b: _leaf_sums(b, sent), "leaf long, n double, kinds double").groupBy("leaf").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds"))
