@@ -9,7 +9,10 @@ for all periods.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -23,8 +26,8 @@ from terrahac.runtime import ship
 
 #: Regressors up to which sums of a balanced panel or of windows are expressions.
 FEW = 4
-#: Rows of a side of a tile.
-TILE = 2048
+#: Rows of a side of a tile, and rows up to which tiles need no grid.
+TILE, SMALL = 2048, 32_768
 LONG = "a int, b int, value double"
 
 
@@ -67,33 +70,88 @@ def gram(obs: DataFrame, k: int, column: str = "x") -> DataFrame:
     return _sum_blocks(obs.select(column).mapInArrow(run, "m array<double>, k int"))
 
 
-def both_grams(obs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The sums of x x' and of s s', s being e * x, as matrices, in one pass."""
-    if k <= 8:
-        x = [F.col("x")[a] for a in range(k)]
-        square = F.col("e") * F.col("e")
-        upper = [(a, b) for a in range(k) for b in range(a, k)]
-        row = obs.agg(*[F.sum(x[a] * x[b]).alias(f"x_{a}_{b}") for a, b in upper], *[F.sum(square * x[a] * x[b]).alias(f"s_{a}_{b}") for a, b in upper]).first()
-        found = tuple(np.array([[row[f"{n}_{min(a, b)}_{max(a, b)}"] or 0.0 for b in range(k)] for a in range(k)]) for n in "xs")
-        return found[0], found[1]
+def matrices(rows: DataFrame, size: int) -> np.ndarray:
+    """The sum of the numbers that tasks have sent as bytes (m), ``size`` of each.
 
+    Where there are many tasks, their root of the number adds them up first, so the driver gets few.
+    """
+    parts = rows.rdd.getNumPartitions()
+    if parts > 64:
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(size)
+            for batch in batches:
+                for m in batch.column(0).to_pylist():
+                    total += np.frombuffer(m)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["m"])
+
+        rows = rows.repartition(math.isqrt(parts)).mapInArrow(add, "m binary")
+    total = np.zeros(size)
+    for r in rows.collect():
+        total += np.frombuffer(r.m)
+    return total
+
+
+@dataclass
+class Summary:
+    """What one pass over the observations finds: both Gram matrices, and what the checks need."""
+
+    products: np.ndarray
+    own: np.ndarray
+    n: int
+    bad_coords: int
+    bad_rows: int
+    far_lat: int
+    panel: bool
+    most: int | None
+
+
+def summary(obs: DataFrame, k: int) -> Summary:
+    """Sums of x x' and of s s', s being e * x, counts for the checks, and the most rows of a time if there are few rows."""
     ship(obs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = np.zeros((2, k, k))
+        m, counts = np.zeros((2, k, k)), np.zeros(4, dtype=np.int64)
+        low, high, times, many = np.inf, -np.inf, [], False
         for batch in batches:
-            x, e = _rows(batch.column(0), k), batch.column(1).to_numpy()
+            if not batch.num_rows:
+                continue
+            column = batch.column(0)
+            x, e, lat, lon, time_ = _rows(column, k), *(batch.column(i).to_numpy(zero_copy_only=False).astype(np.float64) for i in (1, 2, 3, 4))
+            bad = batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            if column.flatten().null_count:
+                bad = bad | column.flatten().is_null().to_numpy(zero_copy_only=False).reshape(-1, k).any(axis=1)
+            counts += [len(e), np.count_nonzero(~(np.isfinite(lat) & np.isfinite(lon))), np.count_nonzero(bad), np.count_nonzero(np.abs(lat) > 90)]
+            t = time_[~np.isnan(time_)]
+            if len(t):
+                low, high = min(low, t.min()), max(high, t.max())
+            many = many or counts[0] > SMALL
+            times = [] if many else [*times, t]
             m[0] += x.T @ x
             x = x * e[:, None]
             m[1] += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array([m.ravel().tolist()], pa.list_(pa.float64()))], names=["m"])
-
-    rows = obs.select("x", "e").mapInArrow(run, "m array<double>").select(F.posexplode("m").alias("p", "value")).groupBy("p").agg(F.sum("value").alias("value"))
-    flat = np.zeros(2 * k * k)
-    for r in rows.collect():
-        flat[r.p] = r.value
-    m = flat.reshape(2, k, k)
-    return m[0], m[1]
+        t, n = np.unique(np.concatenate(times), return_counts=True) if times else (np.zeros(0), np.zeros(0))
+        yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in (np.concatenate([m.ravel(), counts, [float(many)]]).tobytes(), np.array([low, high]).tobytes(), t.tobytes(), n.astype(np.float64).tobytes())], names=["m", "ends", "times", "n"])
+
+    rows = obs.select("x", "e", "lat", "lon", "time").mapInArrow(run, "m binary, ends binary, times binary, n binary")
+    size = 2 * k * k + 5
+    if obs.rdd.getNumPartitions() <= 64:
+        sent = rows.collect()
+        total = np.sum([np.frombuffer(r.m) for r in sent], axis=0) if sent else np.zeros(size)
+        ends = np.array([np.frombuffer(r.ends) for r in sent]) if sent else np.array([[np.inf, -np.inf]])
+        low, high = ends[:, 0].min(), ends[:, 1].max()
+        most = None
+        if total[2 * k * k] <= SMALL:
+            by: Counter = Counter()
+            for r in sent:
+                by.update(dict(zip(np.frombuffer(r.times).tolist(), np.frombuffer(r.n).tolist())))
+            most = int(max(by.values(), default=0))
+    else:
+        total = matrices(rows.select("m"), size)
+        span = obs.agg(F.min("time").alias("low"), F.max("time").alias("high")).first()
+        low, high, most = (np.inf, -np.inf, None) if span.low is None else (span.low, span.high, None)
+    m, counts = total[: 2 * k * k].reshape(2, k, k), total[2 * k * k :].astype(np.int64)
+    return Summary(m[0], m[1], int(counts[0]), int(counts[1]), int(counts[2]), int(counts[3]), bool(low < high), most)
 
 
 def cross(weighted: DataFrame, k: int) -> DataFrame:
@@ -149,21 +207,68 @@ def _near(dist_fn: str, a: dict[str, np.ndarray], b: dict[str, np.ndarray], cuto
     return at[near], d[near]
 
 
-def _tile(first: dict[str, np.ndarray], second: dict[str, np.ndarray], dist_fn: str, cutoff: float, kernel: str) -> np.ndarray:
-    """Weighted sums of second's scores for each of first, over pairs in their order."""
+def _tile(first: dict[str, np.ndarray], second: dict[str, np.ndarray], dist_fn: str, cutoff: float, kernel: str, ordered: bool = True) -> np.ndarray:
+    """Weighted sums of second's scores for each of first, over pairs in their order, or over all."""
     n, m = len(first["row"]), len(second["row"])
     at, d = _near(dist_fn, first, second, cutoff)
     i, j = at // m, at % m
     x, y = first["lat"][i], second["lat"][j]
-    ok = x < y
-    for tie in np.flatnonzero(x == y):
-        p, q = i[tie], j[tie]
-        ok[tie] = (first["lon"][p], first["row"][p]) < (second["lon"][q], second["row"][q])
+    ok = np.ones(len(at), dtype=bool)
+    if ordered:
+        u, v = first["lon"][i], second["lon"][j]
+        ok = (x < y) | ((x == y) & ((u < v) | ((u == v) & (first["row"][i] < second["row"][j]))))
     w = np.zeros(n * m)
     w[at[ok]] = 1 - d[ok] / cutoff if kernel == "bartlett" and cutoff > 0 else 1.0
     return w.reshape(n, m) @ second["s"]
 
 
+def few_tiles(s: DataFrame, k: int, dist_fn: str, cutoff: float, kernel: str, most: int) -> DataFrame:
+    """Sums over all pairs of s (row, time, lat, lon, s) as bytes (m, a k x k matrix a task), without a grid.
+
+    most: the most rows of a time. Each time's rows are dealt into tiles of TILE, and every two tiles meet once.
+    """
+    ship(s.sparkSession)
+    tiles = max(1, -(-most // TILE))
+    own = F.pmod(F.xxhash64("row"), F.lit(tiles)).alias("own")
+    dealt = s.filter("time is not null").select("time", "row", "lat", "lon", "s", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))))
+    dealt = dealt.select("time", F.least("own", "other").alias("t0"), F.greatest("own", "other").alias("t1"), (F.col("own") > F.col("other")).alias("right"), "row", "lat", "lon", "s")
+    marks = ["time", "t0", "t1"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = np.zeros((k, k))
+        now, parts = None, []
+
+        def spend() -> None:
+            rows = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+            same = now[1] == now[2]
+            left = rows if same else {c: v[~rows["right"]] for c, v in rows.items()}
+            right = rows if same else {c: v[rows["right"]] for c, v in rows.items()}
+            if len(left["row"]) and len(right["row"]):
+                c = left["s"].T @ _tile(left, right, dist_fn, cutoff, kernel, ordered=same)
+                np.add(m, c + c.T, out=m)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            col = {c: _rows(batch.column(c), k) if c == "s" else batch.column(c).to_numpy(zero_copy_only=False) for c in [*marks, "right", "row", "lat", "lon", "s"]}
+            change = np.zeros(batch.num_rows, dtype=bool)
+            for c in marks:
+                change[1:] |= col[c][1:] != col[c][:-1]
+            edges = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+            for lo, hi in zip(edges, edges[1:]):
+                key = tuple(col[c][lo] for c in marks)
+                if key != now:
+                    if parts:
+                        spend()
+                    now, parts = key, []
+                parts.append({c: col[c][lo:hi] for c in ("right", "row", "lat", "lon", "s")})
+        if parts:
+            spend()
+        yield pa.RecordBatch.from_arrays([pa.array([m.tobytes()], pa.binary())], names=["m"])
+
+    return dealt.repartition(*marks).sortWithinPartitions(*marks).mapInArrow(run, "m binary")
+
+
 def tiled_cross(s: DataFrame, k: int, dist_fn: str, cutoff: float, kernel: str) -> DataFrame:
     """cross() over the pairs of s (row, time, lat, lon, s) without a row for each pair."""
     ship(s.sparkSession)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrahac.operators.meat import FEW, _long, _rows, _sum_blocks, scores
+from terrahac.operators.meat import _long, _rows, _sum_blocks, scores
 from terrahac.runtime import ship
 
 #: Lags of time that one task reads of a unit at least.
@@ -52,7 +52,12 @@ def serial_join(obs: DataFrame, k: int, lag: float, by_unit: bool = True) -> Dat
 
 
 def serial_arrays(obs: DataFrame, k: int, lag: float) -> DataFrame:
-    """The same for any number of regressors: each task sends one k x k matrix."""
+    """The same for any number of regressors."""
+    return _sum_blocks(serial_blocks(obs, k, lag))
+
+
+def serial_blocks(obs: DataFrame, k: int, lag: float) -> DataFrame:
+    """The same as matrices to be added up: each task sends one, k x k (m, k)."""
     ship(obs.sparkSession)
     s = scores(obs).filter("unit is not null and time is not null").select("unit", "time", "s")
     span = STRETCH * lag
@@ -89,9 +94,21 @@ def serial_arrays(obs: DataFrame, k: int, lag: float) -> DataFrame:
             held = [v[keep] for v in (unit, part, t, counts, x)]
         yield pa.RecordBatch.from_arrays([pa.array([m.ravel().tolist()], pa.list_(pa.float64())), pa.array([k], pa.int32())], names=["m", "k"])
 
-    return _sum_blocks(dealt.repartition("unit", "part").sortWithinPartitions("unit", "part", "time").mapInArrow(run, "m array<double>, k int"))
+    return dealt.repartition("unit", "part").sortWithinPartitions("unit", "part", "time").mapInArrow(run, "m array<double>, k int")
+
+
+def serial_bytes(obs: DataFrame, k: int, lag: float) -> DataFrame:
+    """The same matrices as bytes (m), row by row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                made = [_rows(batch.column(0).slice(i, 1), k).tobytes() for i in range(batch.num_rows)]
+                yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["m"])
+
+    return serial_blocks(obs, k, lag).select("m").mapInArrow(run, "m binary")
 
 
 def serial_meat(obs: DataFrame, k: int, lag: float) -> DataFrame:
-    """The form that suits the number of regressors."""
-    return serial_window(obs, k, lag) if k <= FEW else serial_arrays(obs, k, lag)
+    """The form that holds for units of any size: a window would put all rows of a unit into one task."""
+    return serial_arrays(obs, k, lag)

@@ -79,9 +79,14 @@ def moving_units(obs: DataFrame) -> DataFrame:
     return ends.filter("min_lat <> max_lat or min_lon <> max_lon").select("unit")
 
 
-def check(obs: DataFrame, spec: SpatialHacSpec) -> tuple[bool, bool]:
-    """Raise what the inputs don't allow; whether there are several times, and whether one neighbour graph serves all."""
-    r = finite_check(obs).first()
+def check(obs: DataFrame, spec: SpatialHacSpec, r=None) -> tuple[bool, bool]:
+    """Raise what the inputs don't allow; whether there are several times, and whether one neighbour graph serves all.
+
+    r: the counts of finite_check, where they are known.
+    """
+    r = r or finite_check(obs).first()
+    if not r.n:
+        raise ValueError("there are no rows to estimate from")
     if r.bad_coords:
         raise ValueError("lat/lon contain non-finite values.")
     if r.bad_rows:
