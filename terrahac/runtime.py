@@ -37,10 +37,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset, as in tests, one of its own."""
+    """The folder named by spark.checkpoint.dir; where it is unset, one of its own on a local master only, as in tests."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file:" + tempfile.mkdtemp(prefix="terrahac-")
         sc.setCheckpointDir(base)
     return base.rstrip("/")
