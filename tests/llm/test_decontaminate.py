@@ -1,9 +1,10 @@
 import hashlib
+import pickle
 import random
 import re
 
 from terrahac.llm import queries
-from terrahac.llm.decontaminate import decontaminate
+from terrahac.llm.decontaminate import Index, decontaminate
 from tests.llm.util import same_as_sql
 
 SF = "/root/testdata/sf0.001"
@@ -53,3 +54,14 @@ def test_brute_force_in_one_and_many_blocks(spark):
         assert sorted(map(tuple, got), key=repr) == want
     assert decontaminate(d.limit(0), b).count() == 0
     assert {r.n_hit for r in decontaminate(d, b.limit(0)).collect()} == {0}
+
+
+def test_memory_of_a_block():
+    rng = random.Random(2)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 12))) for _ in range(5000)]
+    items = [(str(i), " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 200))).encode()) for i in range(2000)]
+    index = Index(items, 13, 4)
+    index.order({})
+    table_of_bits = sum(len(x[0].bits) for x in index.prefix.values())
+    assert len(pickle.dumps(index)) - table_of_bits < 8 * sum(len(t) for _, t in items)
+    assert index.window(0).count(b" ") + 1 == index.lengths[0] and index.items(0)
