@@ -5,16 +5,16 @@ bytes. A byte costs its code length: in the longest context that the language's
 a seen byte has probability count / (total + kinds); else the escape, kinds / (total +
 kinds), is paid and the next shorter context codes the byte among those not yet ruled out;
 below the empty context all bytes are equal. The statistics don't change while a text is
-read, so the code length of every (context, byte) is worked out once, and scoring a text is
-two table look-ups a byte for all languages at once.
+read, so code lengths of what the trees have seen are worked out once and kept for the languages
+that have seen it only; distinct runs of bytes of a batch get theirs for all languages at once.
 
 Bytes are folded first: A-Z to a-z, other ASCII signs to the space.
 
 Training: of the labelled rows of each language a share is drawn by a hash of the id, so
-that about SAMPLE documents a language are learned from; this bound is the parameter
-``sample``. Prediction: whole texts of all rows.
+that about SAMPLE documents, and SAMPLE_BYTES of text, a language are learned from at most; these
+bounds are the parameters ``sample`` and ``sample_bytes``, and they bound the model. Prediction: whole texts of all rows.
 
-Defined results: a text that is null or has no letter is ``und`` with score 0, and so is
+Defined results: an empty table gives no rows, and repeated rows each get theirs; a text that is null or has no letter is ``und`` with score 0, and so is
 every text if nothing could be learned; equal code lengths go to the language whose name
 sorts first; a result column takes the place of a kept column of the same name. score is
 the posterior of the language over SPAN bytes at the text's mean code lengths.
@@ -33,92 +33,121 @@ from pyspark.sql import types as T
 
 from terrahac.llm.common import column_bytes, ship, small_batches
 
-SAMPLE = 2000
+#: Training documents, and bytes of them, of each language, as drawn on average.
+SAMPLE, SAMPLE_BYTES = 2000, 8_000_000
+#: Bytes of context at most.
+ORDER = 3
+#: Code lengths held at a time while texts are read.
+WORK = 2_000_000
 SPAN = 64
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _LETTER = re.compile(r"[^\W\d_]")
 PAD = b"   "
 
 
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct runs of four folded bytes (three of context, then the byte), and their counts."""
+def _mask(order: int) -> np.uint32:
+    """The bits of a byte and of so many before it."""
+    return np.uint32((1 << 8 * (order + 1)) - 1)
+
+
+def coded(texts: list[bytes]) -> np.ndarray:
+    """Every byte of the texts, folded, with the three before it, as one number each."""
     data = np.frombuffer(b"".join([PAD + t for t in texts]).translate(FOLD), dtype=np.uint8).astype(np.uint32)
-    codes = (data[:-3] << 24) | (data[1:-2] << 16) | (data[2:-1] << 8) | data[3:]
     own = np.ones(len(data), dtype=bool)
-    ends = np.cumsum([len(t) + 3 for t in texts])
+    begins = np.cumsum([len(t) + 3 for t in texts]) - [len(t) + 3 for t in texts]
     for i in range(3):  # the padding is context only
-        own[ends[:-1] + i] = False
-    return np.unique(codes[own[3:]], return_counts=True)
+        own[begins + i] = False
+    return ((data[:-3] << 24) | (data[1:-2] << 16) | (data[2:-1] << 8) | data[3:])[own[3:]]
+
+
+def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct runs of four folded bytes (three of context, then the byte), and their counts."""
+    return np.unique(coded(texts), return_counts=True)
+
+
+class Sparse:
+    """Rows of (language, value) by key; keys that are not there have none."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]]):
+        lang = np.repeat(np.arange(len(parts), dtype=np.int32), [len(k) for k, _ in parts])
+        keys = np.concatenate([k for k, _ in parts])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.starts = np.unique(keys[order], return_index=True)
+        self.starts = np.append(self.starts, len(keys))
+        self.lang, self.values = lang[order], np.concatenate([v for _, v in parts]).astype(np.float32)[order]
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in keys, languages and values of all rows of keys."""
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        here = np.flatnonzero(self.keys[at] == keys)
+        first = self.starts[at[here]]
+        n = self.starts[at[here] + 1] - first
+        place = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.repeat(here, n), self.lang[place], self.values[place]
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.keys, self.starts, self.lang, self.values))
 
 
 class Model:
-    """Code lengths, in bits, of every byte in every context of the trees."""
+    """Code lengths, in bits, of the bytes that the trees' contexts have seen, and of escapes.
+
+    Both are kept by context (and byte) for those languages only whose tree has it, so the model is as
+    large as the trees, whatever the number of languages and of distinct bytes.
+    """
 
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.langs = sorted(counts)
-        codes = np.unique(np.concatenate([counts[x][0] for x in self.langs]))
-        parts = [(codes >> np.uint32(s)) & np.uint32(255) for s in (24, 16, 8, 0)]
-        seen = np.unique(np.concatenate(parts))
-        a = len(seen) + 1  # the last symbol stands for bytes that no tree has
-        self.symbols = np.full(256, a - 1, dtype=np.int32)
-        self.symbols[seen] = np.arange(a - 1)
-        self.size = a
-        c3, c2, c1, s = (self.symbols[p].astype(np.int64) for p in parts)
-        two = np.unique(c2 * a + c1)
-        three = np.unique((c3 * a + c2) * a + c1)
-        # States: the empty context, contexts of one byte, of two, of three.
-        n_two, n_three = len(two), len(three)
-        base2, base3 = 1 + a, 1 + a + n_two
-        pair = np.arange(a * a, dtype=np.int64) % a  # an unknown pair: its last byte alone
-        pair[two] = a + np.arange(n_two)
-        self.pairs = pair.astype(np.int32)
-        state = np.empty((a + n_two, a), dtype=np.int32)
-        state[:a] = (1 + np.arange(a))[:, None]
-        state[a:] = (base2 + np.arange(n_two))[:, None]
-        at = a + np.searchsorted(two, three % (a * a))
-        state[at, three // (a * a)] = base3 + np.arange(n_three)
-        self.states = state.ravel()
-        self.bits = np.empty((base3 + n_three, a, len(self.langs)), dtype=np.float32)
-        for k, lang in enumerate(self.langs):
-            n = np.zeros(len(codes))
-            n[np.searchsorted(codes, counts[lang][0])] = counts[lang][1]
-            flat = np.full((1, a), 1 / 256)
-            flat[0, -1] = (257 - a) / 256  # shared by the bytes that stand behind it
-            p0 = self._escaped(np.bincount(s, n, a)[None, :], flat)
-            p1 = self._escaped(np.bincount(c1 * a + s, n, a * a).reshape(a, a), np.repeat(p0, a, axis=0))
-            p2 = self._escaped(np.bincount(np.searchsorted(two, c2 * a + c1) * a + s, n, n_two * a).reshape(n_two, a), p1[two % a])
-            p3 = self._escaped(np.bincount(np.searchsorted(three, (c3 * a + c2) * a + c1) * a + s, n, n_three * a).reshape(n_three, a), p2[np.searchsorted(two, three % (a * a))])
-            p = np.concatenate([p0, p1, p2, p3])
-            p[:, -1] /= 257 - a
-            self.bits[:, :, k] = -np.log2(p)
-
-    @staticmethod
-    def _escaped(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        total, kinds = counts.sum(axis=1, keepdims=True), (counts > 0).sum(axis=1, keepdims=True)
-        new = counts == 0
-        rest = np.where(new, lower, 0)
-        share = rest.sum(axis=1, keepdims=True)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            out = np.where(new, kinds * rest / share, counts) / (total + kinds)
-        return np.where(total > 0, out, lower)
+        seen: list[list] = [[] for _ in range(ORDER + 1)]
+        escapes: list[list] = [[] for _ in range(ORDER + 1)]
+        for lang in self.langs:
+            codes, n = counts[lang]
+            lower_keys, lower = None, None
+            for k in range(ORDER + 1):
+                keys, which = np.unique(codes & _mask(k), return_inverse=True)
+                n_k = np.bincount(which, n, len(keys))
+                contexts, first, kinds = np.unique(keys >> np.uint32(8), return_index=True, return_counts=True)
+                owner = np.repeat(np.arange(len(contexts)), kinds)
+                both = np.add.reduceat(n_k, first) + kinds
+                p = n_k / both[owner]
+                ruled_out = np.full(len(keys), 1 / 256) if k == 0 else lower[np.searchsorted(lower_keys, keys & _mask(k - 1))]
+                share = np.maximum(1 - np.add.reduceat(ruled_out, first), 1e-12)
+                seen[k].append((keys, -np.log2(p)))
+                escapes[k].append((contexts, -np.log2(kinds / share / both)))
+                lower_keys, lower = keys, p
+        self.seen, self.escapes = [Sparse(x) for x in seen], [Sparse(x) for x in escapes]
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (*self.seen, *self.escapes))
+
+    def rows(self, codes: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each code, after the bytes before it, in each language."""
+        out = np.full((len(codes), len(self.langs)), 8.0, dtype=np.float32)  # -log2(1 / 256)
+        for k in range(ORDER + 1):
+            keys = codes & _mask(k)
+            place, lang, bits = self.escapes[k].find(keys >> np.uint32(8))
+            out[place, lang] += bits
+            place, lang, bits = self.seen[k].find(keys)
+            out[place, lang] = bits
+        return out
 
     def lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text (rows) in each language."""
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
-        sym = self.symbols[np.frombuffer(b"".join([PAD + t for t in texts]).translate(FOLD), dtype=np.uint8)].astype(np.int64)
         out = np.zeros((len(texts), len(self.langs)))
-        if len(sym) < 4:
-            return out
-        c3, c2, c1, s = sym[:-3], sym[1:-2], sym[2:-1], sym[3:]
-        state = self.states[self.pairs[c2 * self.size + c1].astype(np.int64) * self.size + c3]
-        bits = self.bits.reshape(-1, len(self.langs))[state.astype(np.int64) * self.size + s]
-        ends = np.cumsum(sizes + 3) - 3
-        starts = ends - sizes
         full = np.flatnonzero(sizes)
-        if len(full):  # the padding after a text is not part of it
-            marks = np.stack([starts[full], ends[full]], axis=1).ravel()
-            sums = np.add.reduceat(np.concatenate([bits, np.zeros((1, len(self.langs)), dtype=np.float32)]).astype(np.float64), marks, axis=0)
-            out[full] = sums[::2]
+        if not len(full):
+            return out
+        codes = coded(texts)
+        starts = (np.cumsum(sizes) - sizes)[full]
+        step = max(1, WORK // len(self.langs))
+        for lo in range(0, len(codes), step):
+            distinct, which = np.unique(codes[lo : lo + step], return_inverse=True)
+            first, last = int(np.searchsorted(starts, lo, side="right")) - 1, int(np.searchsorted(starts, lo + step))
+            marks = np.maximum(starts[first:last] - lo, 0)
+            out[full[first:last]] += np.add.reduceat(self.rows(distinct).astype(np.float64)[which], marks, axis=0)
         return out
 
     def predict(self, texts: list[bytes | None]) -> tuple[list[str], list[float]]:
@@ -136,10 +165,11 @@ class Model:
         return names, scores
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
+def train(labelled: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
     """A model of rows doc_id, text, lang (none of them null in text or lang); None if there are none."""
     ship(labelled.sparkSession)
-    share = {r.lang: min(1.0, sample / r.n) for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()
+    share = {r.lang: min(1.0, sample / r.n, sample_bytes / max(r["size"], 1)) for r in sizes}
     if not share:
         return None
     names = sorted(share)
@@ -156,9 +186,9 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes.astype(np.int64)), pa.array(n)], names=["lang", "code", "n"])
 
     found = drawn.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
-    lang, code, n = (found.column(c).combine_chunks() for c in ("lang", "code", "n"))
-    lang, code, n = np.array(lang.to_pylist(), dtype=object), code.to_numpy().astype(np.uint32), n.to_numpy().astype(np.float64)
-    counts = {k: (code[lang == k], n[lang == k]) for k in names if (lang == k).any()}
+    coding = found.column("lang").combine_chunks().dictionary_encode()
+    lang, code, n = coding.indices.to_numpy(), found.column("code").to_numpy().astype(np.uint32), found.column("n").to_numpy().astype(np.float64)
+    counts = {k: (code[lang == i], n[lang == i]) for i, k in enumerate(coding.dictionary.to_pylist())}
     return Model({k: (c[o := np.argsort(c)], v[o]) for k, (c, v) in counts.items()}) if counts else None
 
 
