@@ -12,8 +12,9 @@ its range. A piece is a member if it opens as gzip, its header decodes as a WARC
 it inflates to its end; where the magic occurs within compressed data, pieces are joined
 until it does. A member cut by the end of a range is completed from the pieces that the next
 range could not place; those few fragments, and nothing else, are shuffled by file. Files whose names
-end in .gz pass through Hadoop's codec that changes nothing; Spark cuts no such file, so each is one
-task, which reads it as a stream. Other names are cut.
+end in .gz are cut like any other: Hadoop takes a file's codec from the nearest known ending that sorts
+before its name, read backwards, and the reader makes a longer ending known that sorts after .gz and that
+no archive has, so no codec is found.
 
 Records: of any type, one or more in a member. page_id and refers_to are numbers where ids are of the form
 that the writer uses, else null; record_id and refers_to_id are the ids as they stand. payload_digest
@@ -181,8 +182,10 @@ def write(pages: DataFrame, path: str, level: int = 3) -> None:
 
 NAMES = [x.split()[0] for x in RECORDS.split(", ")]
 KINDS = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.string()]
+#: An ending that hides .gz from Hadoop's choice of a codec, see above; no character in names sorts before its second.
+HIDES = "a\x01.gz"
 #: Options of the text reader under which names in .gz are read as they are; Spark's Hadoop client has its own name for one.
-AS_IT_IS = {"io.compression.codecs": "org.apache.hadoop.io.compress.PassthroughCodec", "io.compress.passthrough.extension": ".gz", "org.apache.hadoop.shaded.io.compress.passthrough.extension": ".gz"}
+AS_IT_IS = {"io.compression.codecs": "org.apache.hadoop.io.compress.PassthroughCodec", "io.compress.passthrough.extension": HIDES, "org.apache.hadoop.shaded.io.compress.passthrough.extension": HIDES}
 
 
 class _Member:

@@ -11,6 +11,7 @@ from terrahac.llm import queries, warc
 from terrahac.llm.common import new_path
 
 SF = "/root/testdata/sf0.001"
+NAMES = ("a.warc.gz", "b.warc", "a name .gz", "!.gz")
 
 
 def test_against_sql(spark):
@@ -79,14 +80,16 @@ def standard(rng, n=60):
 def test_standard_archives(spark, tmp_path):
     rng = random.Random(9)
     members, want = standard(rng)
-    for name in ("a.warc.gz", "b.warc"):
+    for name in NAMES:
         (tmp_path / name).write_bytes(b"".join(members))
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     try:
         for size in ("128m", "3000", "500"):
             spark.conf.set("spark.sql.files.maxPartitionBytes", size)
-            for name in ("a.warc.gz", "b.warc"):
-                got = warc.read(spark, str(tmp_path / name)).collect()
+            for name in NAMES:
+                found = warc.read(spark, str(tmp_path / name))
+                assert (found.rdd.getNumPartitions() > 20) == (size != "128m")  # names in .gz are cut too
+                got = found.collect()
                 assert sorted((r.record_type, r.record_id, bytes(r.payload)) for r in got) == sorted(want)
                 assert all(r.page_id is None and r.payload_bytes == len(r.payload) for r in got)
                 assert {r.payload_digest is None for r in got if r.record_type == "metadata"} == {True}
