@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrahac.llm.common import column_bytes, drop_table, ship, small_batches, sorted_groups, table
-from terrahac.llm.components import components
+from terrahac.llm.components import SEND_NODES, components
 from terrahac.llm.words import _U, mix, shingle_sets
 
 COORDS = 64
@@ -193,11 +193,19 @@ def candidate_edges(classes: DataFrame, threshold: float, recall: float, leaf: i
     least = max(1, math.floor((threshold - MARGIN) * COORDS))
     small = stars = None
     for depth in range(DEPTH):
-        # A node's classes are counted before they meet; those alone in theirs go no further.
-        sizes = members.groupBy("path").agg(F.count("*").alias("size"), F.min("node").alias("hub"), F.max("parent").alias("whole")).filter("size > 1")
-        sized = table(members.select("path", "node").join(sizes, "path"), "nodes")
-        leaves = sized.filter(F.col("size") <= leaf).select("path", "node")
-        big = sized.filter(F.col("size") > leaf)
+        # A node's classes are counted before they meet; those alone in theirs go no further. Where a node has more
+        # than a leaf's classes they are told so by a table that all tasks get, and meet nothing in the shuffle, where
+        # they are dealt by themselves; so no more than a leaf's classes meet at a path.
+        sizes = table(members.groupBy("path").agg(F.count("*").alias("size"), F.min("node").alias("hub"), F.max("parent").alias("whole")).filter("size > 1"), "sizes")
+        crowded = sizes.filter(F.col("size") > leaf)
+        sent = F.broadcast if crowded.count() <= SEND_NODES else lambda x: x
+        told = members.select("path", "node").join(sent(crowded), "path", "left")
+        told = told.withColumn("key", F.when(F.col("size").isNull(), F.col("path")).otherwise(F.xxhash64("node", "path")))
+        few = sizes.filter(F.col("size") <= leaf).select(F.col("path").alias("key"), F.lit(True).alias("few"))
+        sized = table(told.join(few, "key", "left").filter("size is not null or few").drop("key", "few"), "nodes")
+        drop_table(sizes)
+        leaves = sized.filter("size is null").select("path", "node")
+        big = sized.filter("size is not null")
         dense = F.coalesce(F.col("size") >= DENSE * F.col("whole"), F.lit(False)) if depth < DEPTH - 1 else F.lit(True)
         alike = big.filter(dense & (F.col("node") != F.col("hub"))).select(F.col("node").alias("a"), F.col("hub").alias("b"))
         small, stars = (leaves, alike) if small is None else (small.unionByName(leaves), stars.unionByName(alike))
