@@ -12,11 +12,23 @@ from pyspark.sql import functions as F
 
 from terrahac.runtime import shared_dir, ship
 
-__all__ = ["column_bytes", "drop_path", "drop_table", "held_out", "new_path", "shared_dir", "ship", "small_batches", "sorted_groups", "spread", "table"]
+__all__ = ["column_bytes", "drop_path", "drop_table", "held_out", "new_path", "shared_dir", "ship", "small_batches", "sorted_groups", "spread", "table", "tidy"]
+
+
+#: Folders made in the shared folder, and not deleted, by application.
+_MADE: dict[str, set[str]] = {}
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
+
+
+def tidy(spark: SparkSession) -> None:
+    """Delete all intermediate tables and archives of this application, once results have been written or read."""
+    for path in list(_MADE.get(spark.sparkContext.applicationId, ())):
+        drop_path(spark, path)
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
@@ -38,6 +50,8 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    made = _MADE.get(spark.sparkContext.applicationId, set())
+    made -= {x for x in made if x.rpartition("/")[2] == path.rstrip("/").rpartition("/")[2]}
 
 
 def drop_table(df: DataFrame) -> None:
