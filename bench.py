@@ -45,7 +45,8 @@ def main() -> None:
         times[name] = round(time.time() - start, 3)
 
     run("warm_up", lambda: queries()["vcov_cross_section"](spark, SF_DIR))
-    for units, k, lag in ((100, 20, 0), (3000, 50, 0), (8000, 50, 0), (1500, 20, 1), (8000, 20, 1)):
+    # Units, regressors and lag of the published table.
+    for units, k, lag in ((100, 20, 0), (800, 20, 0), (1500, 50, 0), (3000, 50, 0), (5000, 50, 0), (8000, 50, 0), (1500, 20, 1), (3000, 20, 1), (8000, 20, 1)):
         obs = panel(spark, units, 4, k).cache()
         obs.count()
         spec = SpatialHacSpec("lat", "lon", 500, unit="unit", time="time", lag_cutoff=lag, balanced_pnl=lag > 0)
