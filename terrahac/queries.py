@@ -136,7 +136,7 @@ def queries() -> dict[str, Query]:
         "gram": lambda s, d: _long(M.gram(_obs(s, d, "xs"), 2)),
         "bread_inverse": _inverse,
         "edges_balanced": lambda s, d: unit_edges(_obs(s, d, "bal"), "haversine", 500.0, "bartlett").select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), r6("dist").alias("dist")),
-        "graph_reuse": lambda s, d: reuse(unit_edges(_obs(s, d, "bal"), "haversine", 500.0, "bartlett"), _obs(s, d, "bal"), ["row"]).select("time", F.col("i_row").alias("i"), F.col("j_row").alias("j"), r6("w").alias("w")),
+        "graph_reuse": lambda s, d: reuse(_obs(s, d, "bal"), "haversine", 500.0, "bartlett", ["row"], digits=6).select("time", F.col("i_row").alias("i"), F.col("j_row").alias("j"), "w"),
         "serial_meat_window": lambda s, d: _long(serial_window(_obs(s, d, "day"), 2, 2.0)),
         "serial_meat_fraction": lambda s, d: _long(serial_window(_obs(s, d, "day"), 2, 1.5)),
         "serial_meat_join": lambda s, d: _long(serial_join(_obs(s, d, "bal"), 2, 2.0)),
