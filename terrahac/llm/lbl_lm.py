@@ -174,6 +174,21 @@ def stretches(ids: np.ndarray, before: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(whole, LENGTH + SPAN)[::LENGTH]
 
 
+def window_sums(x: np.ndarray) -> np.ndarray:
+    """Sums of each SPAN - 1 successive places (axis 1), from sums of 1, 2, 4 and so on."""
+    out, left, at, part, width = None, SPAN - 1, 0, x, 1
+    n = x.shape[1] - left + 1
+    while left:
+        if left & 1:
+            out = part[:, at : at + n].copy() if out is None else np.add(out, part[:, at : at + n], out=out)
+            at += width
+        left >>= 1
+        if left:
+            part = part[:, :-width] + part[:, width:]
+            width *= 2
+    return out
+
+
 class Model:
     """near, far: vectors of leaves as contexts; leaf, group: vectors as targets; *_b: their biases."""
 
@@ -192,9 +207,7 @@ class Model:
 
     def hidden(self, ids: np.ndarray) -> np.ndarray:
         """h of each of the LENGTH targets of stretches."""
-        sums = np.cumsum(self.p["far"][ids], axis=1)
-        far = sums[:, SPAN - 2 : -2].copy()
-        far[:, 1:] -= sums[:, : -SPAN - 1]
+        far = window_sums(self.p["far"][ids[:, : LENGTH + SPAN - 2]])
         far += self.p["near"][ids[:, SPAN - 1 : -1]]
         return far
 
@@ -270,8 +283,10 @@ class Model:
         g_false = false_g(score)
         g_h *= g_true[:, None]
         g_h += g_false @ vectors
-        rows = np.concatenate([group, noise])
-        steps = [("group", rows, joined(g_true, h, g_false.T @ h)), ("group_b", rows, np.concatenate([g_true, g_false.sum(axis=0)]))]
+        begins = np.flatnonzero(np.diff(group, prepend=-1))  # targets are in the order of their groups
+        rows = np.concatenate([group[begins], noise])
+        g_group = np.concatenate([np.add.reduceat(g_true[:, None] * h, begins, axis=0), g_false.T @ h])
+        steps = [("group", rows, g_group), ("group_b", rows, np.concatenate([np.add.reduceat(g_true, begins), g_false.sum(axis=0)]))]
 
         m = int(np.searchsorted(group, last))
         if m:
@@ -303,24 +318,21 @@ class Model:
         back = np.zeros((len(ids) * LENGTH, DIM), dtype=_F)
         back[live] = g_h
         steps.append(("near", ids[:, SPAN - 1 : -1].ravel(), back))
-        sums = np.zeros((len(ids), LENGTH + 1, DIM), dtype=_F)
-        np.cumsum(back.reshape(len(ids), LENGTH, DIM), axis=1, out=sums[:, 1:])
-        far = np.empty((len(ids), LENGTH + SPAN - 2, DIM), dtype=_F)  # by places; the targets 2 to SPAN places on learn from each
-        far[:, :LENGTH], far[:, LENGTH:] = sums[:, 1:], sums[:, -1:]
-        far[:, SPAN - 2 :] -= sums[:, :-1]
+        around = np.zeros((len(ids), LENGTH + 2 * SPAN - 4, DIM), dtype=_F)
+        around[:, SPAN - 2 : SPAN - 2 + LENGTH] = back.reshape(len(ids), LENGTH, DIM)
+        far = window_sums(around)  # by places; the targets 2 to SPAN places on learn from each
         steps.append(("far", ids[:, : LENGTH + SPAN - 2].ravel(), far.reshape(-1, DIM)))
         for name, rows, g in steps:
             self._step(name, rows, g, rate)
 
     @staticmethod
-    def _logs(h: np.ndarray, vectors: np.ndarray, biases: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Logarithm of each target's share after h."""
+    def _logs(h: np.ndarray, vectors: np.ndarray, biases: np.ndarray, factors: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Logarithm of each target's share after h; factors are exp(biases)."""
         z = h @ vectors.T
-        z += biases
-        found = z[np.arange(len(z)), target]
-        with np.errstate(over="ignore", divide="ignore"):
-            sums = np.log(np.exp(z, out=z) @ np.ones(z.shape[1], dtype=_F))
-        if not np.isfinite(sums).all():  # beyond the range of exp, sums need each row's own maximum
+        found = z[np.arange(len(z)), target] + biases[target]
+        with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+            sums = np.log(np.exp(z, out=z) @ factors)
+        if not (np.isfinite(sums).all() and sums.min(initial=0.0) > -40):  # beyond the range of exp, sums need each row's own maximum
             z = h @ vectors.T + biases
             top = z.max(axis=1)
             sums = np.log(np.exp(z - top[:, None]).sum(axis=1)) + top
@@ -330,6 +342,8 @@ class Model:
         """Normalised log10 probability of the leaf of each target of stretches; 0 where nothing counts."""
         out = np.zeros(len(ids) * LENGTH)
         leaf, leaf_b = self.p["leaf"].reshape(self.groups, self.size, DIM), self.p["leaf_b"].reshape(self.groups, self.size)
+        with np.errstate(over="ignore"):
+            group_f, leaf_f = np.exp(self.p["group_b"]), np.exp(leaf_b)
         step = 4 * BATCH
         for start in range(0, len(ids), step):
             part = ids[start : start + step]
@@ -338,12 +352,12 @@ class Model:
             found = np.empty(len(live))
             for lo in range(0, len(live), 1024):
                 rows = slice(lo, lo + 1024)
-                found[rows] = self._logs(h[rows], self.p["group"], self.p["group_b"], group[rows])
+                found[rows] = self._logs(h[rows], self.p["group"], self.p["group_b"], group_f, group[rows])
             cuts = np.searchsorted(group, np.arange(self.groups + 1)).tolist()
             for g, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
                 for at in range(lo, hi, 1024):
                     rows = slice(at, min(at + 1024, hi))
-                    found[rows] += self._logs(h[rows], leaf[g], leaf_b[g], target[rows] - g * self.size)
+                    found[rows] += self._logs(h[rows], leaf[g], leaf_b[g], leaf_f[g], target[rows] - g * self.size)
             out[start * LENGTH + live] = found
         return out / math.log(10)
 

@@ -138,3 +138,23 @@ def test_ids_of_any_type(spark):
     docs = spark.createDataFrame([(f"a{i}", f"x y z{i}") for i in range(20)] + [(None, "x")], "doc_id string, text string")
     out = lbl_lm.scores(docs).collect()
     assert len(out) == 21 and {type(r.doc_id) for r in out} == {str, type(None)}
+
+
+def test_context_sums_hold_no_rest_of_words_before():
+    """A context's vector is the sum of its own words, however large an earlier word's vector is."""
+    rng = np.random.default_rng(3)
+    words = lbl_lm.Words([(b"a", 5), (b"b", 3), (b"c", 2)], 2, 10, 3, 3)
+    model = lbl_lm.Model(words)
+    ids = rng.integers(0, 3, (2, lbl_lm.SPAN + lbl_lm.LENGTH)).astype(np.int32)
+    ids[:, 0] = words.before
+    model.p["far"][words.before] = 1e8
+    got = model.hidden(ids)
+    for t in (0, 1, 60, lbl_lm.LENGTH - 1):
+        want = model.p["far"][ids[:, t : t + lbl_lm.SPAN - 1]].astype(float).sum(axis=1) + model.p["near"][ids[:, t + lbl_lm.SPAN - 1]]
+        assert np.allclose(got[:, t], want, atol=1e-5, rtol=1e-6)
+
+
+def test_window_sums_add_to_the_gradients_of_both_sides():
+    x = np.random.default_rng(4).normal(size=(3, 40, 2)).astype(np.float32)
+    want = np.stack([x[:, i : i + lbl_lm.SPAN - 1].sum(axis=1) for i in range(40 - lbl_lm.SPAN + 2)], axis=1)
+    assert np.allclose(lbl_lm.window_sums(x), want, atol=1e-5)
