@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from terrahac.fixtures import load, observed
 from terrahac.functions.geo import DISTANCE, Screen, cached, lon_wrapped, safe_acos, weight
 from terrahac.operators import meat as M
-from terrahac.operators.pairs import before, neighbour_counts, pairs, reuse, unit_edges
+from terrahac.operators.pairs import before, neighbour_counts, pairs, reuse, row_counts, unit_edges
 from terrahac.operators.serial import serial_join, serial_window
 from terrahac.operators.vcov import inverse, matrix, spatial_hac
 from terrahac.oracle import CUTOFF, LAG
@@ -122,6 +122,11 @@ def _screened(spark: SparkSession, sf: str) -> DataFrame:
     return i.join(j, near).select(F.col("i.row").alias("i"), F.col("j.row").alias("j"))
 
 
+def _band(spark: SparkSession, sf: str, fn: str) -> DataFrame:
+    found = row_counts(_obs(spark, sf, "xs"), fn, 200.0, "uniform", ["time"])
+    return found.groupBy("time").agg(F.sum("n").alias("n"), r6(F.sum(F.col("dist") * F.col("n")) / 1e3).alias("dist")).filter("n > 0")
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {
         "radians_cache": lambda s, d: _columns(s, d, "xs", **{c: (lambda x, c=c: F.col(c)) for c in ("lat_r", "lon_r", "cos_lat", "sin_lat")}),
@@ -162,7 +167,7 @@ def queries() -> dict[str, Query]:
     }
     for fn in DISTANCE:
         out[f"dist_{fn}"] = lambda s, d, fn=fn: _pairs(s, d, "unb3", fn, "uniform").select("i", "j", r6("dist").alias("dist"))
-        out[f"edges_band_{fn}"] = lambda s, d, fn=fn: _pairs(s, d, "xs", fn, "uniform", 200.0).groupBy("time").agg(F.count("*").alias("n"), r6(F.sum("dist") / 1e3).alias("dist"))
+        out[f"edges_band_{fn}"] = partial(_band, fn=fn)
         for k in ("bartlett", "uniform"):
             out[f"meat_general_{fn}_{k}"] = partial(_meat, name="unb3", fn=fn, kernel=k, method="sums")
     for k in ("bartlett", "uniform"):
