@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrahac.fixtures import load, observed
-from terrahac.functions.geo import DISTANCE, Screen, cached, lon_wrapped, safe_acos, weight
+from terrahac.functions.geo import DISTANCE, cached, lon_wrapped, safe_acos, weight
 from terrahac.operators import meat as M
-from terrahac.operators.pairs import before, neighbour_counts, pairs, reuse, row_counts, unit_edges
+from terrahac.operators.pairs import neighbour_counts, pairs, reuse, row_counts, unit_edges
 from terrahac.operators.serial import serial_join, serial_window
 from terrahac.operators.vcov import inverse, matrix, spatial_hac
 from terrahac.oracle import CUTOFF, LAG
@@ -114,14 +114,6 @@ def _timedist(spark: SparkSession, sf: str) -> DataFrame:
     return _long(serial_join(_obs(spark, sf, "xs").withColumn("time", F.col("row").cast("double")), 2, 3.0, by_unit=False))
 
 
-def _screened(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs that pass the longitude screen and then the exact distance, with no grid."""
-    p = cached(load(spark, sf, "unb3"))
-    i, j, screen = p.alias("i"), p.alias("j"), Screen("haversine", 100.0)
-    near = (F.col("i.time") == F.col("j.time")) & before("i", "j") & screen.longitude("i", "j") & (DISTANCE["haversine"]("i", "j") <= 100.0)
-    return i.join(j, near).select(F.col("i.row").alias("i"), F.col("j.row").alias("j"))
-
-
 def _band(spark: SparkSession, sf: str, fn: str) -> DataFrame:
     found = row_counts(_obs(spark, sf, "xs"), fn, 200.0, "uniform", ["time"])
     return found.groupBy("time").agg(F.sum("n").alias("n"), r6(F.sum(F.col("dist") * F.col("n")) / 1e3).alias("dist")).filter("n > 0")
@@ -134,7 +126,7 @@ def queries() -> dict[str, Query]:
         "safe_acos": lambda s, d: _columns(s, d, "xs", angle=lambda x: safe_acos(F.col("lon") / 10)),
         "lon_wrap": lambda s, d: _columns(s, d, "xs", gap=lambda x: lon_wrapped(F.radians(9 * F.col("lon")), F.lit(3.0))),
         "scores": lambda s, d: M.scores(_obs(s, d, "xs")).select("row", *[r6(F.col("s")[a]).alias(f"s{a}") for a in range(2)]),
-        "lon_screen": _screened,
+        "lon_screen": lambda s, d: _pairs(s, d, "unb3", "haversine", "uniform", 100.0).select("i", "j"),
         "neighbor_counts": lambda s, d: neighbour_counts(_pairs(s, d, "unb3", "haversine", "uniform")),
         "row_ptr": _row_ptr,
         "score_accum": _accumulated,
