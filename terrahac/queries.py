@@ -35,8 +35,9 @@ def _obs(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return observed(load(spark, sf, name))
 
 
-def _pairs(spark: SparkSession, sf: str, name: str, fn: str, kernel: str, cutoff: float = CUTOFF, carry: tuple[str, ...] = ()) -> DataFrame:
-    return pairs(M.scores(_obs(spark, sf, name)), fn, cutoff, kernel, ["time"], list(carry))
+def _pairs(spark: SparkSession, sf: str, name: str, fn: str, kernel: str, cutoff: float = CUTOFF) -> DataFrame:
+    """Pairs of rows, with distances and weights to 6 decimals."""
+    return pairs(M.scores(_obs(spark, sf, name)), fn, cutoff, kernel, ["time"], [], digits=6)
 
 
 def _columns(spark: SparkSession, sf: str, name: str, **cols: Callable[[DataFrame], Column]) -> DataFrame:
@@ -158,7 +159,7 @@ def queries() -> dict[str, Query]:
         "within_twoway": lambda s, d: within_two(load(s, d, "bal"), ["y", "z"], "unit", "time").select("row", r6("y").alias("y"), r6("z").alias("z")),
     }
     for fn in DISTANCE:
-        out[f"dist_{fn}"] = lambda s, d, fn=fn: _pairs(s, d, "unb3", fn, "uniform").select("i", "j", r6("dist").alias("dist"))
+        out[f"dist_{fn}"] = lambda s, d, fn=fn: _pairs(s, d, "unb3", fn, "uniform").select("i", "j", "dist")
         out[f"edges_band_{fn}"] = partial(_band, fn=fn)
         for k in ("bartlett", "uniform"):
             out[f"meat_general_{fn}_{k}"] = partial(_meat, name="unb3", fn=fn, kernel=k, method="sums")
