@@ -165,5 +165,5 @@ def queries() -> dict[str, Query]:
             out[f"meat_general_{fn}_{k}"] = partial(_meat, name="unb3", fn=fn, kernel=k, method="sums")
     for k in ("bartlett", "uniform"):
         out[f"kernel_{k}"] = lambda s, d, k=k: _columns(s, d, "xs", w=lambda x: weight(10 * F.col("lat"), CUTOFF, k))
-        out[f"edges_{k}"] = lambda s, d, k=k: _pairs(s, d, "unb3", "haversine", k).select("time", "i", "j", r6("w").alias("w"))
+        out[f"edges_{k}"] = lambda s, d, k=k: _pairs(s, d, "unb3", "haversine", k).select("time", "i", "j", "w")
     return out
