@@ -158,3 +158,12 @@ def test_window_sums_add_to_the_gradients_of_both_sides():
     x = np.random.default_rng(4).normal(size=(3, 40, 2)).astype(np.float32)
     want = np.stack([x[:, i : i + lbl_lm.SPAN - 1].sum(axis=1) for i in range(40 - lbl_lm.SPAN + 2)], axis=1)
     assert np.allclose(lbl_lm.window_sums(x), want, atol=1e-5)
+
+
+def test_rows_are_gathered_as_by_index():
+    x, rng = np.arange(60, dtype=np.float32).reshape(20, 3), np.random.default_rng(3)
+    for at in (rng.integers(0, 20, 50, dtype=np.int32), rng.integers(0, 20, (4, 6)), np.zeros(0, dtype=np.int64)):
+        got = lbl_lm.rows_of(x, at)
+        assert got.dtype == x.dtype and got.shape == (*at.shape, 3) and (got == x[at]).all()
+        got[...] = -1  # a copy
+    assert (x >= 0).all()
