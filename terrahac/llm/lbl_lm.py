@@ -38,7 +38,6 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from copy import copy
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -75,18 +74,136 @@ def tokens(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
+class Cut:
+    """The words of texts, as tokens() has them: stretches of one buffer, from begin to end; sizes has the words of each text."""
+
+    def __init__(self, texts: list[bytes | None]):
+        whole = b" ".join([b"", *[t or b"" for t in texts], b""]).lower()
+        self.whole = whole + bytes(-len(whole) % 8 + 16)
+        byte = np.frombuffer(whole, dtype=np.uint8)
+        space = (byte == 32) | (byte - np.uint8(9) < 5)
+        turns = np.flatnonzero(space[1:] != space[:-1]) + 1
+        self.begin, self.end = turns[::2], turns[1::2]
+        starts = np.cumsum(np.fromiter((len(t or b"") + 1 for t in texts), dtype=np.int64, count=len(texts)))
+        self.sizes = np.diff(np.searchsorted(self.begin, starts), prepend=0)
+        self._eights = np.frombuffer(self.whole, dtype="<u8")
+
+    def eights(self, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The eight bytes from each place on as a number, those beyond the number left as 0."""
+        eight, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+        x = np.take(self._eights, eight) >> shift
+        x |= np.take(self._eights, eight + 1) << np.uint64(1) << (np.uint64(63) - shift)
+        return x & np.take(_KEPT, np.minimum(left, 8))
+
+    def words(self, at: np.ndarray) -> list[bytes]:
+        return [self.whole[b:e] for b, e in zip(self.begin[at].tolist(), self.end[at].tolist())]
+
+
+_KEPT = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
+
+
+class Places:
+    """Places of words in a list of different words: a hash table in arrays, for many words at a time.
+
+    Words of the list and words looked up are compared by all of their bytes.
+    """
+
+    #: Bytes of the longest word of a list; words looked up at a time.
+    LONGEST, PIECE = 200, 32_768
+
+    def __init__(self, words: list[bytes]):
+        self.own = Cut(words)
+        if len(self.own.begin) != len(words) or any(len(w) > self.LONGEST for w in words):
+            raise ValueError("words are without white space, and bounded")
+        self.bits = max(4, (4 * len(words)).bit_length())
+        self.table = np.full(1 << self.bits, -1, dtype=np.int32)
+        self.keys = self._keys(self.own, self.own.begin, self.own.end)
+        self.lengths = (self.own.end - self.own.begin).astype(np.uint8)
+        left, slot = np.arange(len(words)), self._slots(self.keys)
+        while len(left):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = left[free]
+            missed = self.table[slot] != left
+            left, slot = left[missed], (slot[missed] + 1) & (len(self.table) - 1)
+
+    def _keys(self, cut: Cut, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A number for each word; those of words of one length up to eight are different."""
+        n = end - begin
+        h = self._mixed(cut.eights(begin, n))
+        longer = np.flatnonzero((n > 8) & (n <= self.LONGEST))
+        done = 8
+        while len(longer):
+            h[longer] = self._mixed(h[longer] ^ cut.eights(begin[longer] + done, n[longer] - done))
+            done += 8
+            longer = longer[n[longer] > done]
+        return h
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    @staticmethod
+    def _mixed(h: np.ndarray) -> np.ndarray:
+        h = h * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        return h
+
+    def _other(self, place: np.ndarray, cut: Cut, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Which words of more than eight bytes differ from those at places, of the same lengths."""
+        other, own = np.zeros(len(place), dtype=bool), self.own.begin[place]
+        left, done = np.arange(len(place)), 0
+        while len(left):
+            same = self.own.eights(own[left] + done, n[left] - done) == cut.eights(begin[left] + done, n[left] - done)
+            other[left[~same]] = True
+            done += 8
+            left = left[same & (n[left] > done)]
+        return np.flatnonzero(other)
+
+    def of(self, cut: Cut) -> np.ndarray:
+        """The place of each word, -1 for those that are not in the list."""
+        out = np.full(len(cut.begin), -1, dtype=np.int64)
+        for lo in range(0, len(out), self.PIECE):
+            begin, end = cut.begin[lo : lo + self.PIECE], cut.end[lo : lo + self.PIECE]
+            keys, n = self._keys(cut, begin, end), end - begin
+            left, slot = np.flatnonzero(n <= self.LONGEST), self._slots(keys)
+            if len(left) < len(slot):
+                slot = slot[left]
+            while len(left):
+                place = np.take(self.table, slot)
+                met = np.flatnonzero(place >= 0)
+                if len(met) < len(place):
+                    place, left, slot = place[met], left[met], slot[met]
+                equal = np.take(self.keys, place) == np.take(keys, left)
+                equal &= np.take(self.lengths, place) == np.take(n, left)
+                long = np.flatnonzero(equal & (np.take(n, left) > 8))
+                if len(long):
+                    at = left[long]
+                    equal[long[self._other(place[long], cut, begin[at], n[at])]] = False
+                out[lo + left[equal]] = place[equal]
+                left, slot = left[~equal], (slot[~equal] + 1) & (len(self.table) - 1)
+        return out
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows(c: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
+    def rows(words: list[bytes], n: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n, pa.int64())], names=["word", "n"])
 
+    # The words of the first texts are counted by their places, others by a dictionary.
     total: Counter = Counter()
+    first, places, n = [], None, np.zeros(0, dtype=np.int64)
     for batch in small_batches(batches, "__text", 2_000_000):
-        for t in column_bytes(batch.column("__text")):
-            total.update(tokens(t))
+        cut = Cut(column_bytes(batch.column("__text")))
+        at = np.arange(len(cut.begin)) if places is None else places.of(cut)
+        total.update(cut.words(at if places is None else np.flatnonzero(at < 0)))
+        if places is None:
+            first = [w for w in total if len(w) <= Places.LONGEST]
+            places, n = Places(first), np.fromiter(map(total.pop, first), dtype=np.int64, count=len(first))
+        else:
+            n += np.bincount(at[at >= 0], minlength=len(first))
         if len(total) > 200_000:
-            yield rows(total)
+            yield rows(list(total), list(total.values()))
             total = Counter()
-    yield rows(total)
+    yield rows([*first, *total], [*n.tolist(), *total.values()])
 
 
 def sizes(kinds: int) -> tuple[int, int]:
@@ -114,27 +231,24 @@ class Words:
         self.leaf = np.empty(len(head), dtype=np.int32)
         for i, (w, _) in enumerate(head):
             at = place.get(i, -1)
-            self.leaf[i] = at // self.own * self.size + at % self.own if at >= 0 else self._hashed(w)
+            self.leaf[i] = at // self.own * self.size + at % self.own if at >= 0 else self.hashed(w)
         self.index = {w: i for i, (w, _) in enumerate(head)}
         self.n = np.array([c for _, c in head], dtype=np.float64)
         self.alone = np.zeros(self.end, dtype=bool)
         self.alone.reshape(self.groups, self.size)[:, : self.own] = True
         self.bottom = math.log10(self.total + self.kinds + 1)
-        self.cache: dict[bytes, int] = {}
+        #: The places of the head's words, made where texts are coded.
+        self.places: Places | None = None
         self.learn(np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0))
 
-    def _hashed(self, word: bytes) -> int:
-        return bisect_right(self.bounds, word[::-1]) * self.size + self.own + zlib.crc32(word) % HASHED
-
     def hashed(self, word: bytes) -> int:
         """The leaf of a word outside the head."""
-        if (leaf := self.cache.get(word)) is None:
-            leaf = self._hashed(word)
-            if len(word) <= 32:
-                if len(self.cache) >= 200_000:
-                    self.cache.clear()
-                self.cache[word] = leaf
-        return leaf
+        return bisect_right(self.bounds, word[::-1]) * self.size + self.own + zlib.crc32(word) % HASHED
+
+    def all_hashed(self, words: list[bytes]) -> np.ndarray:
+        """hashed() of many words."""
+        group = np.fromiter((bisect_right(self.bounds, w[::-1]) for w in words), dtype=np.int64, count=len(words))
+        return group * self.size + self.own + np.fromiter(map(zlib.crc32, words), dtype=np.int64, count=len(words)) % HASHED
 
     def learn(self, leaf: np.ndarray, n: np.ndarray, kinds: np.ndarray) -> None:
         """Take in the sums of the words outside the head, by leaf; n and kinds may be partial sums."""
@@ -150,17 +264,18 @@ class Words:
     def coded(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
         """Leaves of all texts, each after SPAN signs of its beginning; head places (-1 outside, -2 else);
         where each text begins and its end is; and the words outside the head, with the text of each."""
-        split = [tokens(t) for t in texts]
-        sizes = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-        flat = list(chain.from_iterable(split))
+        if self.places is None:
+            self.places = Places(list(self.index))
+        cut = Cut(texts)
+        sizes, n = cut.sizes, len(cut.begin)
         ends = np.cumsum(sizes + SPAN + 1) - 1
-        owner = np.repeat(np.arange(len(split)), sizes)
-        at = np.arange(len(flat)) + SPAN + owner * (SPAN + 1)
-        places = np.fromiter(map(self.index.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        at = np.arange(n) + SPAN + owner * (SPAN + 1)
+        places = self.places.of(cut)
         outside = np.flatnonzero(places < 0)
-        words = [flat[i] for i in outside.tolist()]
-        leaves = self.leaf[places] if len(self.leaf) else np.empty(len(flat), dtype=np.int32)
-        leaves[outside] = np.fromiter(map(self.hashed, words), dtype=np.int32, count=len(words))
+        words = cut.words(outside)
+        leaves = self.leaf[places] if len(self.leaf) else np.empty(n, dtype=np.int32)
+        leaves[outside] = self.all_hashed(words)
         size = int(ends[-1]) + 1 if len(ends) else 0
         ids, place = np.full(size, self.before, dtype=np.int32), np.full(size, -2, dtype=np.int64)
         ids[at], ids[ends], place[at] = leaves, self.end, places
@@ -498,7 +613,7 @@ def _leaf_sums(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBat
     for batch in batches:
         word, count = batch.column(0).to_pylist(), batch.column(1).to_numpy()
         out = np.fromiter((w not in words.index for w in word), dtype=bool, count=len(word))
-        leaf = np.fromiter((words.hashed(w) for w, o in zip(word, out) if o), dtype=np.int64, count=int(out.sum()))
+        leaf = words.all_hashed([w for w, o in zip(word, out) if o])
         n += np.bincount(leaf, count[out], words.end)
         kinds += np.bincount(leaf, minlength=words.end)
     leaf = np.flatnonzero(kinds)

@@ -167,3 +167,31 @@ def test_rows_are_gathered_as_by_index():
         assert got.dtype == x.dtype and got.shape == (*at.shape, 3) and (got == x[at]).all()
         got[...] = -1  # a copy
     assert (x >= 0).all()
+
+
+def test_words_are_found_in_arrays_by_all_their_bytes():
+    parts = [b"a", b"B", b"\x00", b" ", b"\t", b"\x0b", b"\x1f", b"\x85", b"\xc3\xa9", b"z", b"\n"]
+    rng = np.random.default_rng(5)
+    texts = [b"".join(parts[i] for i in rng.integers(0, len(parts), n)) for n in (0, 1, 2, 50, 400, 3000)]
+    texts += [None, b"", b" \t"] + [b"q" * n + b" " + b"q" * (n - 1) + b"r" for n in (7, 8, 9, 16, 17, 200, 201, 5000)]
+    cut, want = lbl_lm.Cut(texts), [lbl_lm.tokens(t) for t in texts]
+    flat = [w for ws in want for w in ws]
+    assert cut.sizes.tolist() == [len(ws) for ws in want] and cut.words(np.arange(len(flat))) == flat
+    kinds = [w for w in dict.fromkeys(flat) if len(w) <= lbl_lm.Places.LONGEST][::2]
+    index = {w: i for i, w in enumerate(kinds)}
+    found = lbl_lm.Places(kinds)
+    assert found.of(cut).tolist() == [index.get(w, -1) for w in flat]
+    found.keys[:] = found.keys[0]  # words of one key are told apart by their bytes
+    assert not any(flat[i] != kinds[p] for i, p in enumerate(found.of(cut)) if p >= 0 and len(flat[i]) > 8)
+    assert lbl_lm.Places([]).of(cut).tolist() == [-1] * len(flat)
+
+
+def test_counts_of_several_batches(monkeypatch):
+    monkeypatch.setattr(lbl_lm, "small_batches", lambda batches, column, size: batches)
+    texts = [["A b  a", "c"], ["b d" + " x" * 300, None, "d " + "y" * 300], ["a b d e" + " " + "y" * 300]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(t, pa.string())], names=["__text"]) for t in texts]
+    counts = Counter()
+    for batch in lbl_lm._count_words(iter(batches)):
+        for w, n in zip(*(c.to_pylist() for c in batch.columns)):
+            counts[w] += n
+    assert counts == Counter(w for ts in texts for t in ts for w in lbl_lm.tokens(t and t.encode()))
