@@ -66,6 +66,8 @@ LEAST, PASSES, ROUNDS, CHUNK = 10_000_000, 10, 4, 2048
 TOKENS = 400_000
 #: Rows of a slab that meet when trainers are averaged.
 SLAB = 4096
+#: Scores: rows of a block; halvings of what exp takes, after a shift to where most of a sum lies; logarithms of sums that are usual.
+ROWS, HALVINGS, SHIFT, USUAL = 512, 5, 3, (-1.5, 1.5)
 _F = np.float32
 
 
@@ -224,6 +226,7 @@ class Words:
         order = sorted(range(own), key=lambda i: head[i][0][::-1])
         self.bounds = [head[order[i]][0][::-1] for i in range(self.own, own, self.own)] if own else []
         self.groups = len(self.bounds) + 1
+        self.last = np.array([int.from_bytes(x[:8].ljust(8, b"\0"), "big") for x in self.bounds], dtype=np.uint64)
         #: The end of a text, and what stands before a text.
         self.end = self.groups * self.size
         self.before = self.end + 1
@@ -245,9 +248,17 @@ class Words:
         """The leaf of a word outside the head."""
         return bisect_right(self.bounds, word[::-1]) * self.size + self.own + zlib.crc32(word) % HASHED
 
-    def all_hashed(self, words: list[bytes]) -> np.ndarray:
-        """hashed() of many words."""
-        group = np.fromiter((bisect_right(self.bounds, w[::-1]) for w in words), dtype=np.int64, count=len(words))
+    def all_hashed(self, words: list[bytes], cut: Cut, at: np.ndarray) -> np.ndarray:
+        """hashed() of many words, those of a cut at places.
+
+        Read as one number, the last eight bytes of words, 0 before a shorter one, have the order of words read backwards; where
+        a bound has the same eight, bytes before them decide.
+        """
+        n = cut.end[at] - cut.begin[at]
+        last = cut.eights(cut.end[at] - np.minimum(n, 8), n) << (8 * np.maximum(8 - n, 0)).astype(np.uint64)
+        group = np.searchsorted(self.last, last, side="right")
+        for i in np.flatnonzero(np.append(np.uint64(0), self.last)[group] == last).tolist() if self.bounds else ():
+            group[i] = bisect_right(self.bounds, words[i][::-1])
         return group * self.size + self.own + np.fromiter(map(zlib.crc32, words), dtype=np.int64, count=len(words)) % HASHED
 
     def learn(self, leaf: np.ndarray, n: np.ndarray, kinds: np.ndarray) -> None:
@@ -275,7 +286,7 @@ class Words:
         outside = np.flatnonzero(places < 0)
         words = cut.words(outside)
         leaves = self.leaf[places] if len(self.leaf) else np.empty(n, dtype=np.int32)
-        leaves[outside] = self.all_hashed(words)
+        leaves[outside] = self.all_hashed(words, cut, outside)
         size = int(ends[-1]) + 1 if len(ends) else 0
         ids, place = np.full(size, self.before, dtype=np.int32), np.full(size, -2, dtype=np.int64)
         ids[at], ids[ends], place[at] = leaves, self.end, places
@@ -327,9 +338,18 @@ class Model:
 
     def hidden(self, ids: np.ndarray) -> np.ndarray:
         """h of each of the LENGTH targets of stretches."""
-        far = window_sums(rows_of(self.p["far"], ids[:, : LENGTH + SPAN - 2]))
-        far += rows_of(self.p["near"], ids[:, SPAN - 1 : -1])
-        return far
+        out = np.empty((len(ids), LENGTH, DIM), dtype=_F)
+        for lo in range(0, len(ids), 16):  # few enough for a core's cache
+            part = ids[lo : lo + 16]
+            far = window_sums(rows_of(self.p["far"], part[:, : LENGTH + SPAN - 2]))
+            np.add(far, rows_of(self.p["near"], part[:, SPAN - 1 : -1]), out=out[lo : lo + 16])
+        return out
+
+    def with_one(self, ids: np.ndarray, live: np.ndarray) -> np.ndarray:
+        """h of some targets of stretches, and a last column of 1."""
+        h = np.ones((len(live), DIM + 1), dtype=_F)
+        h[:, :DIM] = rows_of(self.hidden(ids).reshape(-1, DIM), live)
+        return h
 
     def _step(self, name: str, rows: np.ndarray, g: np.ndarray, rate: float) -> None:
         """One Adagrad step by the sum of the gradients g of each row."""
@@ -340,8 +360,10 @@ class Model:
         self.place[own] = np.arange(len(own))
         at, n = np.take(self.place, rows), len(own)
         if g.ndim > 1:
-            total = np.empty((DIM, n), dtype=_F)
-            for j, column in enumerate(np.ascontiguousarray(g.T)):
+            total, columns = np.empty((DIM, n), dtype=_F), np.empty((DIM, len(g)), dtype=_F)
+            for lo in range(0, len(g), 256):  # few enough for a core's cache
+                columns[:, lo : lo + 256] = g[lo : lo + 256].T
+            for j, column in enumerate(columns):
                 total[j] = np.bincount(at, column, n)
             now = np.take(grown, own) + np.einsum("ij,ij->j", total, total) / DIM
         else:
@@ -374,19 +396,21 @@ class Model:
         live, target, group = self._sorted(ids)
         if not len(live):
             return
-        h = rows_of(self.hidden(ids).reshape(-1, DIM), live)
+        h = self.with_one(ids, live)  # so that products hold the biases, and their gradients
         weight = _F(1 / len(live))
 
-        def false_g(s: np.ndarray) -> np.ndarray:
-            """The gradient of noise scores, in their place; an overflow is a gradient of 0."""
-            np.negative(s, out=s)
+        def false_g(less: np.ndarray) -> np.ndarray:
+            """The gradient of noise scores, given with the sign turned, in their place; an overflow is a gradient of 0."""
             with np.errstate(over="ignore"):
-                np.exp(s, out=s)
-            s += 1
-            return np.divide(weight, s, out=s)
+                np.exp(less, out=less)
+            less += 1
+            return np.divide(weight, less, out=less)
+
+        def true_g(less: np.ndarray) -> np.ndarray:
+            return false_g(less) - weight
 
-        def true_g(s: np.ndarray) -> np.ndarray:
-            return false_g(s) - weight
+        def turned(vectors: np.ndarray, biases: np.ndarray) -> np.ndarray:
+            return np.negative(np.concatenate([vectors, biases[..., None]], axis=-1))
 
         def joined(scale: np.ndarray, rows: np.ndarray, more: np.ndarray) -> np.ndarray:
             """Gradients scale * rows, and more below them."""
@@ -395,46 +419,46 @@ class Model:
             out[len(rows) :] = more
             return out
 
+        cuts = np.searchsorted(group, np.arange(last + 2)).tolist()  # targets are in the order of their groups
+        there = [(g, lo, hi) for g, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if lo < hi]
         noise = np.minimum(np.searchsorted(self.group_steps, rng.random(NOISE_GROUPS), side="right"), last)
-        less = p["group_b"] - self.group_log
+        less = self.group_log - p["group_b"]
         g_h, vectors = rows_of(p["group"], group), p["group"][noise]
-        g_true = true_g(np.einsum("ij,ij->i", h, g_h) + np.take(less, group))
-        score = h @ vectors.T
-        score += less[noise]
-        g_false = false_g(score)
+        g_true = true_g(np.take(less, group) - np.einsum("ij,ij->i", h[:, :DIM], g_h))
+        g_false = false_g(h @ turned(vectors, -less[noise]).T)
         g_h *= g_true[:, None]
         g_h += g_false @ vectors
-        begins = np.flatnonzero(np.diff(group, prepend=-1))  # targets are in the order of their groups
-        rows = np.concatenate([group[begins], noise])
-        g_group = np.concatenate([np.add.reduceat(g_true[:, None] * h, begins, axis=0), g_false.T @ h])
-        steps = [("group", rows, g_group), ("group_b", rows, np.concatenate([np.add.reduceat(g_true, begins), g_false.sum(axis=0)]))]
-
-        m = int(np.searchsorted(group, last))
+        g_group = np.empty((len(there) + len(noise), DIM + 1), dtype=_F)
+        for at, (_, lo, hi) in enumerate(there):
+            np.matmul(g_true[lo:hi], h[lo:hi], out=g_group[at])
+        np.matmul(g_false.T, h, out=g_group[len(there) :])
+        rows = np.concatenate([np.array([g for g, _, _ in there]), noise])
+        steps = [("group", rows, g_group[:, :DIM]), ("group_b", rows, g_group[:, DIM])]
+
+        m = cuts[last]
         if m:
-            inner, leaf, of = h[:m], target[:m], group[:m]
-            cuts = np.searchsorted(of, np.arange(last + 1)).tolist()
-            there = [(g, lo, hi) for g, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if lo < hi]
+            inner, leaf = h[:m], target[:m]
+            there = [x for x in there if x[0] < last]
             noise = np.searchsorted(self.steps, rng.random((last, NOISE_LEAVES)) + np.arange(last)[:, None], side="right")
             noise = np.minimum(noise, (np.arange(1, last + 1) * self.size - 1)[:, None])
             vectors = rows_of(p["leaf"], noise)
+            others = turned(vectors, np.take(p["leaf_b"], noise) - np.take(self.leaf_log, noise))
             score = np.empty((m, NOISE_LEAVES), dtype=_F)
             for g, lo, hi in there:
-                np.matmul(inner[lo:hi], vectors[g].T, out=score[lo:hi])
-            score += rows_of(np.take(p["leaf_b"], noise) - np.take(self.leaf_log, noise), of)
+                np.matmul(inner[lo:hi], others[g].T, out=score[lo:hi])
             g_inner = rows_of(p["leaf"], leaf)
-            g_true = true_g(np.einsum("ij,ij->i", inner, g_inner) + (np.take(p["leaf_b"], leaf) - np.take(self.leaf_log, leaf)))
+            g_true = true_g(np.take(self.leaf_log, leaf) - np.take(p["leaf_b"], leaf) - np.einsum("ij,ij->i", inner[:, :DIM], g_inner))
             g_false = false_g(score)
-            g_noise, g_noise_b = np.zeros_like(vectors), np.zeros((last, NOISE_LEAVES), dtype=_F)
+            g_noise = np.zeros((last, NOISE_LEAVES, DIM + 1), dtype=_F)
             g_inner *= g_true[:, None]
             g_h[:m] += g_inner
             for g, lo, hi in there:
                 part = g_false[lo:hi]
                 g_h[lo:hi] += part @ vectors[g]
                 np.matmul(part.T, inner[lo:hi], out=g_noise[g])
-                np.add.reduce(part, axis=0, out=g_noise_b[g])
             met = np.array([g for g, _, _ in there])
-            rows = np.concatenate([leaf, noise[met].ravel()])
-            steps += [("leaf", rows, joined(g_true, inner, g_noise[met].reshape(-1, DIM))), ("leaf_b", rows, np.concatenate([g_true, g_noise_b[met].ravel()]))]
+            rows, more = np.concatenate([leaf, noise[met].ravel()]), g_noise[met].reshape(-1, DIM + 1)
+            steps += [("leaf", rows, joined(g_true, inner[:, :DIM], more[:, :DIM])), ("leaf_b", rows, np.concatenate([g_true, more[:, DIM]]))]
 
         back = np.zeros((len(ids) * LENGTH, DIM), dtype=_F)
         back[live] = g_h
@@ -447,38 +471,64 @@ class Model:
             self._step(name, rows, g, rate)
 
     @staticmethod
-    def _logs(h: np.ndarray, vectors: np.ndarray, biases: np.ndarray, factors: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Logarithm of each target's share after h; factors are exp(biases)."""
-        z = h @ vectors.T
-        found = z[np.arange(len(z)), target] + biases[target]
-        with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
-            sums = np.log(np.exp(z, out=z) @ factors)
-        if not (np.isfinite(sums).all() and sums.min(initial=0.0) > -40):  # beyond the range of exp, sums need each row's own maximum
-            z = h @ vectors.T + biases
+    def _halves(vectors: np.ndarray, biases: np.ndarray) -> np.ndarray:
+        """Rows whose products with (h, 1) are (1 + y) / 2, where 2 ** HALVINGS * y = h . vector + bias + SHIFT."""
+        times = 0.5 ** (HALVINGS + 1)
+        return np.concatenate([vectors * _F(times), ((biases.astype(np.float64) + SHIFT) * times + 0.5).astype(_F)[..., None]], axis=-1)
+
+    @staticmethod
+    def _logs(h: np.ndarray, halves: np.ndarray, vectors: np.ndarray, biases: np.ndarray, target: np.ndarray, bounded: bool) -> np.ndarray:
+        """Logarithm of each target's share after h, whose last column is 1.
+
+        exp takes longer than all else here, so it is the Taylor polynomial of y, of degree 4, squared HALVINGS times;
+        with s = (1 + y) / 2 that polynomial is 2 / 3 of (s * s + 3 / 4) ** 2 + s. Where a sum lies in USUAL, no
+        h . vector + bias is above the logarithm of its end, which keeps the relative error of the sum below 2e-5, and some
+        1e-6 as a rule. Other rows, and all where h and vectors are so long that y could be below -2, take exp itself.
+        """
+        s = h @ halves.T
+        found = np.take(s.ravel(), np.arange(0, s.size, s.shape[1]) + target).astype(np.float64) * 2.0 ** (HALVINGS + 1) - (2**HALVINGS + SHIFT)
+        if not bounded:
+            sums, exact = np.empty(len(s)), np.arange(len(s))
+        else:
+            x = np.square(s)
+            x += _F(0.75)
+            np.square(x, out=x)
+            x += s
+            for _ in range(HALVINGS - 1):
+                np.square(x, out=x)
+            sums = np.log(np.vecdot(x, x), dtype=np.float64) - (2**HALVINGS * math.log(1.5) + SHIFT)
+            exact = np.flatnonzero(~((sums > USUAL[0]) & (sums < USUAL[1])))
+        if len(exact):
+            z = h[exact, :DIM] @ vectors.T + biases
+            found[exact] = z[np.arange(len(exact)), target[exact]]
             top = z.max(axis=1)
-            sums = np.log(np.exp(z - top[:, None]).sum(axis=1)) + top
+            sums[exact] = np.log(np.exp(z - top[:, None]).sum(axis=1)) + top
         return found - sums
 
     def log10(self, ids: np.ndarray) -> np.ndarray:
         """Normalised log10 probability of the leaf of each target of stretches; 0 where nothing counts."""
         out = np.zeros(len(ids) * LENGTH)
         leaf, leaf_b = self.p["leaf"].reshape(self.groups, self.size, DIM), self.p["leaf_b"].reshape(self.groups, self.size)
-        with np.errstate(over="ignore"):
-            group_f, leaf_f = np.exp(self.p["group_b"]), np.exp(leaf_b)
-        step = 4 * BATCH
+        group, group_b = self.p["group"], self.p["group_b"]
+        group_s, leaf_s = self._halves(group, group_b), self._halves(leaf, leaf_b)
+        #: h up to this length leave no y below -2.
+        low = min(group_b.min(), leaf_b.min(initial=0.0)) + SHIFT + 2.0 ** (HALVINGS + 1)
+        length = low / max(1e-30, *(float(np.einsum("...j,...j->...", v, v).max(initial=0.0)) ** 0.5 for v in (group, leaf)))
+        step = 8 * BATCH
         for start in range(0, len(ids), step):
             part = ids[start : start + step]
-            live, target, group = self._sorted(part)
-            h = rows_of(self.hidden(part).reshape(-1, DIM), live)
+            live, target, of = self._sorted(part)
+            h = self.with_one(part, live)
+            bounded = bool(np.einsum("ij,ij->i", h[:, :DIM], h[:, :DIM]).max(initial=0.0) ** 0.5 <= length)
             found = np.empty(len(live))
-            for lo in range(0, len(live), 1024):
-                rows = slice(lo, lo + 1024)
-                found[rows] = self._logs(h[rows], self.p["group"], self.p["group_b"], group_f, group[rows])
-            cuts = np.searchsorted(group, np.arange(self.groups + 1)).tolist()
+            for lo in range(0, len(live), ROWS):
+                rows = slice(lo, lo + ROWS)
+                found[rows] = self._logs(h[rows], group_s, group, group_b, of[rows], bounded)
+            cuts = np.searchsorted(of, np.arange(self.groups + 1)).tolist()
             for g, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
-                for at in range(lo, hi, 1024):
-                    rows = slice(at, min(at + 1024, hi))
-                    found[rows] += self._logs(h[rows], leaf[g], leaf_b[g], leaf_f[g], target[rows] - g * self.size)
+                for at in range(lo, hi, ROWS):
+                    rows = slice(at, min(at + ROWS, hi))
+                    found[rows] += self._logs(h[rows], leaf_s[g], leaf[g], leaf_b[g], target[rows] - g * self.size, bounded)
             out[start * LENGTH + live] = found
         return out / math.log(10)
 
@@ -613,7 +663,8 @@ def _leaf_sums(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBat
     for batch in batches:
         word, count = batch.column(0).to_pylist(), batch.column(1).to_numpy()
         out = np.fromiter((w not in words.index for w in word), dtype=bool, count=len(word))
-        leaf = words.all_hashed([w for w, o in zip(word, out) if o])
+        outside = [w for w, o in zip(word, out) if o]
+        leaf = words.all_hashed(outside, Cut(outside), np.arange(len(outside)))
         n += np.bincount(leaf, count[out], words.end)
         kinds += np.bincount(leaf, minlength=words.end)
     leaf = np.flatnonzero(kinds)

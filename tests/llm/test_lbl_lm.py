@@ -195,3 +195,77 @@ def test_counts_of_several_batches(monkeypatch):
         for w, n in zip(*(c.to_pylist() for c in batch.columns)):
             counts[w] += n
     assert counts == Counter(w for ts in texts for t in ts for w in lbl_lm.tokens(t and t.encode()))
+
+
+@pytest.mark.parametrize("times", [0, 1, 4, 40])
+def test_sums_of_scores_are_those_of_exp(times):
+    """Sums without exp, and those of rows and models that need exp itself: all are the logarithms of the definition."""
+    words = lbl_lm.Words([(b"w%d" % i, 500 - i) for i in range(400)], 5, 200_000, 900, 300)
+    model, rng = lbl_lm.Model(words), np.random.default_rng(6)
+    for k in ("near", "far", "leaf", "group"):
+        model.p[k] = (model.p[k] * times).astype(np.float32)
+    rows = rng.integers(0, words.end + 1, (30, lbl_lm.SPAN + lbl_lm.LENGTH)).astype(np.int32)
+    rows[3:5] = words.before
+    got = model.log10(rows).reshape(30, -1)
+    p, h = {k: v.astype(float) for k, v in model.p.items()}, model.hidden(rows).astype(float)
+    leaf, leaf_b = p["leaf"].reshape(words.groups, words.size, -1), p["leaf_b"].reshape(words.groups, -1)
+    share = lambda z, i: z[i] - z.max() - math.log(np.exp(z - z.max()).sum())
+    for i, t in zip(rng.integers(0, 30, 400), rng.integers(0, lbl_lm.LENGTH, 400)):
+        at, want = rows[i, lbl_lm.SPAN + t], 0.0
+        if at != words.before:
+            g = min(at // words.size, words.groups)
+            want = share(p["group"] @ h[i, t] + p["group_b"], g)
+            want += share(leaf[g] @ h[i, t] + leaf_b[g], at - g * words.size) if g < words.groups else 0.0
+        assert got[i, t] == pytest.approx(want / math.log(10), rel=2e-6, abs=2e-5)
+
+
+def test_usual_sums_take_no_exp(monkeypatch):
+    """Of a model like a trained one, hardly any sum needs exp, which takes most of the time of scoring."""
+    words = lbl_lm.Words([(b"w%d" % i, 500 - i) for i in range(400)], 5, 200_000, 900, 300)
+    model, rng = lbl_lm.Model(words), np.random.default_rng(7)
+    rows = rng.integers(0, words.end, (8, lbl_lm.SPAN + lbl_lm.LENGTH)).astype(np.int32)
+    taken, exp = [], np.exp
+    monkeypatch.setattr(lbl_lm.np, "exp", lambda x, *a, **k: taken.append(np.size(x)) or exp(x, *a, **k))
+    model.log10(rows)
+    assert sum(taken) < 0.01 * 8 * lbl_lm.LENGTH * (words.groups + words.size)
+
+
+def test_products_with_one_give_the_gradients_of_biases():
+    """Steps of a mini-batch, against gradients summed target by target."""
+    words = lbl_lm.Words([(b"w%d" % i, 50 - i) for i in range(30)], 5, 2000, 80, 20)
+    model, steps = lbl_lm.Model(words), {}
+    model.prepare()
+    rows = lbl_lm.stretches(words.coded([b"w1 w2 w3 w4 zz w1 w1 w9", b"w5"] * 9)[0], words.before)
+    model._step = lambda name, at, g, rate: steps.__setitem__(name, (at, g))
+    model.train(rows, np.random.default_rng(0), 0.1)
+    live, target, group = model._sorted(rows)
+    h = model.hidden(rows).reshape(-1, lbl_lm.DIM)[live].astype(float)
+    draws = np.random.default_rng(0)
+    noise = np.minimum(np.searchsorted(model.group_steps, draws.random(lbl_lm.NOISE_GROUPS), side="right"), words.groups)
+    less = model.p["group_b"].astype(float) - model.group_log
+    sigma = lambda s: 1 / (1 + np.exp(-s)) / len(live)
+    want, want_b = np.zeros((words.groups + 1, lbl_lm.DIM)), np.zeros(words.groups + 1)
+    for x, g in zip(h, group):
+        for i, down in [(g, 1 / len(live)), *((j, 0.0) for j in noise)]:
+            d = sigma(model.p["group"][i].astype(float) @ x + less[i]) - down
+            want[i] += d * x
+            want_b[i] += d
+    got, got_b = np.zeros_like(want), np.zeros_like(want_b)
+    np.add.at(got, steps["group"][0], steps["group"][1])
+    np.add.at(got_b, steps["group_b"][0], steps["group_b"][1])
+    assert np.allclose(got, want, atol=1e-5) and np.allclose(got_b, want_b, atol=1e-5)
+    assert steps["leaf"][1].shape == (len(steps["leaf_b"][1]), lbl_lm.DIM) and len(steps["leaf"][0]) == len(steps["leaf_b"][0])
+
+
+def test_many_words_fall_as_one_by_one():
+    rng = np.random.default_rng(8)
+    some = lambda n: [bytes(rng.choice(list(b"ab\x00\xff"), int(rng.integers(1, 14)))) for _ in range(n)]
+    head = list(dict.fromkeys(w for w in some(300) if w.strip()))
+    words = lbl_lm.Words([(w, 1000 - i) for i, w in enumerate(head)], 5, 9000, 900, 200)
+    assert len(words.bounds) > 8
+    many = [*some(2000), *(b[::-1] for b in words.bounds), *(b"a" + b[::-1] for b in words.bounds), *(b[::-1][1:] or b"a" for b in words.bounds)]
+    cut = lbl_lm.Cut(many)
+    assert cut.words(np.arange(len(many))) == many
+    assert words.all_hashed(many, cut, np.arange(len(many))).tolist() == [words.hashed(w) for w in many]
+    none = lbl_lm.Words([], 0, 0, 0, 4)
+    assert none.all_hashed(many, cut, np.arange(len(many))).tolist() == [none.hashed(w) for w in many]
